@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +34,25 @@ from siltworks.llm.common import read
 #: Spans of up to so many bytes are encoded at once, longer ones by halves.
 LEAF = 4
 #: Entries that each of a worker's lookup tables may hold; they begin anew beyond.
-KEPT = 400_000
+KEPT = 600_000
+
+
+#: Letters, numbers and white space up to U+024F, for texts that go no further.
+NEAR = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼-¾", r"\s": r"\t-\r \x85\xa0"}
+
+
+def splitter(pattern: str):
+    """What splits a text into the matches of ``pattern``.
+
+    The classes are spelled out for texts up to U+024F, where a plainer engine
+    finds the same matches in half the time.
+    """
+    near = pattern.replace(r"\S", r"[^\s]")
+    near = re.sub(r"\[[^]]*\]|\\(?:p\{[LN]\}|s)", lambda m: m[0] if m[0][0] == "[" else f"[{m[0]}]", near)
+    for name, members in NEAR.items():
+        near = near.replace(name, members)
+    far, plain, quick = regex.compile(pattern).findall, re.compile(near).findall, re.compile("[^\0-ɏ]").search
+    return lambda text: far(text) if quick(text) else plain(text)
 
 
 class TreeEncoder:
@@ -42,7 +61,7 @@ class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.spans: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -54,17 +73,17 @@ class TreeEncoder:
             return (whole,)
         if len(span) > 64:
             return self._merge_long(span)
-        parts = [span[i : i + 1] for i in range(len(span))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(map(ranks.__getitem__, parts))
+        none = len(ranks)
+        cuts = list(range(len(span) + 1))
+        pairs = [ranks.get(span[i : i + 2], none) for i in range(len(span) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(span[cuts[i] : cuts[i + 2]], none)
+            if i:
+                pairs[i - 1] = ranks.get(span[cuts[i - 1] : cuts[i + 1]], none)
+        return tuple([ranks[span[x:y]] for x, y in zip(cuts, cuts[1:])])
 
     def _merge_long(self, span: bytes) -> tuple[int, ...]:
         """The same with a heap, for windows that grew long."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, quality_rules
+from siltworks.llm import bpe, chat, quality_rules, simhash
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
