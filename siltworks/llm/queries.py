@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, quality_rules, simhash
+from siltworks.llm import bpe, chat, quality_rules, simhash, topk
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_topk_segments": topk.op4_topk_segments,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
+    "op4_topk_segments": topk.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
