@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, packing, quality_rules, simhash, topk
+from siltworks.llm import bpe, chat, language_id, packing, quality_classifier, quality_rules, simhash, topk
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_topk_segments": topk.op4_topk_segments,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
