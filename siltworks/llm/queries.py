@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, language_id, packing, quality_classifier, quality_rules, simhash, topk
+from siltworks.llm import bpe, chat, language_id, packing, pii, quality_classifier, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,
+    "op10_pii_contexts": pii.op10_pii_contexts,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
