@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, language_id, packing, pii, quality_classifier, quality_rules, simhash, topk
+from siltworks.llm import bpe, chat, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_topk_segments": topk.op4_topk_segments,
     "op5_quality_rules": quality_rules.op5_quality_rules,
