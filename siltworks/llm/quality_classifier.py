@@ -29,7 +29,7 @@ from siltworks.llm.common import read
 
 #: Hashed weights; labelled rows to learn from at most.
 BUCKETS, SAMPLE = 1 << 18, 6000
-EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.1, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 20, 2500, 64, 0.1, 1e-4
 #: Rows of the mean grade that a bucket's own rows are averaged with.
 SHRINK = 10
 #: Documents are selected whose probability of at least this grade is at least this.
@@ -83,7 +83,7 @@ def train(starts: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: n
     w, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
     # the first threshold, then the logarithms of the steps to the next
     t, t_past = np.r_[-1.0, np.zeros(n_grades - 2)], np.full(n_grades - 1, 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(grades))):
         order = rng.permutation(len(grades))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
