@@ -1,0 +1,72 @@
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltworks.functions import sniff
+
+
+def riff(*chunks):
+    body = b"WEBP" + b"".join(k + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2) for k, d in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (riff((b"VP8L", b"x")), True), (riff((b"VP8 ", b"x")), False), (riff((b"VP8X", b"VP8L" * 3), (b"ICCP", b"odd"), (b"VP8 ", b"x")), False),
+        (riff((b"VP8X", b"0" * 10), (b"ANMF", b"\0" * 16 + b"VP8L\x01\0\0\0x\0")), True), (riff((b"EXIF", b"VP8L")), None), (b"RIFF", None), (None, None), (b"", None),
+    ],
+)
+def test_webp(raw, want):
+    assert sniff.webp_lossless(raw) is want
+
+
+def box(kind, body):
+    return struct.pack(">I", len(body) + 8) + kind + body
+
+
+def bits(*fields):
+    value = at = 0
+    for n, x in fields:
+        value |= x << at
+        at += n
+    return b"\xff\x0a" + value.to_bytes(-(-at // 8) + 2, "little")
+
+
+HEAD = [(1, 1), (5, 3), (3, 1)]
+LOSSLESS = bits(*HEAD, (1, 0), (1, 0), (1, 0), (2, 0), (1, 1), (2, 0), (1, 0))
+LOSSY = bits(*HEAD, (1, 0), (1, 0), (1, 0), (2, 0), (1, 1), (2, 0), (1, 1))
+SIGNATURE = b"\x00\x00\x00\x0cJXL \r\n\x87\n"
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (LOSSLESS, True), (LOSSY, False), (bits(*HEAD, (1, 1)), False), (SIGNATURE + box(b"jxlc", LOSSLESS), True), (SIGNATURE + box(b"jxlp", b"\0\0\0\0" + LOSSLESS), True),
+        (SIGNATURE + box(b"jbrd", b"x") + box(b"jxlc", LOSSLESS), False), (SIGNATURE + box(b"brob", b"jbrd" + b"x") + box(b"jxlc", LOSSLESS), False),
+        (SIGNATURE + b"\0\0", False), (b"\xff\x0a", False), (b"junk" * 9, None), (None, None), (SIGNATURE + box(b"jxlc", b"\xff\xd8" * 9), False),
+    ],
+)
+def test_jxl(raw, want):
+    assert sniff.jxl_lossless(raw) is want
+
+
+def test_magic_depth_and_columns(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 16 + b"\x10" + b"rest"
+    raws = [png, png[:20], b"GIF89a..", b"\xff\xd8\xff\xe0", riff((b"VP8L", b"x")), b"x" * 100 + b"%PDF-1.7", b"x" * 2000 + b"%PDF-1.7", b"PK\x03\x04", b"\0" * 257 + b"ustar", b"", None, b"text"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw binary")
+    lossless = sniff.bytes_column(sniff.webp_lossless, "boolean")
+    rows = {r.i: r for r in df.select("i", sniff.magic_format(F.col("raw")).alias("f"), sniff.png_bit_depth(F.col("raw")).alias("d"), lossless("raw").alias("w")).collect()}
+    assert [rows[i].f for i in range(len(raws))] == ["PNG", "PNG", "GIF", "JPEG", "WEBP", "PDF", None, "ZIP", "TAR", None, None, None]
+    assert [rows[i].d for i in (0, 1, 2)] == [16, None, None] and rows[4].w is True and rows[0].w is None
+
+
+def test_names_palette_tiff_and_xmp(spark):
+    assert sniff.cp437_repair("é".encode().decode("cp437")) == "é" and sniff.cp437_repair("plain") == "plain" and sniff.cp437_repair("日") == "日"
+    row = spark.createDataFrame([(0b10110111, None, "jpeg")], "i int, a string, b string").select(
+        sniff.palette_rgb(F.col("i")).alias("rgb"), sniff.tiff_lossless(F.col("a")).alias("a"), sniff.tiff_lossless(F.col("b")).alias("b")
+    )
+    assert tuple(row.first()) == ([180, 180, 108], True, False)
+    out = sniff.insert_xmp(b"\xff\xd8rest", b"<x/>")
+    assert out[:4] == b"\xff\xd8\xff\xe1" and struct.unpack(">H", out[4:6])[0] == len(out) - 4 - 4 and out.endswith(b"<x/>rest")
