@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -38,15 +39,21 @@ END = 1
 GROUP = 16384
 #: Nodes that a group's search may open, and fillings that it tries at each.
 NODES, FILLINGS = 4000, 4
-#: Entries that a worker's table of words may hold; it begins anew beyond.
-KEPT = 600_000
+#: Entries of a generation of a worker's tables; what two generations haven't met is forgotten.
+KEPT = 900_000
+#: The tokenizer's own split of lower-case text, its classes spelled out for letters up to U+00FF.
+NEAR = "a-zªµºß-öø-ÿ"
+NEAR_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{NEAR}]+|[0-9²³¹¼-¾]|[^\s{NEAR}0-9²³¹¼-¾]+").findall
+#: Words that it holds for: no letter beyond, no white space, no special token.
+NEAR_WORD = re.compile(r"[!-~¡-ÿ]+").fullmatch
 
 
 class Words:
     """Token ids of texts, one lookup for each word.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
-    those of its words at \\x20 and \\x09-\\x0D, one after the other.
+    those of its words at \x20 and \x09-\x0D, one after the other. A new word is
+    split as the tokenizer splits it, so that its parts are looked up too.
     """
 
     def __init__(self, path: str):
@@ -54,18 +61,54 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: whether an id ends a part of a word
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end."""
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.ids) > KEPT:
-            self.ids.clear()
-        new = list(set().union(*words) - self.ids.keys())
+            self.before, self.ids = self.ids, {}
+        found = [list(map(self.ids.get, w)) for w in words]
+        new = {x for w, f in zip(words, found) if None in f for x, ids in zip(w, f) if ids is None}
         if new:
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got))
-        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
+            known = new & self.before.keys()
+            self.ids.update((w, self.before[w]) for w in known)
+            self.learn(list(new - known))
+            for i, f in enumerate(found):
+                if None in f:
+                    found[i] = map(self.ids.__getitem__, words[i])
+        return [b"".join(f) for f in found]
+
+    def learn(self, new: list[bytes]) -> None:
+        split, whole = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if NEAR_WORD(text) and "<|" not in text:
+                split.append((word, NEAR_SPLIT(text.lower())))
+            else:
+                whole.append((word, text))
+        if whole:
+            got = self.tokenizer.encode_batch([t for _, t in whole], add_special_tokens=False)
+            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(whole, got))
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        missing = list({p for _, parts in split for p in parts} - self.parts.keys())
+        for at in range(0, len(missing), 256):
+            some = missing[at : at + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer splits words in another way")
+            raw = ids.tobytes()
+            self.parts.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, [0, *stops.tolist()], stops.tolist()))
+        get = self.parts.__getitem__
+        self.ids.update((word, b"".join(map(get, parts))) for word, parts in split)
 
 
 @cache
