@@ -26,6 +26,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +42,36 @@ GROUP = 16384
 #: Nodes that a group's search may open, and fillings that it tries at each.
 NODES, FILLINGS = 4000, 4
 #: Entries of a generation of a worker's tables; what two generations haven't met is forgotten.
-KEPT = 900_000
-#: The tokenizer's own split of lower-case text, its classes spelled out for letters up to U+00FF.
+KEPT = 300_000
+#: Bytes of text that are encoded at once, beside the last document that they reach into.
+BLOCK = 8 << 20
+#: The tokenizer's own split of lower-case text, its classes spelled out for letters up to U+00FF; and line ends, which part words.
 NEAR = "a-zªµºß-öø-ÿ"
-NEAR_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{NEAR}]+|[0-9²³¹¼-¾]|[^\s{NEAR}0-9²³¹¼-¾]+").findall
+NEAR_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{NEAR}]+|[0-9²³¹¼-¾]|\n|[^\s{NEAR}0-9²³¹¼-¾]+").findall
 #: Words that it holds for: no letter beyond, no white space, no special token.
-NEAR_WORD = re.compile(r"[!-~¡-ÿ]+").fullmatch
+NEAR_WORD = "^[!-~¡-ÿ]+$"
+
+
+class Recent:
+    """A table that forgets what it wasn't asked for since long: two generations of :data:`KEPT` entries or so."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Those of ``keys`` that aren't known; the others are kept for another generation."""
+        if len(self.now) > KEPT:
+            self.before, self.now = self.now, {}
+        new = [k for k in keys if k not in self.now]
+        if self.before:
+            self.now.update((k, self.before[k]) for k in new if k in self.before)
+            new = [k for k in new if k not in self.now]
+        return new
 
 
 class Words:
-    """Token ids of texts, one lookup for each word.
+    """Token ids of texts, one lookup for each distinct word of a block of texts.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are
     those of its words at \x20 and \x09-\x0D, one after the other. A new word is
@@ -65,40 +87,41 @@ class Words:
         #: whether an id ends a part of a word
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.ids: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.ids, self.parts = Recent(), Recent()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.ids) > KEPT:
-            self.before, self.ids = self.ids, {}
-        found = [list(map(self.ids.get, w)) for w in words]
-        new = {x for w, f in zip(words, found) if None in f for x, ids in zip(w, f) if ids is None}
-        if new:
-            known = new & self.before.keys()
-            self.ids.update((w, self.before[w]) for w in known)
-            self.learn(list(new - known))
-            for i, f in enumerate(found):
-                if None in f:
-                    found[i] = map(self.ids.__getitem__, words[i])
-        return [b"".join(f) for f in found]
-
-    def learn(self, new: list[bytes]) -> None:
-        split, whole = [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if NEAR_WORD(text) and "<|" not in text:
-                split.append((word, NEAR_SPLIT(text.lower())))
-            else:
-                whole.append((word, text))
+        ids, n = self.encode_block(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n))[: len(texts)]]
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, one after the other, without ends; and how many each text has."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(self.ids.missing(words))
+        raw = list(map(self.ids.now.__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        upto = np.r_[0, np.cumsum(each)]
+        ids = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+        of_text = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids, np.diff(upto[of_text])
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of the words ``new`` into the table."""
+        column = pa.array(new, pa.large_string())
+        near = pc.and_(pc.match_substring_regex(column, NEAR_WORD), pc.invert(pc.match_substring(column, "<|")))
+        near, whole = column.filter(near).to_pylist(), column.filter(pc.invert(near)).to_pylist()
         if whole:
-            got = self.tokenizer.encode_batch([t for _, t in whole], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(whole, got))
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        missing = list({p for _, parts in split for p in parts} - self.parts.keys())
+            got = self.tokenizer.encode_batch(whole, add_special_tokens=False)
+            self.ids.now.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, got))
+        if not near:
+            return
+        parts = NEAR_SPLIT("\n".join(near).lower() + "\n")
+        missing = self.parts.missing(list(set(parts) - {"\n"}))
         for at in range(0, len(missing), 256):
             some = missing[at : at + 256]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -106,9 +129,13 @@ class Words:
             if len(stops) != len(some):
                 raise ValueError("the tokenizer splits words in another way")
             raw = ids.tobytes()
-            self.parts.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, [0, *stops.tolist()], stops.tolist()))
-        get = self.parts.__getitem__
-        self.ids.update((word, b"".join(map(get, parts))) for word, parts in split)
+            self.parts.now.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, [0, *stops.tolist()], stops.tolist()))
+        self.parts.now["\n"] = b""
+        raw = list(map(self.parts.now.__getitem__, parts))
+        upto = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        stops = upto[[k for k, part in enumerate(parts) if part == "\n"]].tolist()
+        joined = b"".join(raw)
+        self.ids.now.update((w, joined[i:j]) for w, i, j in zip(near, [0, *stops], stops))
 
 
 @cache
@@ -116,28 +143,45 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows, each with about :data:`BLOCK` bytes of text or one longer text."""
+    block = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    return ((i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
+
+
 def token_pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document, and ids (binary) on request."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, end = words(path), np.array([END], "<u4").tobytes()
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = words(path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                rows = []
-                for doc, ids in zip(part["doc_id"], table.encode(part["text"].tolist())):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids) // 4, size)):
-                        own = ids[4 * start : 4 * (start + size)]
-                        rows.append((doc, piece, start, len(own) // 4, zlib.crc32(own), own))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64") if numbers else out["doc_id"]
-                yield out if with_ids else out.drop(columns="ids")
+            for i, j in blocks(batch.column("text")):
+                part = batch.slice(i, j - i)
+                ids, n = table.encode_block(part.column("text"))
+                ids, n = np.insert(ids, np.cumsum(n), END), n + 1
+                count = -(-n // size)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start, first = piece * size, np.cumsum(n) - n
+                length = np.minimum(size, n[row] - start)
+                begin = 4 * (first[row] + start)
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                own = [raw[x:y] for x, y in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                out = {
+                    "doc_id": part.column("doc_id").take(pa.array(row)),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array(map(zlib.crc32, own), pa.int64()),
+                }
+                if with_ids:
+                    out["ids"] = pa.array(map(bytes, own), pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     kind = dict(docs.dtypes)["doc_id"]
-    numbers = kind in ("bigint", "int")
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(pieces, schema)
+    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
 
 def least_bins(lengths: list[int], size: int) -> int:
