@@ -37,8 +37,6 @@ IDENTIFIER = rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+(?:\x20[()+.-]*+[0-9][0
 CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 3
 #: In the documents where it precedes an identifier, it does so for this share of its occurrences.
 SPECIFIC = 0.5
-#: Digits that an identifier found by context must have.
-DIGITS = 4
 
 _BLOCK = 256
 
@@ -122,7 +120,7 @@ def fixed_spans(docs: DataFrame) -> DataFrame:
     cols = [parts(text, FIXED[k], guards[k]).alias(k) for k in FIXED]
     rows = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), *cols, parts(text, IDENTIFIER, text.rlike("[0-9]")).alias("ids"),
-        F.when(text.rlike("[0-9]"), F.concat(F.lit(" "), F.regexp_replace(F.lower(text), rf"[{_WS}]+", " "), F.lit(" "))).alias("plain"),
+        F.when(text.rlike("[0-9]"), F.concat(F.lit(" "), F.regexp_replace(F.lower(text), rf"[{_WS}]+", "  "), F.lit(" "))).alias("plain"),
     )
     rows = rows.select("doc_id", "text_hash", "plain", *(F.when(F.col(k).isNotNull(), located(F.col(k))).alias(k) for k in (*FIXED, "ids")))
     spans = [named(k) for k in FIXED]
@@ -134,16 +132,22 @@ def fixed_spans(docs: DataFrame) -> DataFrame:
             (s["start"] + F.length(F.regexp_extract(s["text"], r"^[^\p{L}0-9+]+", 0))).alias("start"),
         ),
     )
-    counted = F.transform(ids, lambda i: i.withField("again", times(F.col("plain"), F.element_at(F.split(i["left"], rf"[{_WS}]+"), -1))))
-    none = F.array().cast("array<struct<left:string,text:string,start:int,again:int>>")
+    counted = F.transform(ids, lambda i: i.withField("again", F.transform(patterns(i["left"]), lambda p: times(F.col("plain"), p))))
+    none = F.array().cast("array<struct<left:string,text:string,start:int,again:array<int>>>")
     return rows.select("doc_id", "text_hash", F.concat(*spans).alias("base"), F.coalesce(counted, none).alias("ids"))
 
 
-def times(plain: Column, word: Column) -> Column:
-    """How often ``word`` stands in ``plain``, whose words are parted by one space each."""
-    token = F.concat(F.lit(" "), word, F.lit(" "))
+def patterns(left: Column) -> Column:
+    """The last word of ``left`` and, where there are two, both; parted by one space."""
+    words = F.split(left, rf"[{_WS}]+")
+    return F.array(F.element_at(words, -1), F.when(F.size(words) == 2, F.array_join(words, " ")))
+
+
+def times(plain: Column, pattern: Column) -> Column:
+    """How often ``pattern`` stands in ``plain``, of whose words each has a space on both sides."""
+    token = F.concat(F.lit(" "), F.replace(pattern, F.lit(" "), F.lit("  ")), F.lit(" "))
     left = F.length(F.replace(plain, token, F.lit("")))
-    return F.when(word == "", 0).otherwise(((F.length(plain) - left) / F.length(token)).cast("int"))
+    return F.when(pattern == "", 0).otherwise(((F.length(plain) - left) / F.length(token)).cast("int"))
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
@@ -151,11 +155,10 @@ def occurrences(rows: DataFrame) -> DataFrame:
     one = rows.where(F.size("ids") > 0).select("doc_id", "text_hash", "base", F.explode("ids").alias("i"))
     end = F.col("i.start") + F.length("i.text")
     seed = F.exists("base", lambda b: (b["start"] < end) & (b["end"] > F.col("i.start")))
-    words = F.split("i.left", rf"[{_WS}]+")
-    both = F.array(F.element_at(words, -1), F.when(F.size(words) == 2, F.array_join(words, " ")))
+    both = F.arrays_zip(patterns(F.col("i.left")).alias("pattern"), F.col("i.again").alias("again"))
     out = one.select(
-        "doc_id", "text_hash", F.explode(both).alias("pattern"), F.xxhash64("i.text").alias("instance"), seed.alias("seed"),
-        F.col("i.start").alias("start"), end.alias("end"), F.col("i.again").alias("again"), F.length(F.regexp_replace("i.text", "[^0-9]", "")).alias("digits"),
+        "doc_id", "text_hash", F.xxhash64("i.text").alias("instance"), seed.alias("seed"),
+        F.col("i.start").alias("start"), end.alias("end"), F.inline(both),
     )
     return out.where("pattern is not null and pattern != ''")
 
@@ -163,9 +166,9 @@ def occurrences(rows: DataFrame) -> DataFrame:
 def trusted_patterns(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """pattern and confidence of the patterns that the bootstrap trusts.
 
-    A pattern's confidence is the mean score of its distinct instances, of which
-    two more count as wrong; an instance's score is 1 if it is a seed, else the
-    chance that one of its half-trusted patterns is right.
+    A pattern's confidence is the mean score of its distinct instances; an
+    instance's score is 1 if it is a seed, else the chance that one of its
+    half-trusted patterns is right. ``support`` alone says how many seeds it takes.
     """
     uses = found.groupBy("pattern", "doc_id", "text_hash").agg(F.countDistinct("start").alias("k"), F.max("again").alias("again"))
     uses = uses.groupBy("pattern").agg((F.sum("k") / F.sum(F.greatest("k", "again"))).alias("specific")).where(F.col("specific") >= SPECIFIC)
@@ -175,7 +178,7 @@ def trusted_patterns(found: DataFrame, confidence: float = CONFIDENCE, support:
     scored = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
     for left in range(rounds, 0, -1):
         scores = scored.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 2)).alias("confidence"), F.count_if("seed").alias("seeds")
+            F.avg("score").alias("confidence"), F.count_if("seed").alias("seeds")
         )
         if left == 1:
             return scores.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "confidence")
@@ -188,7 +191,7 @@ def find_pii(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, text_hash, base and spans (arrays of kind, start, end in code points) for every row of ``docs``."""
     rows = cut(fixed_spans(docs))
     found = occurrences(rows)
-    new = found.where(~F.col("seed") & (F.col("digits") >= DIGITS)).join(trusted_patterns(found, **limits), "pattern")
+    new = found.where(~F.col("seed")).join(trusted_patterns(found, **limits), "pattern")
     span = F.struct(F.lit("context").alias("kind"), "start", "end")
     new = new.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash")).agg(F.sort_array(F.collect_set(span)).alias("more"))
     on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash"))

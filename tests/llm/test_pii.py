@@ -71,6 +71,30 @@ def test_contexts_find_unseen_identifiers_and_redaction(spark):
     assert rows[43] == texts[43] and rows[48] is None and rows[49] == "" and rows[50] == "no data"
 
 
+def redacted(spark, texts):
+    rows = {r.doc_id: r.text for r in pii.redact(documents(spark, texts)).collect()}
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_a_pattern_of_two_words_is_held_against_its_own_occurrences(spark):
+    seeds = [f"write  me at u{i}@mail.example or look at it at home at night" for i in range(30)]
+    # "to at" stands often before words without a digit, so it is no context; neither is "at"
+    other = [f"write to at v{i}@mail.example to at home to at night" for i in range(30)]
+    out = redacted(spark, [*seeds, *other, "write me at 77318x or look at it", "write to at 77318x or look at it"])
+    assert out[-2:] == ["write me at [CONTEXT] or look at it", "write to at 77318x or look at it"]
+
+
+def test_five_seeds_are_enough_and_four_are_not(spark):
+    five = [f"contact u{i}@mail.example please" for i in range(5)]
+    four = [f"ask v{i}@mail.example please" for i in range(4)]
+    assert redacted(spark, [*five, *four, "contact 77318x please", "ask 88429x please"])[-2:] == ["contact [CONTEXT] please", "ask 88429x please"]
+
+
+def test_identifiers_of_few_digits_are_drawn_by_their_context(spark):
+    texts = [f"contact u{i}@mail.example please" for i in range(30)] + ["contact jo7 please", "in 7 days"]
+    assert redacted(spark, texts)[-2:] == ["contact [CONTEXT] please", "in 7 days"]
+
+
 def test_overlaps_repeated_rows_null_ids_and_empty_table(spark):
     texts = ["me@a.co 1.2.3.4 no. 4111111111111111"] * 3 + [None]
     docs = documents(spark, texts, ids=[1, 1, None, None])
