@@ -12,9 +12,7 @@ others. So groups of copies never expand to pairs, and no candidate pair of
 different components goes unverified. Of each component the first occurrence
 (by doc_id, text, line number) stays.
 
-Lines below MIN_BYTES are duplicates only if they are equal: in so short a line
-any inner edit takes the similarity below the threshold. Lines below KEEP_BYTES,
-blank ones too, stay where they are.
+Lines below KEEP_BYTES, blank ones too, stay where they are, even if equal.
 
 Edge cases: a null or empty text has no line to remove; texts and lines of any
 length are taken whole; rows that are equal in doc_id and text are one document
@@ -38,7 +36,7 @@ DIFFER = 13
 #: Shingles kept for a bin, on average; one bin in exp(LOW) of a long line stays empty.
 LOW = 4.0
 #: Bytes of a normalised line from which it is compared, and from which it is removed if equal.
-MIN_BYTES, KEEP_BYTES = 40, 16
+MIN_BYTES, KEEP_BYTES = 16, 16
 
 
 def lines(docs: DataFrame) -> DataFrame:

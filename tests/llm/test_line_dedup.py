@@ -72,6 +72,13 @@ def test_high_recall_in_groups_of_alike_lines(spark):
     assert len(got) >= 0.97 * len(want) > 0
 
 
+def test_short_lines_that_differ_at_an_end(spark):
+    texts = [words(300 + g, 40)[:29].strip() + end for g in range(40) for end in ("", ".", "!")]
+    got = {r.doc_id for r in ld.removed_lines(documents(spark, texts)).collect()}
+    found = sum(i in got for i in range(len(texts)) if i % 3)
+    assert not got & set(range(0, len(texts), 3)) and found >= 0.97 * 80
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = documents(spark, [LINE] * 4, ids=[3, 3, None, 1])
     rows = ld.drop_duplicate_lines(docs).collect()
