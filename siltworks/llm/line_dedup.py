@@ -33,8 +33,6 @@ from siltworks.llm.components import components
 SHINGLE, ROWS, BANDS, THRESHOLD = 8, 4, 8, 0.8
 #: Bins that two lines at the threshold may differ in; they differ in 6 on average, in more than 13 once in 1000 times.
 DIFFER = 13
-#: Shingles kept for a bin, on average; one bin in exp(LOW) of a long line stays empty.
-LOW = 4.0
 #: Bytes of a normalised line from which it is compared, and from which it is removed if equal.
 MIN_BYTES, KEEP_BYTES = 16, 16
 
@@ -54,7 +52,10 @@ def shingles(line: Column) -> Column:
 
 
 def signed(distinct: DataFrame) -> DataFrame:
-    """h and bands (array of keys, null where a band has less than two bins) of lines (h, line).
+    """h and bands (array of keys) of lines (h, line).
+
+    A band with less than two bins takes the next filled ones, from its start and
+    round to the first; so a line of few distinct shingles has all its keys too.
 
     Shingles are exploded and reduced to the bins' minima by one aggregation on h,
     on which ``distinct`` is partitioned already.
@@ -63,16 +64,16 @@ def signed(distinct: DataFrame) -> DataFrame:
     raw = F.col("line").cast("binary")
     each = distinct.where(F.octet_length("line") >= MIN_BYTES).select("h", raw.alias("raw"))
     each = each.select("h", "raw", F.explode(F.sequence(F.lit(1), F.length("raw") - (SHINGLE - 1))).alias("i"))
-    each = each.select("h", F.length("raw").alias("n"), F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("s"))
-    # a bin's minimum lies low in a long line: what lies too high to be one is dropped at once
-    order = F.shiftrightunsigned("s", 8)
-    each = each.where(order < F.lit(float(1 << 56)) * LOW * bins / F.col("n")).select("h", order.alias("s"), F.col("s").bitwiseAND(bins - 1).alias("bin"))
+    each = each.select("h", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("s"))
+    each = each.select("h", F.shiftrightunsigned("s", 8).alias("s"), F.col("s").bitwiseAND(bins - 1).alias("bin"))
     least = each.groupBy("h").agg(*(F.min(F.when(F.col("bin") == k, F.col("s"))).alias(f"m{k}") for k in range(bins)))
     keys = []
     for b in range(BANDS):
         own = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
         filled = sum((c.isNotNull().cast("int") for c in own), F.lit(0))
-        keys.append(F.when(filled >= 2, F.xxhash64(F.lit(b), *(F.coalesce(c, F.lit(0).cast("long")) for c in own))))
+        round_ = F.array(*(F.col(f"m{(b * ROWS + k) % bins}") for k in range(bins)))
+        next_ = F.slice(F.filter(round_, lambda x: x.isNotNull()), 1, ROWS)
+        keys.append(F.when(filled >= 2, F.xxhash64(F.lit(b), *(F.coalesce(c, F.lit(0).cast("long")) for c in own))).otherwise(F.xxhash64(F.lit(b), next_)))
     return least.select("h", *(_nibbles(16 * i).alias(f"sig{i}") for i in range(bins // 16)), F.array(*keys).alias("bands"))
 
 
@@ -114,7 +115,7 @@ def linked_lines(docs: DataFrame) -> DataFrame:
     distinct = lines(docs).groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
     known = bucketed(distinct.select("h", "line", "first", "n"), "h")
     keys = table(signed(known.select("h", "line")))
-    rows = keys.select("h", F.struct("sig0", "sig1").alias("sig"), F.explode("bands").alias("key")).where("key is not null")
+    rows = keys.select("h", F.struct("sig0", "sig1").alias("sig"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = table(rows.join(shared, "key"))
     texts = table(known.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))

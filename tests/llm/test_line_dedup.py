@@ -79,6 +79,13 @@ def test_short_lines_that_differ_at_an_end(spark):
     assert not got & set(range(0, len(texts), 3)) and found >= 0.97 * 80
 
 
+def test_long_lines_of_few_distinct_shingles(spark):
+    phrases = ("buy now! ", "one long line of a repeated phrase, ", "aaaaaaaaaaaaaaab", "= ")
+    texts = [p * (1000 + k) for p in phrases for k in range(2)]
+    got = {r.doc_id for r in ld.removed_lines(documents(spark, texts)).collect()}
+    assert got == {1, 3, 5, 7}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = documents(spark, [LINE] * 4, ids=[3, 3, None, 1])
     rows = ld.drop_duplicate_lines(docs).collect()
