@@ -16,12 +16,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    It is the one that spark.checkpoint.dir names; only where that is unset (tests
-    on one machine) a temporary folder is made.
+    It is the one that spark.checkpoint.dir names; only where that is unset in
+    local mode (tests on one machine) a temporary folder is made.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("-checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -38,10 +41,35 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The same as a table in the shared warehouse, bucketed by ``key``: joins and sums by it need no exchange of its rows."""
-    spark = df.sparkSession
-    name = f"bucketed_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(buckets, key).format("parquet").saveAsTable(name)
-    return spark.table(name)
+class Scratch:
+    """Tables that live as long as the block: ``with Scratch(spark) as scratch``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.names = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Like :func:`table`."""
+        self.folders.append(f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").parquet(self.folders[-1])
+        return self.spark.read.parquet(self.folders[-1])
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """The same as a table in the shared warehouse, bucketed by ``key``: joins and sums by it need no exchange of its rows.
+
+        The bucket count is that of the session's shuffle partitions, which is to be set by the size of the input.
+        """
+        self.names.append(f"bucketed_{uuid.uuid4().hex}")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").bucketBy(buckets, key).format("parquet").saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in self.folders:
+            path = hadoop.Path(folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

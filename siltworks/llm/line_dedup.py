@@ -1,24 +1,29 @@
 """Fuzzy line dedup by MinHash, by DataFrame functions only.
 
-Lines (parted by \\n, trimmed, lower-cased) are made distinct by hash. Every
-distinct line of at least MIN_BYTES gets a one-permutation MinHash signature of
-its character shingles, taken over the UTF-8 bytes: BANDS * ROWS bins, of which
-each keeps its least shingle hash. Lines that agree on all bins of a band are
-candidates unless their signatures say that they are far from the threshold.
-Each bucket's lines are held against its most central line first; the links
-that exact Jaccard similarity confirms are merged by distributed union-find, and
-only lines of a bucket that are still apart from it are held against all the
-others. So groups of copies never expand to pairs, and no candidate pair of
-different components goes unverified. Of each component the first occurrence
-(by doc_id, text, line number) stays.
-
-Lines below KEEP_BYTES, blank ones too, stay where they are, even if equal.
-
-Edge cases: a null or empty text has no line to remove; texts and lines of any
-length are taken whole; rows that are equal in doc_id and text are one document
-and come out alike; rows with a null doc_id take part, and come first; an empty
-table gives no row; further columns are ignored or, where documents are
-returned, left as they are.
+Lines (parted by \\n, trimmed of blanks, tabs and \\r, lower-cased) are made
+distinct by hash. Every distinct line gets a MinHash signature of its shingles of
+SHINGLE characters: BANDS * ROWS minima, each of one 64-bit shingle hash under
+another exclusive-or, so that a minimum is the hash nearest to the mask. Lines
+that agree on all minima of a band share a bucket and are candidates.
+
+Each bucket's lines are held against its most central line first. The links that
+exact Jaccard similarity confirms are merged by distributed union-find, and only
+lines that are still apart from their bucket's central line are held against the
+bucket's others. So groups of copies never expand to pairs, and no candidate pair
+of different components goes unverified. Before shingle sets are compared, an odd
+sketch rules pairs out for certain: of two sketches no more bits can differ than
+shingles of the two lines.
+
+Of each component the first occurrence (by doc_id, text, line number) stays.
+
+Edge cases: blank lines always stay; a line under SHINGLE characters is one
+shingle, so it is alike equal lines only; a null or empty text has no line to
+remove; texts and lines of any length are taken whole; lines are equal if two
+64-bit hashes agree, and of lines that agree in the first one only, those of one
+text are compared and the others stay; rows that are equal in doc_id and text are
+one document and come out alike; rows with a null doc_id take part, and come
+first; an empty table gives no row; further columns are ignored or, where
+documents are returned, left as they are.
 """
 
 from __future__ import annotations
@@ -26,153 +31,184 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import bucketed, cut, read, table
+from siltworks.llm.common import Scratch, cut, read, table
 from siltworks.llm.components import components
 
-#: Bytes in a shingle; a pair at the threshold is found with a chance of 1 - (1 - 0.8**ROWS)**BANDS = 0.985.
+#: Characters in a shingle; a pair at the threshold is found with a chance of 1 - (1 - 0.8**ROWS)**BANDS = 0.985.
 SHINGLE, ROWS, BANDS, THRESHOLD = 8, 4, 8, 0.8
-#: Bins that two lines at the threshold may differ in; they differ in 6 on average, in more than 13 once in 1000 times.
-DIFFER = 13
-#: Bytes of a normalised line from which it is compared, and from which it is removed if equal.
-MIN_BYTES, KEEP_BYTES = 16, 16
+#: 64-bit words of an odd sketch.
+WORDS = 32
+#: Bytes of a character in UTF-32, where each has a place that is known.
+_WIDE = 4
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (normalised) and h of every line that can be removed."""
-    split = F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "raw")
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), split)
-    each = each.select("doc_id", "text_hash", "line_no", F.lower(F.trim("raw")).alias("line"))
-    return each.where(F.octet_length("line") >= KEEP_BYTES).withColumn("h", F.xxhash64("line"))
+def line_hashes(text: Column) -> Column:
+    """For each line of ``text`` h and g, two hashes of the normalised line; null for blank lines."""
+    each = F.transform(F.split(text, "\n", -1), normal)
+    return F.transform(each, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))))
 
 
-def shingles(line: Column) -> Column:
-    """The hashes of a line's shingles."""
-    raw = line.cast("binary")
-    return F.transform(F.sequence(F.lit(1), F.length(raw) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))
+def normal(line: Column) -> Column:
+    """A line as it is compared."""
+    return F.lower(F.btrim(line, F.lit(" \t\r")))
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and lines (array of h, g) of every row, without texts."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), line_hashes(F.col("text")).alias("lines"))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """h, g, line and n (how often it stands in ``docs``) of every distinct line that isn't blank."""
+    each = docs.select(F.explode(F.split("text", "\n", -1)).alias("raw")).select(normal(F.col("raw")).alias("line")).where("line != ''")
+    each = each.select(F.xxhash64("line").alias("h"), F.struct(F.xxhash64(F.lit(1), "line").alias("g"), "line").alias("own"))
+    return each.groupBy("h").agg(F.min("own").alias("own"), F.count("*").alias("n")).select("h", "own.*", "n")
+
+
+def masks() -> list[int]:
+    """BANDS * ROWS masks that are spread evenly over the signed 64-bit integers."""
+    step = (1 << 64) // (BANDS * ROWS)
+    return [k * step + step // 2 - (1 << 63) for k in range(BANDS * ROWS)]
 
 
 def signed(distinct: DataFrame) -> DataFrame:
-    """h and bands (array of keys) of lines (h, line).
+    """h and bands (array of keys) of lines (h, line) of at least a shingle.
+
+    Shingles are exploded and reduced to minima by one aggregation on h, on which
+    ``distinct`` is partitioned already.
+    """
+    each = distinct.where(F.length("line") >= SHINGLE).select("h", F.encode("line", "UTF-32").alias("raw"), F.length("line").alias("n"))
+    each = each.select("h", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
+    each = each.select("h", F.xxhash64(F.substring("raw", F.col("i") * _WIDE + 1, F.lit(SHINGLE * _WIDE))).alias("s"))
+    least = each.groupBy("h").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks())))
+    keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    return least.select("h", F.array(*keys).alias("bands"))
+
+
+def shingles(line: Column) -> Column:
+    """The distinct hashes of a line's shingles."""
+
+    def of(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), x["n"] - SHINGLE), lambda i: F.xxhash64(F.substring(x["raw"], i * _WIDE + 1, F.lit(SHINGLE * _WIDE))))
+        return F.array_distinct(each)
 
-    A band with less than two bins takes the next filled ones, from its start and
-    round to the first; so a line of few distinct shingles has all its keys too.
+    # as an array's element the line is encoded once, not for every shingle
+    own = F.array(F.struct(F.encode(line, "UTF-32").alias("raw"), F.length(line).alias("n")))
+    return F.element_at(F.transform(own, of), 1)
 
-    Shingles are exploded and reduced to the bins' minima by one aggregation on h,
-    on which ``distinct`` is partitioned already.
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """h, size (distinct shingles) and w0, w1 ...: the odd sketch, in which each shingle turns one bit."""
+    each = texts.select("h", shingles(F.col("line")).alias("all")).select("h", F.size("all").alias("size"), F.explode("all").alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))
+    each = each.select("h", "size", bit.alias("bit"), F.shiftright("s", 6).bitwiseAND(WORDS - 1).alias("word"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+    return each.groupBy("h").agg(F.first("size").alias("size"), *words)
+
+
+def may_be_similar(a: str, b: str, threshold: float = THRESHOLD) -> Column:
+    """False only where the sketches of ``a`` and ``b`` (structs) prove that the Jaccard similarity is below ``threshold``.
+
+    At a similarity of t, sets of n and m elements differ in (n + m) * (1 - t) / (1 + t) elements.
     """
-    bins = ROWS * BANDS
-    raw = F.col("line").cast("binary")
-    each = distinct.where(F.octet_length("line") >= MIN_BYTES).select("h", raw.alias("raw"))
-    each = each.select("h", "raw", F.explode(F.sequence(F.lit(1), F.length("raw") - (SHINGLE - 1))).alias("i"))
-    each = each.select("h", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("s"))
-    each = each.select("h", F.shiftrightunsigned("s", 8).alias("s"), F.col("s").bitwiseAND(bins - 1).alias("bin"))
-    least = each.groupBy("h").agg(*(F.min(F.when(F.col("bin") == k, F.col("s"))).alias(f"m{k}") for k in range(bins)))
-    keys = []
-    for b in range(BANDS):
-        own = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
-        filled = sum((c.isNotNull().cast("int") for c in own), F.lit(0))
-        round_ = F.array(*(F.col(f"m{(b * ROWS + k) % bins}") for k in range(bins)))
-        next_ = F.slice(F.filter(round_, lambda x: x.isNotNull()), 1, ROWS)
-        keys.append(F.when(filled >= 2, F.xxhash64(F.lit(b), *(F.coalesce(c, F.lit(0).cast("long")) for c in own))).otherwise(F.xxhash64(F.lit(b), next_)))
-    return least.select("h", *(_nibbles(16 * i).alias(f"sig{i}") for i in range(bins // 16)), F.array(*keys).alias("bands"))
-
-
-def _nibbles(start: int) -> Column:
-    """The low 4 bits of 16 bins' minima in one long."""
-    part = [F.shiftleft(F.coalesce(F.col(f"m{start + k}"), F.lit(0).cast("long")).bitwiseAND(15), 4 * k) for k in range(16)]
-    out = part[0]
-    for p in part[1:]:
-        out = out.bitwiseOR(p)
-    return out
-
-
-def may_be_similar(a: str, b: str) -> Column:
-    """Whether the signatures of columns ``a`` and ``b`` differ in at most DIFFER bins."""
-    total = F.lit(0)
-    for i in range(ROWS * BANDS // 16):
-        x = F.col(f"{a}.sig{i}").bitwiseXOR(F.col(f"{b}.sig{i}"))
-        for k in (1, 2):  # a nibble's lowest bit becomes the union of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total <= DIFFER
+    differ = F.lit(0)
+    for k in range(WORDS):
+        differ = differ + F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}")))
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    at_most = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(n - m) <= at_most) & (differ <= at_most)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``."""
-    pairs = pairs.distinct()
+    """The distinct ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``."""
     held = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     held = held.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    held = held.select("a", "b", *(F.array_distinct(shingles(F.col(f"line_{x}"))).alias(f"set_{x}") for x in "ab"))
+    held = held.select("a", "b", *(shingles(F.col(f"line_{x}")).alias(f"set_{x}") for x in "ab"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return held.select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("all")).where(
-        F.col("n") >= threshold * (F.col("all") - F.col("n"))
-    ).select("a", "b")
-
-
-def linked_lines(docs: DataFrame) -> DataFrame:
-    """h, component (a line's h) and the occurrence that stays (doc_id, text_hash, line_no), of lines that are not unique."""
-    place = F.struct("doc_id", "text_hash", "line_no")
-    distinct = lines(docs).groupBy("h").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    known = bucketed(distinct.select("h", "line", "first", "n"), "h")
-    keys = table(signed(known.select("h", "line")))
-    rows = keys.select("h", F.struct("sig0", "sig1").alias("sig"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = table(rows.join(shared, "key"))
-    texts = table(known.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))
+    held = held.select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("all"))
+    return held.where(F.col("n") >= threshold * (F.col("all") - F.col("n"))).select("a", "b")
+
+
+def links(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links a, b of similar lines: their components are those of all candidates that are similar."""
+    keys = scratch.table(signed(known.select("h", "line")))
+    rows = keys.select("h", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    members = scratch.table(rows.join(shared, "key"))
+    texts = scratch.table(known.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))
+    words = [f"w{k}" for k in range(WORDS)]
+    sketches = scratch.table(sketched(texts)).select("h", F.struct("size", *words).alias("own"))
     # a line that shares many large buckets is near the middle of its group
-    central = members.groupBy("h").agg(F.sum("size").alias("score"))
-    members = members.join(central, "h")
-    lead = members.groupBy("key").agg(F.min_by(F.struct("h", "sig"), F.struct(-F.col("score"), "h")).alias("lead"))
-    members = table(members.join(lead, "key").select("key", "h", "sig", F.col("lead.h").alias("lead"), F.col("lead.sig").alias("lead_sig")))
-    near = members.where((F.col("h") != F.col("lead")) & may_be_similar("sig", "lead_sig"))
-    star = cut(similar(near.select(F.least("lead", "h").alias("a"), F.greatest("lead", "h").alias("b")), texts))
+    central = members.groupBy("h").agg(F.sum("in_bucket").alias("score"))
+    lead = members.join(central, "h").groupBy("key").agg(F.min(F.struct(-F.col("score"), "h")).alias("least"))
+    members = scratch.table(members.select("key", "h").join(lead.select("key", F.col("least.h").alias("lead")), "key"))
+    near = members.where("h != lead").select(F.least("lead", "h").alias("a"), F.greatest("lead", "h").alias("b")).distinct()
+    near = near.join(sketches.select(F.col("h").alias("a"), F.col("own").alias("own_a")), "a")
+    near = near.join(sketches.select(F.col("h").alias("b"), F.col("own").alias("own_b")), "b")
+    star = cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b"), texts))
     of = components(star)
     named = members.join(of, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node")
     led = of.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
     named = named.join(led, F.col("lead") == F.col("lead_node"), "left").withColumn("lead_root", F.coalesce("lead_root", "lead"))
-    apart = named.where("root != lead_root").select("key", F.col("h").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
-    others = named.select(
-        "key", F.col("h").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"), "lead", (F.col("root") != F.col("lead_root")).alias("b_apart")
+    named = scratch.table(named.select("key", "h", "lead", "root", (F.col("root") != F.col("lead_root")).alias("apart")))
+    # buckets of which no line is apart are done
+    left = named.where("apart").select("key").distinct()
+    named = named.join(left, "key", "left_semi").join(sketches, "h")
+    apart = named.where("apart").select("key", F.col("h").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"))
+    others = named.where("h != lead").select(
+        "key", F.col("h").alias("b"), F.col("root").alias("root_b"), F.col("own").alias("own_b"), F.col("apart").alias("b_apart")
     )
     # where both are apart, one order of the pair is enough
-    cross = apart.join(others, "key").where(
-        (F.col("root_a") != F.col("root_b")) & (F.col("b") != F.col("lead")) & (~F.col("b_apart") | (F.col("a") < F.col("b"))) & may_be_similar("sig_a", "sig_b")
-    )
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = cut(star.unionByName(similar(cross, texts)))
-    final = components(links).select(F.col("node").alias("h"), F.col("root").alias("component"))
-    whole = known.select("h", "first", "n").join(final, "h", "left").where("n > 1 or component is not null")
-    whole = whole.withColumn("component", F.coalesce("component", "h"))
-    stays = whole.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("stays"))
-    return whole.join(stays, F.col("component") == F.col("of")).select("h", "component", "stays")
+    cross = apart.join(others, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("b_apart") | (F.col("a") < F.col("b"))) & may_be_similar("own_a", "own_b"))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(star.unionByName(similar(cross, texts)))
+
+
+def linked_lines(docs: DataFrame) -> DataFrame:
+    """h, g and component (a line's h) of the lines that are not unique."""
+    with Scratch(docs.sparkSession) as scratch:
+        known = scratch.bucketed(distinct_lines(docs), "h")
+        final = components(links(known, scratch)).select(F.col("node").alias("h"), F.col("root").alias("component"))
+        whole = known.select("h", "g", "n").join(final, "h", "left").where("n > 1 or component is not null")
+        return table(whole.select("h", "g", F.coalesce("component", "h").alias("component")))
+
 
+def removed_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, text_hash and drop (sorted numbers of the lines to remove), of documents that lose a line.
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and drop (sorted numbers of the lines to remove), of documents that lose a line."""
+    ``rows`` are the :func:`occurrences` of ``docs``.
+    """
+    linked = linked_lines(docs)
+    each = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).where("line is not null")
+    each = each.select("doc_id", "text_hash", "line_no", F.col("line.h").alias("h"), F.col("line.g").alias("own_g"))
     # hot lines come many times: the join's large side is one that Spark can split
-    found = lines(docs).select("doc_id", "text_hash", "line_no", "h").join(linked_lines(docs), "h")
+    found = table(each.join(linked, "h").where("own_g = g").select("doc_id", "text_hash", "line_no", "component"))
     here = F.struct("doc_id", "text_hash", "line_no")
-    gone = found.where(~here.eqNullSafe(F.col("stays")))
+    stays = found.groupBy(F.col("component").alias("of")).agg(F.min(here).alias("stays"))
+    gone = found.join(stays, F.col("component") == F.col("of")).where(~here.eqNullSafe(F.col("stays")))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
 
 
-def with_removed(docs: DataFrame, *names: str) -> DataFrame:
-    """The columns ``names`` of ``docs`` and _drop, null where nothing goes."""
-    gone = removed_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_hash"), F.col("drop").alias("_drop"))
-    rows = docs.select(*names) if "text" in names else docs.select(*names, F.xxhash64("text").alias("_hash"))
-    hash_ = F.xxhash64("text") if "text" in names else F.col("_hash")
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (hash_ == F.col("_of_hash")), "left")
-    return out.select(*names, "_drop", *([] if "text" in names else ["_hash"]))
+def without_removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (with _doc_id and _text_hash) and _drop, null where nothing goes."""
+    gone = gone.select(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_hash"), F.col("drop").alias("_drop"))
+    return rows.join(gone, F.col("_doc_id").eqNullSafe(F.col("_of_doc")) & (F.col("_text_hash") == F.col("_of_hash")), "left")
 
 
-def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat another; no document goes.
+def drop_duplicate_lines(docs: DataFrame, emptied: bool = True) -> DataFrame:
+    """``docs`` without the lines that repeat another.
 
-    All columns stay; n_chars, if there is one, is counted anew where texts changed.
+    All columns stay; n_chars, if there is one, is counted anew where texts
+    changed. Documents of which no line but blank ones is left go if ``emptied``
+    is false and they have lost a line.
     """
-    out = with_removed(docs, *docs.columns)
+    own = docs.select("doc_id", "text")
+    rows = docs.select("*", F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    out = without_removed(rows, table(removed_lines(own, table(occurrences(own)))))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
     out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    if not emptied:
+        out = out.where(F.col("_drop").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
@@ -181,7 +217,9 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many lines go, and which (numbers from 0)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
-    out = with_removed(counted.select("doc_id", "n_lines", "text"), "doc_id", "n_lines")
+    rows = table(occurrences(docs))
+    n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    own = rows.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), n_lines.alias("n_lines"))
+    out = without_removed(own, removed_lines(docs, rows))
     gone = F.coalesce("_drop", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    return out.select(F.col("_doc_id").alias("doc_id"), "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))

@@ -5,22 +5,20 @@ from tests.llm.helpers import Groups, documents, words
 
 
 def shingles(line):
-    return {line[i : i + ld.SHINGLE] for i in range(len(line) - ld.SHINGLE + 1)}
+    return {line[i : i + ld.SHINGLE] for i in range(len(line) - ld.SHINGLE + 1)} or {line}
 
 
 def plain(docs):
-    """What goes: {doc_id: [line numbers]}, by comparing all lines; and the similarities near the threshold."""
+    """What goes: {doc_id: [line numbers]}, by comparing all lines."""
     places = {}
     for doc, text in sorted(docs, key=lambda d: d[0]):
         for i, raw in enumerate((text or "").split("\n")):
-            line = raw.strip(" ").lower().encode()
-            if len(line) >= ld.KEEP_BYTES:
+            if line := raw.strip(" \t\r").lower():
                 places.setdefault(line, []).append((doc, i))
     groups = Groups(places)
-    long = [x for x in places if len(x) >= ld.MIN_BYTES]
-    for k, a in enumerate(long):
-        for b in long[k + 1 :]:
-            x, y = shingles(a), shingles(b)
+    sets = [(x, shingles(x)) for x in places]
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
             if len(x & y) >= ld.THRESHOLD * len(x | y):
                 groups.join(a, b)
     first, gone = {}, {}
@@ -34,6 +32,11 @@ def plain(docs):
     return {d: sorted(x) for d, x in gone.items()}
 
 
+def removed(docs):
+    own = docs.select("doc_id", "text")
+    return {r.doc_id: list(r.drop) for r in ld.removed_lines(own, ld.occurrences(own)).collect()}
+
+
 def edited(line, seed):
     rng, w = random.Random(seed), line.split(" ")
     w[rng.randrange(len(w))] = "edited"
@@ -42,7 +45,7 @@ def edited(line, seed):
 
 LINE = words(77, 60)
 TEXTS = [
-    None, "", "\n\n", "short\nshort\nshort", LINE, "  " + LINE.upper() + " \n" + words(5, 30), edited(LINE, 1), edited(LINE, 2) + "\n" + words(6, 30),
+    None, "", "\n\n", "short\nshort\nshort\r\n\tshort", LINE, "  " + LINE.upper() + " \n" + words(5, 30), edited(LINE, 1), edited(LINE, 2) + "\n" + words(6, 30),
     words(5, 30) + "\nexactly 16 bytes\nexactly 16 bytes", "é" * 60 + "\n" + "é" * 60, words(8, 20000), words(8, 20000) + " x", words(9, 40) + "\n" + edited(words(9, 40), 3),
 ]
 
@@ -50,8 +53,7 @@ TEXTS = [
 def test_same_lines_go_as_by_brute_force(spark):
     docs = documents(spark, TEXTS)
     want = plain(enumerate(TEXTS))
-    got = {r.doc_id: list(r.drop) for r in ld.removed_lines(docs).collect()}
-    assert got == want
+    assert removed(docs) == want
     out = ld.drop_duplicate_lines(docs)
     assert out.columns == docs.columns
     rows = {r.doc_id: r for r in out.collect()}
@@ -60,6 +62,12 @@ def test_same_lines_go_as_by_brute_force(spark):
         assert rows[i].text == kept and (kept is None or rows[i].n_chars == len(kept))
 
 
+def test_emptied_documents_go_on_request(spark):
+    docs = documents(spark, [LINE, LINE, None, "", LINE + "\nand one more line"])
+    out = {r.doc_id: r.text for r in ld.drop_duplicate_lines(docs, emptied=False).collect()}
+    assert out == {0: LINE, 2: None, 3: "", 4: "and one more line"}
+
+
 def test_high_recall_in_groups_of_alike_lines(spark):
     texts = []
     for g in range(40):
@@ -67,23 +75,46 @@ def test_high_recall_in_groups_of_alike_lines(spark):
         texts += [line, *(edited(line, s) for s in range(3))]
     texts += [words(5000 + i, 30) for i in range(100)]
     want = plain(enumerate(texts))
-    got = {r.doc_id for r in ld.removed_lines(documents(spark, texts)).collect()}
+    got = set(removed(documents(spark, texts)))
     assert not got - set(want)
     assert len(got) >= 0.97 * len(want) > 0
 
 
-def test_short_lines_that_differ_at_an_end(spark):
-    texts = [words(300 + g, 40)[:29].strip() + end for g in range(40) for end in ("", ".", "!")]
-    got = {r.doc_id for r in ld.removed_lines(documents(spark, texts)).collect()}
-    found = sum(i in got for i in range(len(texts)) if i % 3)
-    assert not got & set(range(0, len(texts), 3)) and found >= 0.97 * 80
+def test_a_large_group_without_its_middle(spark):
+    # copies with many edits each: few are alike, and which are must not depend on the bucket's central line
+    texts = [edited(edited(edited(words(4000, 30), s), s + 1), s + 2) for s in range(300)]
+    want, got = plain(enumerate(texts)), removed(documents(spark, texts))
+    assert not set(got) - set(want) and len(got) >= 0.97 * len(want) > 100
+
+
+def test_short_lines_and_ends_in_several_scripts(spark):
+    letters = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "han": "".join(map(chr, range(0x4E00, 0x4E40)))}
+    rng, texts = random.Random(4), []
+    for alphabet in letters.values():
+        for n in (13, 17, 29, 40, 90) * 8:
+            line = "".join(rng.choice(alphabet) for _ in range(n))
+            texts += [line, line + ".", rng.choice(alphabet) + line, line[1:]]
+    want, got = plain(enumerate(texts)), removed(documents(spark, texts))
+    assert not set(got) - set(want) and len(got) >= 0.95 * len(want) > 200
 
 
 def test_long_lines_of_few_distinct_shingles(spark):
     phrases = ("buy now! ", "one long line of a repeated phrase, ", "aaaaaaaaaaaaaaab", "= ")
     texts = [p * (1000 + k) for p in phrases for k in range(2)]
-    got = {r.doc_id for r in ld.removed_lines(documents(spark, texts)).collect()}
-    assert got == {1, 3, 5, 7}
+    assert set(removed(documents(spark, texts))) == {1, 3, 5, 7}
+
+
+def test_the_sketch_rules_out_no_similar_pair(spark):
+    texts = [t for g in range(30) for t in (words(g, 25), edited(words(g, 25), 1), edited(edited(words(g, 25), 2), 5))]
+    sketches = ld.sketched(spark.createDataFrame(list(enumerate(texts)), "h long, line string"))
+    from pyspark.sql import functions as F
+
+    own = sketches.select("h", F.struct(*[c for c in sketches.columns if c != "h"]).alias("own"))
+    pairs = own.select(F.col("h").alias("a"), F.col("own").alias("x")).crossJoin(own.select(F.col("h").alias("b"), F.col("own").alias("y")))
+    left = {(r.a, r.b) for r in pairs.where("a < b").where(ld.may_be_similar("x", "y")).select("a", "b").collect()}
+    sets = [shingles(t) for t in texts]
+    alike = {(a, b) for a in range(90) for b in range(a + 1, 90) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike <= left and len(left) < 60 <= len(alike) + 60
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
@@ -93,6 +124,7 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ld.drop_duplicate_lines(docs.where("false")).count() == 0
 
 
-def test_the_main_path_runs_no_python(spark):
+def test_the_main_path_runs_no_python_and_leaves_no_table(spark):
     docs = documents(spark, TEXTS)
     assert "Python" not in ld.drop_duplicate_lines(docs)._jdf.queryExecution().toString()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
