@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +45,13 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, each with about ``size`` bytes of text or one longer text."""
+    block = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    return ((i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
+
+
 class Scratch:
     """Tables that live as long as the block: ``with Scratch(spark) as scratch``."""
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import read
+from siltworks.llm.common import blocks, read
 
 SIZE = 4096
 #: The id that ends a document.
@@ -143,20 +143,13 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows, each with about :data:`BLOCK` bytes of text or one longer text."""
-    block = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
-    return ((i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
-
-
 def token_pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document, and ids (binary) on request."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words(path)
         for batch in batches:
-            for i, j in blocks(batch.column("text")):
+            for i, j in blocks(batch.column("text"), BLOCK):
                 part = batch.slice(i, j - i)
                 ids, n = table.encode_block(part.column("text"))
                 ids, n = np.insert(ids, np.cumsum(n), END), n + 1

@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import cut, read
+from siltworks.llm.common import blocks, cut, read
 
 #: A line is removed if more distinct documents of its host hold it than both say.
 MIN_DOCS = 10
@@ -33,10 +35,9 @@ KEEP_SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes.maketrans((UPPER + "123456789").encode(), (LOWER + "0" * 9).encode())
 KEY = ["doc_id", "host", "text_hash"]
-FEATURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "lines array<struct<h:long,n:int>>"
-)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Bytes of text that are read at once.
+BLOCK = 1 << 20
 
 
 def line_hash(line: bytes) -> int:
@@ -59,9 +60,9 @@ def repeated(words: list[bytes]) -> int:
 
 
 def features(text: str | None) -> tuple:
-    """What the base rules count, and the hash and words of each distinct normalised line."""
+    """What the base rules count, and the hash (null for blank lines) and the number of words of each line."""
     if text is None:
-        return 0, 0, 0, 0, 0, []
+        return 0, 0, 0, 0, 0, [], []
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()  # of bytes: at \x20 and \x09-\x0D only
     seen: set[bytes] = set()
@@ -70,31 +71,33 @@ def features(text: str | None) -> tuple:
     seen.update(lines)
     chars = len(text) - sum(map(raw.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
-    found: Counter[int] = Counter()
+    hashes, sizes = [], []
     for line in raw.translate(TABLE).split(b"\n"):
-        if k := len(line.split()):
-            found[line_hash(line)] += k
-    return len(words), chars, symbols, n - len(seen), repeated(words), [{"h": h, "n": k} for h, k in found.items()]
-
-
-def features_column():
-    """A Pandas UDF that applies :func:`features`."""
-
-    @F.pandas_udf(FEATURES)
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame(
-                [features(t) for t in texts],
-                columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
-            )
-
-    return of
+        k = len(line.split())
+        hashes.append(line_hash(line) if k else None)
+        sizes.append(k)
+    return len(words), chars, symbols, n - len(seen), repeated(words), hashes, sizes
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """The narrow table of all that the rules need: keys, counts and line hashes, without texts."""
-    row = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), features_column()("text").alias("f"))
-    return cut(row.select(*KEY, "f.*"))
+    """The narrow table of all that the rules need: keys, counts, and the lines' hashes and words in order, without texts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in blocks(batch.column("text"), BLOCK):
+                part = batch.slice(i, j - i)
+                *counts, hashes, sizes = zip(*map(features, part.column("text").to_pylist()))
+                offsets = np.cumsum([0, *map(len, sizes)], dtype=np.int32)
+                lines = pa.StructArray.from_arrays(
+                    [pa.array(chain.from_iterable(hashes), pa.int64()), pa.array(chain.from_iterable(sizes), pa.int32())], ["h", "n"]
+                )
+                columns = [*(part.column(k) for k in KEY), *(pa.array(c, pa.int64()) for c in counts), pa.ListArray.from_arrays(offsets, lines)]
+                yield pa.RecordBatch.from_arrays(columns, [*KEY, *COUNTS, "lines"])
+
+    rows = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), "text")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in KEY), *(f"{c} bigint" for c in COUNTS), "lines array<struct<h:bigint,n:int>>"])
+    return cut(rows.mapInArrow(of, schema))
 
 
 def removed_lines(rows: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
@@ -102,7 +105,7 @@ def removed_lines(rows: DataFrame, min_docs: int = MIN_DOCS, host_share: float =
 
     Counts are partial sums before each exchange, so a hot host or line sends a row per task.
     """
-    each = rows.select("host", "text_hash", F.explode("lines.h").alias("h"))
+    each = rows.select("host", "text_hash", F.explode("lines.h").alias("h")).where("h is not null")
     lines = each.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("n_docs"))
     hosts = rows.groupBy(F.col("host").alias("host_of")).agg(F.countDistinct("text_hash").alias("n_host"))
     lines = lines.where(F.col("n_docs") > min_docs)
@@ -128,43 +131,24 @@ def judge(rows: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SH
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough)
 
 
-def without(text: str | None, hashes) -> str | None:
-    """``text`` without the lines of these hashes."""
-    if text is None or hashes is None or not len(hashes):
-        return text
-    drop, out = set(map(int, hashes)), []
-    for line in text.split("\n"):
-        raw = line.encode("utf-8", "surrogatepass").translate(TABLE)
-        if not (raw.split() and line_hash(raw) in drop):
-            out.append(line)
-    return "\n".join(out)
-
-
-def without_column():
-    """A Pandas UDF that applies :func:`without`."""
-
-    @F.pandas_udf("string")
-    def of(texts: pd.Series, bad: pd.Series) -> pd.Series:
-        return pd.Series([without(t, b) for t, b in zip(texts, bad)], dtype=object)
-
-    return of
-
-
 def apply_quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without rejected documents; the lines above the limits are taken out of the texts.
 
     All columns stay; n_chars, if there is one, is counted anew where lines went.
     """
     verdict = judge(document_features(docs), **limits).where("kept")
-    verdict = verdict.select(*(F.col(k).alias(f"_of_{k}") for k in KEY), F.col("bad").alias("_bad")).dropDuplicates([f"_of_{k}" for k in KEY])
+    numbers = F.transform("lines", lambda x, i: F.when(F.array_contains("bad", x["h"]), i))
+    drop = F.when(F.col("bad").isNotNull(), F.array_compact(numbers))
+    verdict = verdict.select(*(F.col(k).alias(f"_of_{k}") for k in KEY), drop.alias("_drop")).dropDuplicates([f"_of_{k}" for k in KEY])
     on = (
         F.col("doc_id").eqNullSafe(F.col("_of_doc_id"))
         & F.col("source").eqNullSafe(F.col("_of_host"))
         & (F.xxhash64("text") == F.col("_of_text_hash"))
     )
-    out = docs.join(verdict, on).withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(without_column()("text", "_bad")))
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
+    out = docs.join(verdict, on).withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_bad").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
