@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of alike lines one stays; no document goes."""
-    return line_dedup.drop_duplicate_lines(docs)
+    """Of every group of alike lines one stays; documents that have no other line go."""
+    return line_dedup.drop_duplicate_lines(docs, emptied=False)
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
