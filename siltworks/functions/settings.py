@@ -6,6 +6,9 @@ import os
 import re
 from datetime import datetime
 
+#: Forms of dates that are read beside ISO's, and of a time of day after them.
+DAYS = ("%Y/%m/%d", "%Y.%m.%d", "%b %d %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y", "%m/%d/%Y")
+TIMES = ("", " %H:%M", " %H:%M:%S", " %H:%M:%S %z")
 UNITS = {"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40}
 
 
@@ -27,13 +30,25 @@ def default_memory() -> int:
 
 
 def after_epoch(text: str | float | None) -> float | None:
-    """Epoch seconds, or a date as such; one without a zone is local time."""
+    """Epoch seconds, or a date in one of the usual forms; one without a zone is local time. Other texts raise ValueError."""
     if text is None:
         return None
     try:
         return float(text)
     except ValueError:
-        return datetime.fromisoformat(str(text)).timestamp()
+        pass
+    told = " ".join(str(text).replace(",", " ").split())
+    try:
+        return datetime.fromisoformat(told).timestamp()
+    except ValueError:
+        pass
+    for day in DAYS:
+        for time in TIMES:
+            try:
+                return datetime.strptime(told, day + time).timestamp()
+            except ValueError:
+                continue
+    raise ValueError(f"not a date: {text!r}")
 
 
 def csv_set(text: str) -> list[str]:

@@ -33,7 +33,10 @@ def zip_members(raw: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
         for info in archive.infolist():
             name = info.filename if info.flag_bits & 0x800 else cp437_repair(info.filename)
-            when = datetime(*info.date_time[:3], *info.date_time[3:], tzinfo=timezone.utc).timestamp()
+            try:
+                when = datetime(*info.date_time, tzinfo=timezone.utc).timestamp()
+            except ValueError:  # no such day, as in archives without dates
+                when = FIRST_DAY
             kind, data = ("dir", b"") if info.is_dir() else ("file", archive.read(info))
             yield name, kind, "", when, info.external_attr >> 16, info.compress_type, archive.comment, data
 

@@ -26,18 +26,27 @@ def folder_status(items: DataFrame) -> DataFrame:
 
 
 def compact(stamps: DataFrame) -> DataFrame:
-    """``stamps`` without those that a folder above supersedes: its stamp is as late or later."""
+    """``stamps`` (path, ts, and root if there are several) without those that a folder above, of the same root, supersedes: its stamp is as late or later."""
+    own = [c for c in ("root", "path", "ts") if c in stamps.columns]
     above = F.expr("slice(a, 1, size(a) - 1)")
-    each = stamps.select("path", "ts", ancestors(F.col("path")).alias("a")).select("path", "ts", F.explode_outer(above).alias("above"))
-    held = each.join(stamps.select(F.col("path").alias("above"), F.col("ts").alias("above_ts")), "above", "left")
-    kept = held.groupBy("path", "ts").agg(F.bool_or(F.coalesce(F.col("above_ts") >= F.col("ts"), F.lit(False))).alias("gone"))
-    return kept.where("not gone").select("path", "ts")
+    each = stamps.select(*own, ancestors(F.col("path")).alias("a")).select(*own, F.explode_outer(above).alias("above"))
+    folders = stamps.select(*own[:-2], F.col("path").alias("above"), F.col("ts").alias("above_ts"))
+    held = each.join(folders, [*own[:-2], "above"], "left")
+    kept = held.groupBy(*own).agg(F.bool_or(F.coalesce(F.col("above_ts") >= F.col("ts"), F.lit(False))).alias("gone"))
+    return kept.where("not gone").select(*own)
 
 
 def fingerprint(configs: DataFrame, by: list[str]) -> DataFrame:
-    """The digest of all configuration texts (path, text) below a root, in the order of their paths."""
-    told = F.array_sort(F.collect_list(F.struct("path", "text")))
-    return configs.groupBy(*by).agg(F.sha2(F.array_join(F.transform(told, lambda x: F.concat(x["path"], F.lit("\n"), x["text"])), "\n"), 256).alias("fingerprint"))
+    """The digest of all configuration texts (path, text) below a root, whatever their order.
+
+    Every file is digested by itself. Digests are summed as four numbers of 64 bits
+    each, so that a root is one row of sums in every task, however many files it has.
+    """
+    own = F.sha2(F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
+    each = configs.select(*by, own.alias("own"))
+    parts = [F.conv(F.substring("own", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = each.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)))
+    return sums.select(*by, F.sha2(F.concat_ws(",", "n", *(f"s{k}" for k in range(4))), 256).alias("fingerprint"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The whole run: scan, skip, detect, unpack, optimise, pack, gate, report.
 
-Containers are opened level by level down to ``max_depth`` and packed level by
-level up again; each level is a staged table, so no transform runs twice.
+Containers are opened level by level, until none is left or down to ``max_depth``
+where that is given, and packed level by level up again; each level is a staged table, so no transform runs twice.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def optimize(
     items: DataFrame,
     ignore: str = r"^\.|/\.",
     bigger: bool = False,
-    max_depth: int = 4,
+    max_depth: int | None = None,
     codecs: dict[str, Callable[[bytes], bytes]] | None = None,
 ) -> DataFrame:
     """item_id, path, format, bytes_in, bytes_out, changed, kind, error and data of ``items`` (path, content).
@@ -55,7 +55,7 @@ def optimize(
         F.col("path").alias("name"), F.lit("file").alias("kind"), F.lit(True).alias("process"), "content",
     )
     levels, entries = [stage(top.withColumn("format", detect(F.col("name"), F.col("content"))))], []
-    for _ in range(max_depth):
+    while max_depth is None or len(entries) < max_depth:
         opened = levels[-1].where(F.col("process") & F.col("format").isin(*containers))
         members = stage(unpack(opened))
         if members.isEmpty():

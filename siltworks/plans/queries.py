@@ -157,13 +157,15 @@ def poison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, sha256(string_agg('/lib/' || source || '/' || doc_id || chr(10) || text, chr(10) ORDER BY '/lib/' || source || '/' || doc_id)) AS fingerprint
-FROM documents WHERE doc_id % 50 = 0 GROUP BY source"""
+    """WITH d AS (SELECT source, sha256('/lib/' || coalesce(source, '') || '/' || doc_id || chr(10) || coalesce(text, '')) AS h FROM documents)
+SELECT source, sha256(concat_ws(',', count(*), """
+    + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT)" for k in range(4))
+    + ")) AS fingerprint FROM d GROUP BY source"
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of all settings files below a root; one document in fifty is such a file."""
-    docs = read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    path = F.concat(F.lit("/lib/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    """One digest of all files below a root."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
     return stamps.fingerprint(docs.select("source", path.alias("path"), "text"), ["source"])
 
 

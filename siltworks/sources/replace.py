@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,8 @@ def replace_file(path: str, target: str, data: bytes, scanned: str, preserve: bo
     if now != scanned:
         return "done" if now == hashlib.sha256(data).hexdigest() else "changed"
     old = os.stat(path)
-    temp = f"{target}{WORKING_SUFFIX}"
+    # each attempt of a task writes a file of its own
+    temp = f"{target}.{uuid.uuid4().hex}{WORKING_SUFFIX}"
     with open(temp, "wb") as file:
         file.write(data)
         file.flush()

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset, in local mode only)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-stages"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp("-stages"))
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -154,3 +154,38 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
     seen = spark.read.parquet(f"{state}/reports").select("path", "batch", F.col("kind"))
     assert {(os.path.basename(r.path), r.batch, r.kind) for r in seen.collect()} == {("a.png", 0, "saved"), ("b.png", 1, "saved")}
     assert spark.read.parquet(f"{state}/stamps").count() == 2
+
+
+def test_failed_files_get_no_stamp(spark, tmp_path):
+    root, state = tmp_path / "in", tmp_path / "state"
+    root.mkdir()
+    (root / "a.png").write_bytes(png())
+    (root / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    assert optimize_stream(spark, str(root), str(state), optimize).awaitTermination(60)
+    assert [os.path.basename(r.path) for r in spark.read.parquet(f"{state}/stamps").collect()] == ["a.png"]
+
+
+def test_a_zip_without_dates_is_read(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("a", b"x")
+    raw = bytearray(out.getvalue())
+    for mark, at in ((b"PK\x03\x04", 10), (b"PK\x01\x02", 12)):
+        raw[raw.index(mark) + at : raw.index(mark) + at + 4] = bytes(4)
+    [member] = archives.zip_members(bytes(raw))
+    assert member[3] == archives.FIRST_DAY and member[7] == b"x"
+
+
+def test_containers_are_opened_to_the_last(spark):
+    data, name = png(), "p.png"
+    for depth in range(6):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr(name, data)
+        data, name = out.getvalue(), f"{depth}.zip"
+    [row] = optimize(spark.createDataFrame([("/r/deep.zip", bytearray(data))], "path string, content binary")).collect()
+    assert row.changed and row.error is None
+    inner = bytes(row.data)
+    for _ in range(6):
+        [(_, *_, inner)] = archives.zip_members(inner)
+    assert len(inner) < len(png()) and pixels(inner) == pixels(png())

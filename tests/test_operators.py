@@ -66,3 +66,15 @@ def test_reports(spark):
     assert texts[0] == "a: 40.00% (40 bytes) saved" and texts[1] == "b: 0.00% (0 bytes), kept original"
     gate = lambda **k: [r[0] for r in df.select(reports.replaces(F.col("bytes_in"), F.col("bytes_out"), **k)).collect()]
     assert gate() == [True, False, True, True, False] and gate(bigger=True) == [True, True, True, True, False] and not any(gate(dry_run=True))
+
+
+def test_roots_do_not_supersede_each_other(spark):
+    rows = [("r1", "/a", 9.0), ("r1", "/a/b", 5.0), ("r2", "/a/b", 5.0)]
+    left = stamps.compact(spark.createDataFrame(rows, "root string, path string, ts double"))
+    assert sorted(map(tuple, left.collect())) == [("r1", "/a", 9.0), ("r2", "/a/b", 5.0)]
+
+
+def test_fingerprints_tell_texts_and_paths_but_not_order(spark):
+    rows = [("r", "/a", "x"), ("r", "/b", None), ("s", "/b", None), ("s", "/a", "x"), ("t", "/a", "y"), ("t", "/b", None), ("u", "/c", "x"), ("u", "/b", None)]
+    told = {r.root: r.fingerprint for r in stamps.fingerprint(spark.createDataFrame(rows, "root string, path string, text string"), ["root"]).collect()}
+    assert told["r"] == told["s"] and len(set(told.values())) == 3

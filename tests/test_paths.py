@@ -48,3 +48,11 @@ def test_options():
     assert options.csv_set("b, a,,b") == ["a", "b"]
     assert options.version("tool v1.10.2 (x)") > (1, 2, 3) and options.version("none") == ()
     assert options.durations("No.: w h alpha x y dur\n 1: 9 9 no 0 0 70 none\n 2: 9 9 no 0 0") == [70, 100]
+
+
+def test_dates_in_usual_forms():
+    day = options.after_epoch("2024-01-05")
+    assert [options.after_epoch(x) for x in ("Jan 5 2024", "5 January 2024", "January 5, 2024", "2024/01/05", "2024/01/05 00:00")] == [day] * 5
+    assert options.after_epoch("2024/01/05 00:00:00 +0000") == 1704412800
+    with pytest.raises(ValueError, match="not a date"):
+        options.after_epoch("someday")
