@@ -4,10 +4,10 @@ Documents are tokenised, ended by id 1, cut into pieces only where they are
 longer than a sequence, and packed. Pieces are dealt evenly to groups of a
 bounded size; a group starts from best-fit-decreasing as the incumbent and, where
 that isn't provably the least, searches by bin completion: around the largest
-piece left it enumerates undominated fillings, takes those of the least waste
-first, and gives a branch up once the waste so far makes a better packing
-impossible. The search stops after a stated number of nodes; the incumbent is
-always a whole packing.
+piece left it enumerates undominated fillings of any number of pieces, takes
+those of the least waste first, and gives a branch up once the waste so far makes
+a better packing impossible. The search stops after it has taken back a stated
+number of choices; the incumbent is always a whole packing.
 
 Edge cases: a null or empty text is the one id 1; a text of any length is
 tokenised whole; copies and repeated rows are packed each; rows with a null
@@ -21,8 +21,10 @@ import bisect
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,8 +41,8 @@ SIZE = 4096
 END = 1
 #: Documents for each packing group, on average.
 GROUP = 16384
-#: Nodes that a group's search may open, and fillings that it tries at each.
-NODES, FILLINGS = 4000, 4
+#: Choices that a group's search may take back. Where it ends by that, its packing may exceed the least by what :func:`least_bins` leaves open.
+NODES = 4000
 #: Entries of a generation of a worker's tables; what two generations haven't met is forgotten.
 KEPT = 300_000
 #: Bytes of text that are encoded at once, beside the last document that they reach into.
@@ -206,108 +208,99 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def fillings(kinds: list[int], count: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three of the pieces left, least waste first.
+def dominates(f: tuple[int, ...], g: tuple[int, ...]) -> bool:
+    """Whether the pieces that only ``g`` has go into those that only ``f`` has, as far as first-fit-decreasing can tell."""
+    room = sorted((Counter(f) - Counter(g)).elements())
+    for x in sorted((Counter(g) - Counter(f)).elements(), reverse=True):
+        at = next((k for k, r in enumerate(room) if r >= x), None)
+        if at is None:
+            return False
+        room[at] -= x
+    return True
 
-    ``kinds`` has the lengths in order. Of fillings with the same first pieces,
-    the one with the largest last piece dominates; a filling is also dominated by
-    one piece as large as all of it.
+
+def fillings(kinds: list[int], count: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` by pieces that are left, of any number, least waste first and never above ``waste``.
+
+    ``kinds`` has the lengths in order. Sums that can be reached are bits of
+    integers, so the search for a sum never enters a branch without one. A filling
+    beside which another piece would fit is left out, and so is one whose pieces go
+    into those of an earlier one.
     """
+    held = [k for k in kinds if k <= room and count[k]]
+    reach, inside = [1], (1 << (room + 1)) - 1
+    for k in held:
+        now = reach[-1]
+        for _ in range(min(count[k], room // k)):
+            more = now | (now << k & inside)
+            if more == now:
+                break
+            now = more
+        reach.append(now)
 
-    def largest(limit: int, used: tuple[int, ...] = ()) -> int:
-        at = bisect.bisect_right(kinds, limit) - 1
-        while at >= 0 and count[kinds[at]] <= used.count(kinds[at]):
-            at -= 1
-        return kinds[at] if at >= 0 else 0
-
-    one = largest(room)
-    if not one:
-        return [()]
-    found = {(one,)}
-    at = bisect.bisect_right(kinds, room) - 1
-    tried = 0
-    while at >= 0 and tried < 64:
-        a = kinds[at]
-        at -= 1
-        if not count[a]:
-            continue
-        tried += 1
-        if (b := largest(min(a, room - a), (a,))) and a + b > one:
-            found.add((a, b))
-            if (c := largest(min(b, room - a - b), (a, b))) and a + b + c > one:
-                found.add((a, b, c))
-            if (b2 := largest(min(b - 1, room - a), (a,))) and (c := largest(min(b2, room - a - b2), (a, b2))) and a + b2 + c > one:
-                found.add((a, b2, c))
-    if any(one in f for f in found if len(f) > 1):  # the same piece and more
-        found.discard((one,))
-    return sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]
-
-
-def complete(lengths: list[int], size: int, nodes: int = NODES, width: int = FILLINGS) -> list[list[int]]:
-    """A packing of ``lengths`` by bin completion, never worse than best-fit-decreasing."""
+    def exact(i: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield chosen
+            return
+        while i and reach[i] >> left & 1:
+            i -= 1
+            k = held[i]
+            for n in range(min(count[k], left // k), 0, -1):
+                if reach[i] >> (left - n * k) & 1:
+                    yield from exact(i, left - n * k, chosen + (k,) * n)
+
+    seen: list[tuple[int, ...]] = []
+    for w in range(min(waste, room) + 1):
+        for f in exact(len(held), room - w, ()):
+            if any(k <= w and count[k] > f.count(k) for k in held) or any(dominates(s, f) for s in seen):
+                continue
+            seen.append(f)
+            yield f
+
+
+def complete(lengths: list[int], size: int, nodes: int = NODES) -> list[list[int]]:
+    """A packing of ``lengths`` by bin completion, never worse than best-fit-decreasing; the least, unless ``nodes`` choices were taken back."""
     lengths = sorted(lengths, reverse=True)
     best = best_fit(lengths, size)
     least = least_bins(lengths, size)
     if len(best) == least:
         return best
-    count: dict[int, int] = {}
-    for x in lengths:
-        count[x] = count.get(x, 0) + 1
-    kinds, total, opened = sorted(count), sum(lengths), 0
+    count = Counter(lengths)
+    kinds, total = sorted(count), sum(lengths)
     bins: list[list[int]] = []
-    waste = packed = 0
-    #: by depth: the fillings not tried yet
-    stack: list[list[tuple[int, ...]]] = []
-
-    def take(items, sign):
-        for x in items:
-            count[x] -= sign
-
-    top = len(kinds) - 1
-    while True:
-        # go down
-        while packed < total:
-            while not count[kinds[top]]:
-                top -= 1
-            first = kinds[top]
-            count[first] -= 1
-            options = fillings(kinds, count, size - first, width if opened < nodes else 1)
-            count[first] += 1
-            opened += 1
-            stack.append([(first, *f) for f in reversed(options)])
-            advance(stack, bins, take)
-            used = sum(bins[-1])
-            packed, waste = packed + used, waste + size - used
-            # what must still be wasted makes this branch no better than the incumbent
-            if -(-(total + waste) // size) >= len(best):
-                break
-        if packed == total and len(bins) < len(best):
+    #: by depth: how many fillings were tried. They are enumerated again after going back, so a depth holds nothing else.
+    tried, packed, back, top = [0], 0, 0, len(kinds) - 1
+    while tried:
+        option = None
+        if packed == total:
             best = [list(b) for b in bins]
             if len(best) == least:
                 return best
-        if opened >= nodes:
-            return best
-        # go back to the last choice that is left
-        while stack:
+        else:
+            # what may still be wasted if the packing is to be better than the incumbent
+            waste = (len(best) - 1 - len(bins)) * size - (total - packed)
+            while not count[kinds[top]]:
+                top -= 1
+            first = kinds[top]
+            if waste >= 0:
+                count[first] -= 1
+                option = next(islice(fillings(kinds, count, size - first, waste), tried[-1], None), None)
+                count[first] += 1
+        if option is not None:
+            tried[-1] += 1
+            tried.append(0)
+            bins.append([first, *option])
+            count.subtract(bins[-1])
+            packed += sum(bins[-1])
+            continue
+        tried.pop()
+        if bins:
             gone = bins.pop()
-            take(gone, -1)
-            packed, waste = packed - sum(gone), waste - size + sum(gone)
-            if stack[-1]:
-                advance(stack, bins, take)
-                used = sum(bins[-1])
-                packed, waste = packed + used, waste + size - used
+            count.update(gone)
+            packed, back, top = packed - sum(gone), back + 1, len(kinds) - 1
+            if back >= nodes:
                 break
-            stack.pop()
-        if not stack:
-            return best
-        top = len(kinds) - 1
-
-
-def advance(stack: list, bins: list, take) -> None:
-    """Pack the next filling of the deepest choice."""
-    filling = stack[-1].pop()
-    bins.append(list(filling))
-    take(filling, 1)
+    return best
 
 
 def pack(pieces: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
