@@ -33,8 +33,8 @@ FIXED = {
 KINDS = (*FIXED, "context")
 #: An identifier: a word with a digit, and the words of digits after it.
 IDENTIFIER = rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+(?:\x20[()+.-]*+[0-9][0-9()+.-]*+(?![^{_WS}]))*+"
-#: A pattern is trusted from this confidence, if so many distinct seeds support it; rounds of scoring.
-CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 3
+#: A pattern is trusted from this confidence, if so many distinct instances of that score support it; rounds of scoring.
+CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 4
 #: In the documents where it precedes an identifier, it does so for this share of its occurrences.
 SPECIFIC = 0.5
 
@@ -168,23 +168,28 @@ def trusted_patterns(found: DataFrame, confidence: float = CONFIDENCE, support:
 
     A pattern's confidence is the mean score of its distinct instances; an
     instance's score is 1 if it is a seed, else the chance that one of its
-    half-trusted patterns is right. ``support`` alone says how many seeds it takes.
+    half-trusted patterns is right. A pattern takes ``support`` instances that reach
+    ``confidence`` without it: seeds in the first round, later also instances that
+    other patterns vouch for.
     """
     uses = found.groupBy("pattern", "doc_id", "text_hash").agg(F.countDistinct("start").alias("k"), F.max("again").alias("again"))
     uses = uses.groupBy("pattern").agg((F.sum("k") / F.sum(F.greatest("k", "again"))).alias("specific")).where(F.col("specific") >= SPECIFIC)
     edges = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    fit = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= support)
+    fit = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     edges = cut(edges.join(fit.select("pattern"), "pattern").join(uses.select("pattern"), "pattern"))
-    scored = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
+    scored = edges.select("pattern", "instance", "seed", *(F.col("seed").cast("double").alias(c) for c in ("score", "alone")))
     for left in range(rounds, 0, -1):
         scores = scored.groupBy("pattern").agg(
-            F.avg("score").alias("confidence"), F.count_if("seed").alias("seeds")
+            F.avg("score").alias("confidence"), F.count_if(F.col("alone") >= confidence).alias("sure")
         )
         if left == 1:
-            return scores.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "confidence")
+            return scores.where((F.col("confidence") >= confidence) & (F.col("sure") >= support)).select("pattern", "confidence")
         wrong = F.when(F.col("confidence") >= 0.5, F.log1p(-F.least("confidence", F.lit(0.999)))).otherwise(0.0)
-        chance = edges.join(scores, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(wrong))).alias("chance"))
-        scored = cut(edges.join(chance, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("chance")).alias("score")))
+        each = edges.join(scores, "pattern").select("pattern", "instance", "seed", wrong.alias("wrong"))
+        told = each.join(each.groupBy("instance").agg(F.sum("wrong").alias("all_wrong")), "instance")
+        chance = lambda c: F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(c))
+        score, alone = chance(F.col("all_wrong")), chance(F.col("all_wrong") - F.col("wrong"))
+        scored = cut(told.select("pattern", "instance", "seed", score.alias("score"), alone.alias("alone")))
 
 
 def find_pii(docs: DataFrame, **limits) -> DataFrame:

@@ -95,6 +95,17 @@ def test_identifiers_of_few_digits_are_drawn_by_their_context(spark):
     assert redacted(spark, texts)[-2:] == ["contact [CONTEXT] please", "in 7 days"]
 
 
+def test_identifiers_that_one_pattern_finds_support_another(spark):
+    # no seed ever stands after "ticket": it is learnt from codes that "contact" vouches for
+    codes = [f"AB{1000 + i}x" for i in range(8)]
+    texts = [f"contact u{i}@mail.example please" for i in range(30)]
+    texts += [f"{word} {code} then" for code in codes for word in ("contact", "ticket")] + ["ticket 77318x then", "in 77 days then"]
+    docs = documents(spark, texts)
+    last = lambda **k: [r.text for r in pii.redact(docs, **k).where("doc_id >= 46").orderBy("doc_id").collect()]
+    assert last() == ["ticket [CONTEXT] then", "in 77 days then"]
+    assert last(rounds=1) == ["ticket 77318x then", "in 77 days then"]
+
+
 def test_overlaps_repeated_rows_null_ids_and_empty_table(spark):
     texts = ["me@a.co 1.2.3.4 no. 4111111111111111"] * 3 + [None]
     docs = documents(spark, texts, ids=[1, 1, None, None])
