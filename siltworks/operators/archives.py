@@ -5,7 +5,9 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import lzma
+import stat
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -19,13 +21,15 @@ from siltworks.functions.paths import INCOMPRESSIBLE
 from siltworks.functions.sniff import cp437_repair
 
 MEMBER = (
-    "container_id string, archive_index int, name string, kind string, linkname string, mtime double, "
+    "container_id string, archive_index int, header string, name string, kind string, linkname string, mtime double, "
     "mode int, compress_type int, comment binary, content binary, error string"
 )
 #: What packs each format, and the first moment that a zip can tell.
 TARS = {"TAR": None, "CBT": None, "TGZ": "gz", "TBZ": "bz2", "TXZ": "xz"}
 ZIPS = ("ZIP", "CBZ", "EPUB")
 FIRST_DAY = datetime(1980, 1, 1, tzinfo=timezone.utc).timestamp()
+#: What a tar's header tells beside the columns of a member.
+HEADER_FIELDS = ("uid", "gid", "uname", "gname", "devmajor", "devminor")
 
 
 def zip_members(raw: bytes) -> Iterator[tuple]:
@@ -43,12 +47,18 @@ def zip_members(raw: bytes) -> Iterator[tuple]:
 
 def tar_members(raw: bytes) -> Iterator[tuple]:
     """The same of a tar, compressed or not; links and devices have no bytes of their own."""
+    return (member for _, *member in tar_entries(raw))
+
+
+def tar_entries(raw: bytes) -> Iterator[tuple]:
+    """The same after the header: a JSON object of the type, the owners and the device numbers."""
     kinds = {tarfile.DIRTYPE: "dir", tarfile.SYMTYPE: "symlink", tarfile.LNKTYPE: "hardlink"}
     with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as archive:
         for info in archive:
             kind = "file" if info.isreg() else kinds.get(info.type, "other")
             data = archive.extractfile(info).read() if kind == "file" else b""
-            yield info.name, kind, info.linkname, float(info.mtime), info.mode, None, b"", data
+            header = {"type": info.type.decode("latin-1")} | {f: getattr(info, f) for f in HEADER_FIELDS}
+            yield json.dumps(header), info.name, kind, info.linkname, float(info.mtime), info.mode, None, b"", data
 
 
 def unpack(containers: DataFrame) -> DataFrame:
@@ -59,10 +69,11 @@ def unpack(containers: DataFrame) -> DataFrame:
         for part in batches:
             for row in part.itertuples():
                 try:
-                    read = zip_members if row.format in ZIPS else tar_members
-                    rows = [(row.item_id, i, *m, None) for i, m in enumerate(read(bytes(row.content)))]
+                    raw = bytes(row.content)
+                    members = ((None, *m) for m in zip_members(raw)) if row.format in ZIPS else tar_entries(raw)
+                    rows = [(row.item_id, i, *m, None) for i, m in enumerate(members)]
                 except Exception as error:  # noqa: BLE001  a broken archive is a row, not the end of the job
-                    rows = [(row.item_id, None, None, "error", None, None, None, None, None, None, str(error) or type(error).__name__)]
+                    rows = [(row.item_id, None, None, None, "error", None, None, None, None, None, None, str(error) or type(error).__name__)]
                 out = pd.DataFrame(rows, columns=names)
                 for c in ("archive_index", "mode", "compress_type"):
                     out[c] = out[c].astype("Int32")
@@ -71,8 +82,17 @@ def unpack(containers: DataFrame) -> DataFrame:
     return containers.select("item_id", "format", "content").mapInPandas(explode, MEMBER)
 
 
+def renamed(members: pd.DataFrame) -> dict[str, str]:
+    """The names that members have now by those that they had (``was``, if there is such a column)."""
+    return dict(zip(members["was"], members["name"])) if "was" in members else {}
+
+
 def pack_zip(members: pd.DataFrame) -> bytes:
-    out = io.BytesIO()
+    """A zip of the members in their order; a hard link gets the bytes that it stands for.
+
+    What a zip can't hold, a device or a link to nothing, is an error.
+    """
+    out, whole, now = io.BytesIO(), {}, renamed(members)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as archive:
         for m in members.itertuples():
             when = datetime.fromtimestamp(max(m.mtime if pd.notna(m.mtime) else 0, FIRST_DAY), timezone.utc)
@@ -84,21 +104,35 @@ def pack_zip(members: pd.DataFrame) -> bytes:
                 info.compress_type = zipfile.ZIP_STORED if m.name.lower().endswith(INCOMPRESSIBLE) else zipfile.ZIP_DEFLATED
             if m.kind == "dir" and not info.filename.endswith("/"):
                 info.filename += "/"
-            archive.writestr(info, bytes(m.content or b""))
+            data = bytes(m.content or b"")
+            if m.kind == "symlink":
+                info.external_attr, data = (stat.S_IFLNK | 0o777) << 16, m.linkname.encode()
+            elif m.kind == "hardlink":
+                data = whole[now.get(m.linkname, m.linkname)]
+            elif m.kind == "other":
+                raise ValueError(f"a zip can't hold {m.name}")
+            whole[m.name] = data
+            archive.writestr(info, data)
         if len(members) and isinstance(members["comment"].iloc[0], (bytes, bytearray)):
             archive.comment = bytes(members["comment"].iloc[0])
     return out.getvalue()
 
 
 def pack_tar(members: pd.DataFrame, compression: str | None) -> bytes:
-    out = io.BytesIO()
+    out, now = io.BytesIO(), renamed(members)
     kinds = {"dir": tarfile.DIRTYPE, "symlink": tarfile.SYMTYPE, "hardlink": tarfile.LNKTYPE}
     with tarfile.open(fileobj=out, mode="w") as archive:
         for m in members.itertuples():
             info = tarfile.TarInfo(m.name)
             info.mtime = int(m.mtime) if pd.notna(m.mtime) else 0
             info.mode = int(m.mode) if pd.notna(m.mode) else 0o644
-            info.type, info.linkname = kinds.get(m.kind, tarfile.REGTYPE), m.linkname or ""
+            info.type, info.linkname = kinds.get(m.kind, tarfile.REGTYPE), now.get(m.linkname, m.linkname or "")
+            if isinstance(m.header, str):
+                told = json.loads(m.header)
+                for field in HEADER_FIELDS:
+                    setattr(info, field, told[field])
+                if m.kind == "other":
+                    info.type = told["type"].encode("latin-1")
             data = bytes(m.content or b"") if m.kind == "file" else b""
             info.size = len(data)
             archive.addfile(info, io.BytesIO(data))

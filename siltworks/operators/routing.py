@@ -62,13 +62,19 @@ def ready_handlers(tools: DataFrame) -> DataFrame:
     return tiers.groupBy("handler").agg(F.bool_and(F.col("ok") | ~F.col("needed")).alias("ready"))
 
 
-def pick_handlers(items: DataFrame, table: DataFrame, convert_to: list[str], key: str = "item_id", repack: bool = False) -> DataFrame:
+def pick_handlers(
+    items: DataFrame, table: DataFrame, convert_to: list[str], key: str = "item_id", repack: bool = False, ready: DataFrame | None = None
+) -> DataFrame:
     """``items`` (with the four format columns and convert) and the handler, out_format and role that take them.
 
     The table of routes is a constant of some eighty rows, so it is broadcast; the
     rank is an aggregate by item, without a sort of the items. Archives are
-    converted only when they are repacked, and then only by what can pack.
+    converted only when they are repacked, and then only by what can pack. Handlers
+    that ``ready`` (see :func:`ready_handlers`) tells to lack a required tool are
+    passed over, as if they had no route; those that it doesn't name need no tool.
     """
+    if ready is not None:
+        table = table.join(ready.where("not ready").select("handler"), "handler", "left_anti")
     may = F.col("convert") & F.col("out_format").isin(*convert_to) & (~F.col("archive") | F.lit(repack))
     held = items.join(F.broadcast(table), KEYS).where(((F.col("role") == "native") | may) & (F.col("can_pack") | F.lit(not repack)))
     best = F.min_by(F.struct("handler", "out_format", "role"), F.struct("role", "pos"))

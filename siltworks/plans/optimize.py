@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.paths import suffix
-from siltworks.functions.sniff import magic_format
+from siltworks.functions.paths import final_path, suffix
+from siltworks.functions.sniff import bytes_column, jxl_lossless, magic_format, webp_lossless
 from siltworks.operators.archives import TARS, ZIPS, pack, unpack
-from siltworks.operators.codecs import optimize_leaves
+from siltworks.operators.codecs import CODECS, optimize_leaves, tools
 from siltworks.operators.reports import outcome, replaces
+from siltworks.operators.routing import pick_handlers, ready_handlers, routes
 from siltworks.operators.skip import wanted
 from siltworks.sources.staging import stage
 
@@ -25,6 +26,9 @@ BY_SUFFIX = {
     ".tar.bz2": "TBZ", ".tbz": "TBZ", ".tar.xz": "TXZ", ".txz": "TXZ",
 }
 
+#: Formats of which only lossless files may be written anew, and what tells them.
+LOSSLESS = {"WEBP": webp_lossless, "JXL": jxl_lossless}
+
 
 def detect(name: Column, content: Column) -> Column:
     """The format by magic number, made precise by the suffix for containers."""
@@ -43,12 +47,19 @@ def optimize(
     bigger: bool = False,
     max_depth: int | None = None,
     codecs: dict[str, Callable[[bytes], bytes]] | None = None,
+    convert_to: list[str] = (),
+    dry_run: bool = False,
 ) -> DataFrame:
-    """item_id, path, format, bytes_in, bytes_out, changed, kind, error and data of ``items`` (path, content).
+    """item_id, path, target, format, bytes_in, bytes_out, changed, kind, error and data of ``items`` (path, content).
 
-    data holds the new bytes where they replace the old ones. A member that fails
-    keeps its bytes and marks its container with the error.
+    data holds the new bytes where they replace the old ones, and target the path
+    that they go to. A member that fails keeps its bytes and marks its container
+    with the error. Containers become one of ``convert_to`` (ZIP, CBZ) by the table
+    of routes, if the new bytes pass the gate; a member that does gets the new
+    suffix. Lossy files of formats that may be lossless are left alone. A dry run
+    works all out and changes nothing.
     """
+    codecs = CODECS if codecs is None else codecs
     containers = [*ZIPS, *TARS]
     top = items.where(wanted(F.regexp_extract("path", r"([^/]*)$", 1), ignore)).select(
         F.col("path").alias("item_id"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("archive_index"),
@@ -69,30 +80,59 @@ def optimize(
     below = None
     for depth in range(len(levels) - 1, -1, -1):
         level = levels[depth]
-        new = optimize_leaves(level.where("process"), codecs)
+        level = _routed(level, containers, convert_to)
+        new = optimize_leaves(_lossless(level.where("process"), codecs), codecs)
         if below is not None:
             new = new.unionByName(_repack(level, entries[depth], below))
+        converted = F.col("format") != F.col("out_format")
         gate = replaces(F.length("content"), F.coalesce(F.length("optimized"), F.lit(0)), bigger)
         below = stage(
             level.join(new, "item_id", "left").select(
                 "item_id", "parent", "archive_index", "format", F.length("content").cast("long").alias("bytes_in"),
                 F.coalesce(F.length("optimized"), F.length("content")).cast("long").alias("bytes_out"),
-                gate.alias("changed"), "error", F.when(gate, F.col("optimized")).alias("data"),
+                gate.alias("changed"), "error", F.when(gate, F.col("optimized")).alias("data"), (gate & converted).alias("converted"),
+                F.when(gate & converted, final_path(F.col("name"), F.lower(F.concat(F.lit("."), "out_format")))).otherwise(F.col("name")).alias("new_name"),
             )
         )
-    kind = outcome(F.col("bytes_in"), F.col("bytes_out"), F.lit(False), F.col("error").isNotNull(), F.lit(False))
-    return below.select("item_id", F.col("item_id").alias("path"), "format", "bytes_in", "bytes_out", "changed", kind.alias("kind"), "error", "data")
+    kind = outcome(F.col("bytes_in"), F.col("bytes_out"), F.coalesce("converted", F.lit(False)), F.col("error").isNotNull(), F.lit(dry_run))
+    return below.select(
+        "item_id", F.col("item_id").alias("path"), F.col("new_name").alias("target"), "format", "bytes_in", "bytes_out",
+        (F.col("changed") & F.lit(not dry_run)).alias("changed"), kind.alias("kind"), "error", F.when(F.lit(not dry_run), F.col("data")).alias("data"),
+    )
+
+
+def _routed(level: DataFrame, containers: list[str], convert_to: list[str]) -> DataFrame:
+    """``level`` and out_format: what a container is packed as."""
+    if not convert_to:
+        return level.withColumn("out_format", F.col("format"))
+    of = level.where(F.col("process") & F.col("format").isin(*containers)).select(
+        "item_id", "format", F.lit(True).alias("lossless"), F.lit(False).alias("animated"), F.lit(True).alias("archive"), F.lit(True).alias("convert")
+    )
+    spark = level.sparkSession
+    chosen = pick_handlers(of, routes(spark), convert_to, repack=True, ready=ready_handlers(tools(spark))).select("item_id", F.col("out_format").alias("to"))
+    return level.join(chosen, "item_id", "left").withColumn("out_format", F.coalesce("to", "format")).drop("to")
+
+
+def _lossless(items: DataFrame, codecs: dict[str, Callable[[bytes], bytes]]) -> DataFrame:
+    """``items`` that a codec takes, without the lossy ones; contents are read in Python only for formats that may be either."""
+    for kind in [k for k in LOSSLESS if k in codecs]:
+        may = items.where(F.col("format") == kind).where(F.coalesce(bytes_column(LOSSLESS[kind], "boolean")("content"), F.lit(False)))
+        items = items.where(~F.coalesce(F.col("format") == kind, F.lit(False))).unionByName(may)
+    return items
 
 
 def _repack(level: DataFrame, members: DataFrame, below: DataFrame) -> DataFrame:
-    """item_id, optimized, error of the containers of ``level``: packed anew where a member changed."""
-    of = below.select(F.col("parent").alias("container_id"), "archive_index", "changed", "data", F.col("error").alias("failed"))
+    """item_id, optimized, error of the containers of ``level``: packed anew where a member changed, or as another format."""
+    of = below.select(F.col("parent").alias("container_id"), "archive_index", "changed", "data", "new_name", F.col("error").alias("failed"))
     work = of.groupBy("container_id").agg(F.bool_or("changed").alias("had_work"), F.max("failed").alias("failed"))
     broken = members.where("kind = 'error'").select(F.col("container_id").alias("item_id"), F.lit(None).cast("binary").alias("optimized"), "error")
+    work = work.join(level.select(F.col("item_id").alias("container_id"), (F.col("format") != F.col("out_format")).alias("converts")), "container_id")
+    work = work.select("container_id", (F.col("had_work") | F.col("converts")).alias("had_work"), "failed")
     busy = work.where("had_work").select(F.col("container_id").alias("item_id"))
-    merged = members.join(of.select("container_id", "archive_index", "data"), ["container_id", "archive_index"], "left")
-    merged = merged.withColumn("content", F.coalesce("data", "content")).drop("data")
-    done = pack(merged, level.join(busy, "item_id", "left_semi").select("item_id", "format"))
+    merged = members.join(of.select("container_id", "archive_index", "data", "new_name"), ["container_id", "archive_index"], "left")
+    merged = merged.withColumn("content", F.coalesce("data", "content"))
+    merged = merged.withColumn("was", F.col("name")).withColumn("name", F.coalesce("new_name", "name")).drop("data", "new_name")
+    done = pack(merged, level.join(busy, "item_id", "left_semi").select("item_id", F.col("out_format").alias("format")))
     done = done.join(work.select(F.col("container_id").alias("item_id"), "failed"), "item_id")
     done = done.select("item_id", F.col("packed").alias("optimized"), F.coalesce("error", "failed").alias("error"))
     idle = work.where("not had_work and failed is not null").select(

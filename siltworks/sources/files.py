@@ -12,7 +12,8 @@ import os
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltworks.functions.sniff import HEADER
@@ -111,3 +112,18 @@ def top_paths(paths: list[str], symlinks: bool = True) -> list[str]:
     if not out:
         raise ValueError("no paths to optimise")
     return out
+
+
+def with_content(items: DataFrame) -> DataFrame:
+    """path and content of ``items`` (path), read where the rows are; files that can't be read any more go."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for path in part["path"]:
+                try:
+                    with open(path, "rb") as file:
+                        yield pd.DataFrame({"path": [path], "content": [file.read()]})
+                except OSError:
+                    continue
+
+    return items.select("path").mapInPandas(load, "path string, content binary")

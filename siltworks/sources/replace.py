@@ -16,7 +16,8 @@ from siltworks.operators.skip import WORKING_SUFFIX
 def replace_file(path: str, target: str, data: bytes, scanned: str, preserve: bool) -> str:
     """Write beside the target, then rename; run twice it does nothing the second time.
 
-    A file that changed since the scan is left alone.
+    A file that changed since the scan is left alone, and so is another file that
+    has the name of the target.
     """
     if not os.path.exists(path):
         return "done" if os.path.exists(target) else "missing"
@@ -24,6 +25,10 @@ def replace_file(path: str, target: str, data: bytes, scanned: str, preserve: bo
         now = hashlib.sha256(file.read()).hexdigest()
     if now != scanned:
         return "done" if now == hashlib.sha256(data).hexdigest() else "changed"
+    if target != path and os.path.exists(target) and not os.path.samefile(path, target):
+        with open(target, "rb") as file:
+            if hashlib.sha256(file.read()).digest() != hashlib.sha256(data).digest():
+                return "exists"
     old = os.stat(path)
     # each attempt of a task writes a file of its own
     temp = f"{target}.{uuid.uuid4().hex}{WORKING_SUFFIX}"

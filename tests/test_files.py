@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import archives
 from siltworks.operators.codecs import distinct_lines, redeflate_png, tools
+from siltworks.plans.folder import optimize_folder
 from siltworks.plans.optimize import optimize
 from siltworks.sources import files
 from siltworks.sources.replace import replace_files
@@ -189,3 +190,87 @@ def test_containers_are_opened_to_the_last(spark):
     for _ in range(6):
         [(_, *_, inner)] = archives.zip_members(inner)
     assert len(inner) < len(png()) and pixels(inner) == pixels(png())
+
+
+def special_tar():
+    out, big = io.BytesIO(), png(200, 200)
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, kind, link in (("p.png", tarfile.REGTYPE, ""), ("again.png", tarfile.LNKTYPE, "p.png"), ("pipe", tarfile.FIFOTYPE, ""), ("dev", tarfile.CHRTYPE, "")):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname, info.uid, info.gid, info.uname, info.devmajor = kind, link, 7, 8, "someone", 5 if name == "dev" else 0
+            info.size = len(big) if name == "p.png" else 0
+            t.addfile(info, io.BytesIO(big))
+    return out.getvalue()
+
+
+def test_devices_and_owners_of_a_tar_stay(spark):
+    [row] = optimize(spark.createDataFrame([("/r/s.tar", bytearray(special_tar()))], "path string, content binary")).collect()
+    assert row.changed and row.error is None and row.target == "/r/s.tar"
+    told = lambda raw: [(i.name, i.type, i.linkname, i.uid, i.gid, i.uname, i.devmajor) for i in tarfile.open(fileobj=io.BytesIO(raw))]
+    assert told(bytes(row.data)) == told(special_tar())
+
+
+def test_containers_are_converted(spark):
+    inner = tarred([("p.png", png()), ("t.txt", b"text")])
+    hard = io.BytesIO()
+    with tarfile.open(fileobj=hard, mode="w") as t:
+        for name, kind in (("p.png", tarfile.REGTYPE), ("again.png", tarfile.LNKTYPE)):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname, info.size = kind, "" if kind == tarfile.REGTYPE else "p.png", len(png()) if kind == tarfile.REGTYPE else 0
+            t.addfile(info, io.BytesIO(png()))
+    items = [("/r/o.zip", zipped([("in.tar", inner), ("t", b"t")])), ("/r/book.cbt", inner), ("/r/s.tar", special_tar()), ("/r/h.tar", hard.getvalue()), ("/r/a.tar", tarred([("t", b"t")]))]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in items], "path string, content binary")
+    rows = {r.path: r for r in optimize(df, convert_to=["ZIP", "CBZ"]).collect()}
+    assert {p: r.target for p, r in rows.items()} == {"/r/o.zip": "/r/o.zip", "/r/book.cbt": "/r/book.cbz", "/r/s.tar": "/r/s.tar", "/r/h.tar": "/r/h.zip", "/r/a.tar": "/r/a.zip"}
+    assert {p: r.kind for p, r in rows.items()} == {"/r/o.zip": "saved", "/r/book.cbt": "converted", "/r/s.tar": "error", "/r/h.tar": "converted", "/r/a.tar": "converted"}
+    assert rows["/r/s.tar"].data is None and "pipe" in rows["/r/s.tar"].error
+    members = {m[0]: m[7] for m in archives.zip_members(bytes(rows["/r/o.zip"].data))}
+    assert sorted(members) == ["in.zip", "t"]
+    deep = {m[0]: m[7] for m in archives.zip_members(members["in.zip"])}
+    assert deep["t.txt"] == b"text" and pixels(deep["p.png"]) == pixels(png()) and deep["link"] == b"target"
+    twice = {m[0]: m[7] for m in archives.zip_members(bytes(rows["/r/h.tar"].data))}
+    assert twice["p.png"] == twice["again.png"] and pixels(twice["p.png"]) == pixels(png())
+    dry = optimize(df, convert_to=["ZIP", "CBZ"], dry_run=True).collect()
+    assert {r.kind for r in dry} == {"dry_run", "error"} and not any(r.changed or r.data for r in dry)
+    assert {r.path: r.bytes_out for r in dry} == {p: r.bytes_out for p, r in rows.items()}
+
+
+def test_lossy_files_of_formats_that_may_be_lossless_are_left_alone(spark):
+    def webp(kind):
+        body = b"WEBP" + kind + struct.pack("<I", 4) + b"data"
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    df = spark.createDataFrame([("/r/a.webp", bytearray(webp(b"VP8L"))), ("/r/b.webp", bytearray(webp(b"VP8 ")))], "path string, content binary")
+    assert {r.path: r.kind for r in optimize(df, codecs={"WEBP": lambda raw: raw[:-2]}).collect()} == {"/r/a.webp": "saved", "/r/b.webp": "lost"}
+
+
+def test_a_folder_run_twice_does_nothing_the_second_time(spark, tmp_path):
+    root = tmp_path / "in"
+    for folder in ("good", "bad", ".hidden", "text"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "a.png").write_bytes(png())
+    (root / "bad" / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    (root / "good" / "c.tar").write_bytes(tarred([("t", b"t")]))
+    layers = spark.createDataFrame([(str(root / "text"), "formats", "GIF, SVG")], "path string, option string, value string")
+    run = lambda **k: optimize_folder(spark, str(root), layers=layers, convert_to=["ZIP"], **k)
+    name = lambda p: os.path.relpath(p, root)
+    told, stamps = run(dry_run=True)
+    assert {r.kind for r in told.collect()} == {"dry_run", "error"} and stamps.isEmpty() and (root / "good" / "a.png").read_bytes() == png()
+    told, stamps = run()
+    assert {name(r.path): (r.kind, r.status) for r in told.collect()} == {
+        "good/a.png": ("saved", "written"), "good/c.tar": ("converted", "written"), "bad/a.png": ("saved", "written"), "bad/broken.png": ("error", None)
+    }
+    assert {name(r.path) for r in stamps.collect()} == {"good", "bad/a.png"}
+    assert sorted(os.listdir(root / "good")) == ["a.png", "c.zip"] and (root / ".hidden" / "a.png").read_bytes() == png() == (root / "text" / "a.png").read_bytes()
+    told, stamps = run(known=stamps)
+    assert [name(r.path) for r in told.collect()] == ["bad/broken.png"] and {name(r.path) for r in stamps.collect()} == {"good", "bad/a.png"}
+    os.utime(root / "good" / "a.png", (4e9, 4e9))
+    assert sorted(name(r.path) for r in run(known=stamps)[0].collect()) == ["bad/broken.png", "good/a.png"]
+
+
+def test_another_file_with_the_targets_name_stays(spark, tmp_path):
+    (tmp_path / "a.tar").write_bytes(b"old")
+    (tmp_path / "a.zip").write_bytes(b"other")
+    row = (str(tmp_path / "a.tar"), str(tmp_path / "a.zip"), b"new", hashlib.sha256(b"old").hexdigest())
+    df = spark.createDataFrame([row], "path string, target string, data binary, scanned string")
+    assert replace_files(df).first().status == "exists" and (tmp_path / "a.zip").read_bytes() == b"other" and (tmp_path / "a.tar").exists()

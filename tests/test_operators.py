@@ -78,3 +78,10 @@ def test_fingerprints_tell_texts_and_paths_but_not_order(spark):
     rows = [("r", "/a", "x"), ("r", "/b", None), ("s", "/b", None), ("s", "/a", "x"), ("t", "/a", "y"), ("t", "/b", None), ("u", "/c", "x"), ("u", "/b", None)]
     told = {r.root: r.fingerprint for r in stamps.fingerprint(spark.createDataFrame(rows, "root string, path string, text string"), ["root"]).collect()}
     assert told["r"] == told["s"] and len(set(told.values())) == 3
+
+
+def test_handlers_without_their_tools_are_passed_over(spark):
+    df = spark.createDataFrame([("a", "JPEG", False, False, False, False), ("b", "PNG", True, False, False, True)], "item_id string, format string, lossless boolean, animated boolean, archive boolean, convert boolean")
+    ready = spark.createDataFrame([("Jpeg", False), ("ToWEBP", False), ("Png", True)], "handler string, ready boolean")
+    got = {r.item_id: r.handler for r in routing.pick_handlers(df, routing.routes(spark), ["WEBP"], ready=ready).collect()}
+    assert got == {"b": "Png"}
