@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import paths, sniff
-from siltworks.operators import reports, routing, settings, skip, stamps
+from siltworks.operators import archives, reports, routing, settings, skip, stamps
 from siltworks.operators.codecs import tools
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,20 +285,33 @@ def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(index).agg(F.count("*").alias("n")).select("palette", F.array_join(sniff.palette_rgb(F.col("palette")).cast("array<string>"), ",").alias("rgb"), "n")
 
 
+def archived(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """``conversations`` as archives (item_id, format, content), a member for each turn, in order."""
+    rows, none = read(spark, sf_dir, "conversations"), lambda t: F.lit(None).cast(t)
+    members = rows.select(
+        F.col("conv_id").cast("string").alias("container_id"), F.col("turn").alias("archive_index"), none("string").alias("header"),
+        F.concat("role", F.lit("_"), F.col("turn").cast("string")).alias("name"), F.lit("file").alias("kind"), F.lit("").alias("linkname"), F.lit(0.0).alias("mtime"),
+        none("int").alias("mode"), none("int").alias("compress_type"), none("binary").alias("comment"), F.col("text").cast("binary").alias("content"),
+    )
+    formats = members.select(F.col("container_id").alias("item_id"), F.lit(kind).alias("format")).distinct()
+    return archives.pack(members, formats).select("item_id", F.lit(kind).alias("format"), F.col("packed").alias("content"))
+
+
 @query(
     """SELECT conv_id AS container_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS archive_index, role || '_' || turn AS name, length(text) AS size FROM conversations"""
 )
 def unpack_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers exploded to members with their places."""
-    held = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    each = held.select(F.col("conv_id").alias("container_id"), F.posexplode("m").alias("archive_index", "m"))
-    return each.select("container_id", F.col("archive_index").cast("long").alias("archive_index"), F.concat("m.role", F.lit("_"), F.col("m.turn").cast("string")).alias("name"), F.length("m.text").cast("long").alias("size"))
+    """Zips exploded to members with their places."""
+    each = archives.unpack(archived(spark, sf_dir, "ZIP"))
+    size = F.length(F.decode("content", "UTF-8")).cast("long")
+    return each.select(F.col("container_id").cast("long").alias("container_id"), F.col("archive_index").cast("long").alias("archive_index"), "name", size.alias("size"))
 
 
 @query("SELECT conv_id AS container_id, sha256(string_agg(text, chr(0) ORDER BY turn)) AS packed, count(*) AS n_members FROM conversations GROUP BY conv_id")
 def pack_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members packed in their order."""
-    held = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("container_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    """Members packed in their order as compressed tars, told by what is read back."""
+    each = archives.unpack(archived(spark, sf_dir, "TGZ")).withColumn("text", F.decode("content", "UTF-8"))
+    held = each.groupBy(F.col("container_id").cast("long").alias("container_id")).agg(F.sort_array(F.collect_list(F.struct("archive_index", "text"))).alias("m"))
     return held.select("container_id", F.sha2(F.array_join("m.text", "\0"), 256).alias("packed"), F.size("m").cast("long").alias("n_members"))
 
 
