@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.functions import paths, sniff
+from siltworks.functions import formats, frames, paths, sniff
 from siltworks.operators import archives, reports, routing, settings, skip, stamps
 from siltworks.operators.codecs import tools
 
@@ -370,17 +370,15 @@ SELECT user_id, cast(sum(greatest(1, floor(round(v, 6)))) AS BIGINT) AS total, m
 def duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing frame durations get the mean; none is under a millisecond."""
     events = read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    filled = F.coalesce("v", F.avg("v").over(Window.partitionBy("user_id")))
-    ms = F.greatest(F.lit(1), F.floor(F.round(filled, 6))).cast("long")
-    return events.select("user_id", ms.alias("ms")).groupBy("user_id").agg(F.sum("ms").alias("total"), F.min("ms").alias("least"), F.count("*").alias("n"))
+    return events.select("user_id", frames.filled_ms(F.col("v"), ["user_id"]).alias("ms")).groupBy("user_id").agg(F.sum("ms").alias("total"), F.min("ms").alias("least"), F.count("*").alias("n"))
 
 
 @query(
     """SELECT user_id, string_agg(cast(greatest(1, floor(round(value, 6))) AS BIGINT)::VARCHAR, ',' ORDER BY ts, event_id) AS frames FROM events GROUP BY user_id"""
 )
 def frame_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations in the order of their frames."""
-    ms = F.greatest(F.lit(1), F.floor(F.round("value", 6))).cast("long").cast("string")
+    """Durations in the order of their frames."""
+    ms = frames.whole_ms(F.col("value")).cast("string")
     held = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", ms.alias("ms")))).alias("f"))
     return held.select("user_id", F.array_join("f.ms", ",").alias("frames"))
 
@@ -456,9 +454,9 @@ def format_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sets, their unions, and whether they meet."""
     s = read(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
     sets = s.groupBy("role").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    extra = F.sort_array(F.array_union("sizes", F.array(F.lit(99).cast("long"))))
+    extra = formats.all_formats(F.col("sizes"), F.array(F.lit(99).cast("long")))
     told = lambda a: F.array_join(a.cast("array<string>"), ",")
-    return sets.select("role", told(F.col("sizes")).alias("sizes"), told(extra).alias("with_extra"), F.arrays_overlap("sizes", F.array(F.lit(2).cast("long"), F.lit(5).cast("long"))).alias("in_scope"))
+    return sets.select("role", told(F.col("sizes")).alias("sizes"), told(extra).alias("with_extra"), formats.takes_part(F.col("sizes"), F.array(F.lit(2).cast("long"), F.lit(5).cast("long"))).alias("in_scope"))
 
 
 @query(
