@@ -51,14 +51,17 @@ def optimize_folder(
     wanted = skip_items(below, ignore, symlinks).select(F.col("whole").alias("item_id"), F.col("whole").alias("path"), "mtime")
     stamps = ancestor_stamp(wanted, known.where(F.col("root") == root)).withColumnRenamed("item_id", "of")
     new = wanted.join(stamps, F.col("item_id") == F.col("of"), "left").where(changed(F.col("mtime"), F.col("stamp"))).select("path")
-    items = files.with_content(new)
+    read = stage(files.with_content(new))
+    items = read.where("error is null").select("path", "content")
     if layers is not None or pinned:
         items = in_scope(items, spark.createDataFrame([], "path string, option string, value string") if layers is None else layers, pinned)
-    items = stage(items)
     reports = optimize(items, ignore=r"$^", dry_run=dry_run, **options)
     reports = stage(reports.join(items.select("path", F.sha2("content", 256).alias("scanned")), "path"))
     status = stage(replace_files(reports.where("changed"), preserve))
     told = reports.drop("data", "scanned", "item_id").join(status, "path", "left")
+    # what could not be read has failed too
+    broken = read.where("error is not null").select("path", F.col("path").alias("target"), F.lit(False).alias("changed"), F.lit("error").alias("kind"), "error")
+    told = told.unionByName(broken, allowMissingColumns=True)
     text = F.when(F.col("error").isNull(), report_text(F.col("path"), F.col("bytes_in"), F.col("bytes_out"), dry_run, bool(options.get("bigger"))))
     told = told.withColumn("text", F.coalesce(text, F.concat_ws(": ", "path", "error")))
     if dry_run:

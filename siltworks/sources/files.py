@@ -115,15 +115,16 @@ def top_paths(paths: list[str], symlinks: bool = True) -> list[str]:
 
 
 def with_content(items: DataFrame) -> DataFrame:
-    """path and content of ``items`` (path), read where the rows are; files that can't be read any more go."""
+    """path, content and error of ``items`` (path), read where the rows are; a file that can't be read has the error."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for path in part["path"]:
                 try:
                     with open(path, "rb") as file:
-                        yield pd.DataFrame({"path": [path], "content": [file.read()]})
-                except OSError:
-                    continue
+                        row = (path, file.read(), None)
+                except OSError as error:
+                    row = (path, None, str(error))
+                yield pd.DataFrame([row], columns=["path", "content", "error"])
 
-    return items.select("path").mapInPandas(load, "path string, content binary")
+    return items.select("path").mapInPandas(load, "path string, content binary, error string")

@@ -274,3 +274,10 @@ def test_another_file_with_the_targets_name_stays(spark, tmp_path):
     row = (str(tmp_path / "a.tar"), str(tmp_path / "a.zip"), b"new", hashlib.sha256(b"old").hexdigest())
     df = spark.createDataFrame([row], "path string, target string, data binary, scanned string")
     assert replace_files(df).first().status == "exists" and (tmp_path / "a.zip").read_bytes() == b"other" and (tmp_path / "a.tar").exists()
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x")
+    rows = {r.path: r for r in files.with_content(spark.createDataFrame([(str(tmp_path / n),) for n in "ab"], "path string")).collect()}
+    assert rows[str(tmp_path / "a")].content == b"x" and rows[str(tmp_path / "a")].error is None
+    assert rows[str(tmp_path / "b")].content is None and "No such file" in rows[str(tmp_path / "b")].error
