@@ -12,7 +12,7 @@ def plain(vectors, every, k):
     out = {}
     for q in {i for i, _ in held if i % every == 0}:
         own = min((tuple(v) for i, v in held if i == q))
-        scored = sorted((-int(np.dot(own, v)), i) for i, v in held if i != q)[:k]
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(own, v)), i) for i, v in held if i != q)[:k]
         out[q] = [(i, -s) for s, i in scored]
     return out
 
@@ -39,3 +39,34 @@ def test_few_rows_ties_and_huge_components(spark):
     assert search(spark, big) == plain([(i, np.float32(v).tolist()) for i, v in big], 5, 5)
     assert search(spark, []) == {}
     assert search(spark, [(0, []), (1, [2.0]), (2, [])]) == {0: [(1, 0), (2, 0)]}
+
+
+def test_components_beyond_64_bits_rank_exactly(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, np.float32(rng.normal(0, 1, 40) * (1e30 if i % 3 else 1)).tolist()) for i in range(60)]
+    vectors += [(100, vectors[1][1]), (101, np.negative(vectors[1][1]).tolist()), (102, [2.0**62] + [0.0] * 39)]
+    want = plain(vectors, 5, 5)
+    low, high = -(2**63), 2**63 - 1
+    assert any(abs(s) > high for rows in want.values() for _, s in rows)
+    assert search(spark, vectors) == {q: [(i, min(max(s, low), high)) for i, s in rows] for q, rows in want.items()}
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    vectors = [(0, [1.0, 0.5]), (0, [0.5, 0.5]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0])]
+    assert search(spark, vectors) == plain(vectors, 5, 5)
+    assert len(search(spark, vectors)[0]) == 4
+
+
+def test_meetings_hand_on_what_queries_have_reached():
+    rng = np.random.default_rng(5)
+    q, c = np.floor(rng.normal(0, 60, (20, 70))), np.floor(rng.normal(0, 60, (300, 70)))
+    c[150:] /= 4
+    c = np.floor(c)
+    qi, ci, got, before = np.arange(20) + 1000, np.arange(300), [], None
+    for i in range(0, 300, 50):
+        a, b, s, before = topk.meet(qi, q, ci[i : i + 50], c[i : i + 50], 5, before)
+        got += zip(a.tolist(), s.tolist(), b.tolist())
+    for row, name in enumerate(qi):
+        whole = sorted(((-int(s), int(j)) for j, s in enumerate(c @ q[row])))[:5]
+        assert sorted((-s, j) for n, s, j in got if n == name)[:5] == whole
+        assert sorted(before[row].tolist(), reverse=True) == [-s for s, _ in whole]
