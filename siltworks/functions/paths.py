@@ -58,6 +58,17 @@ def working_name(parents: Column, name: Column) -> Column:
     return F.translate(F.concat_ws("__", parents, name), " /", "__")
 
 
+def pdf_member(number: Column, generation: Column) -> Column:
+    """The name of a picture inside a PDF, from which its object is found again."""
+    return F.format_string("pdf_obj_%d_%d.jpg", number, generation)
+
+
+def pdf_object(name: Column) -> Column:
+    """The number and the generation of the object that a member's name tells; null for other names."""
+    part = lambda k: F.regexp_extract(base_name(name), r"^pdf_obj_(\d+)_(\d+)\.jpg$", k).cast("long")
+    return F.when(base_name(name).rlike(r"^pdf_obj_\d+_\d+\.jpg$"), F.struct(part(1).alias("number"), part(2).alias("generation")))
+
+
 def incompressible(path: Column) -> Column:
     return F.lower(suffix(path)).isin(*INCOMPRESSIBLE)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from siltworks.functions.paths import base_name
 
 #: Names of this library's own files.
-OWN_FILES = (".siltworks.yaml", ".siltworks_stamps.parquet", ".siltworks_timestamp")
+MARKER, STAMP_MEMBER = ".siltworks_timestamp", ".siltworks_stamps.yaml"
+OWN_FILES = (".siltworks.yaml", ".siltworks_stamps.parquet", STAMP_MEMBER, MARKER)
 WORKING_SUFFIX = ".siltworks-tmp"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.paths import ancestors
+from siltworks.functions.paths import ancestors, base_name
+from siltworks.operators.skip import MARKER, STAMP_MEMBER
 
 
 def ancestor_stamp(items: DataFrame, stamps: DataFrame, key: str = "item_id") -> DataFrame:
@@ -49,6 +50,34 @@ def fingerprint(configs: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.sha2(F.concat_ws(",", "n", *(f"s{k}" for k in range(4))), 256).alias("fingerprint"))
 
 
+def marker_stamps(scan: DataFrame, name: str = MARKER) -> DataFrame:
+    """path (of the folder) and ts: marker files called ``name`` in ``scan`` (path, mtime) stamp their folders with their times."""
+    found = scan.where(base_name(F.col("path")) == name).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), "mtime")
+    return found.groupBy("path").agg(F.max("mtime").alias("ts"))
+
+
+def member_stamps(members: DataFrame, name: str = STAMP_MEMBER) -> DataFrame:
+    """container_id, path (below /) and ts, as told by the files called ``name`` among ``members`` of archives.
+
+    Their lines are ``path: seconds``; paths are relative to the file's folder,
+    which ``.`` stands for. Lines of another form tell nothing.
+    """
+    held = members.where((F.col("kind") == "file") & (base_name(F.col("name")) == name))
+    folder = F.regexp_extract(F.concat(F.lit("/"), F.col("name")), r"^(.*)/[^/]*$", 1)
+    each = held.select("container_id", folder.alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    form = r"""^\s*["']?(?:\./)?(.+?)/?["']?\s*:\s*(\d+(?:\.\d+)?)\s*$"""
+    each = each.where(F.col("line").rlike(form)).select("container_id", "folder", F.regexp_extract("line", form, 1).alias("own"), F.regexp_extract("line", form, 2).cast("double").alias("ts"))
+    path = F.when(F.col("own") == ".", F.col("folder")).otherwise(F.concat_ws("/", "folder", "own"))
+    return each.select("container_id", F.when(path == "", "/").otherwise(path).alias("path"), "ts").groupBy("container_id", "path").agg(F.max("ts").alias("ts"))
+
+
+def newest_member_stamp(members: DataFrame, told: DataFrame) -> DataFrame:
+    """container_id, archive_index and stamp: the latest of ``told`` (see :func:`member_stamps`) for a member or a folder above it."""
+    above = F.array_append(ancestors(F.concat(F.lit("/"), F.col("name"))), F.lit("/"))
+    each = members.select("container_id", "archive_index", F.explode(above).alias("path")).join(told, ["container_id", "path"])
+    return each.groupBy("container_id", "archive_index").agg(F.max("ts").alias("stamp"))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """All stamps, the later one for a path in both."""
     return old.unionByName(new).groupBy("root", "path").agg(F.max("ts").alias("ts"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators.reports import report_text
 from siltworks.operators.settings import folder_settings
-from siltworks.operators.skip import changed, skip_items
-from siltworks.operators.stamps import ancestor_stamp, compact, folder_status, upsert
+from siltworks.operators.skip import MARKER, changed, skip_items
+from siltworks.operators.stamps import ancestor_stamp, compact, folder_status, marker_stamps, upsert
 from siltworks.plans.optimize import detect, optimize
 from siltworks.sources import files
 from siltworks.sources.replace import replace_files
@@ -41,13 +42,18 @@ def optimize_folder(
     says what is in scope below; ``pinned`` beats them. Further options are those of
     :func:`optimize`. Files are replaced at once, unless it is a dry run. A folder
     gets a stamp if nothing below it failed or was left alone since it had changed;
-    else only its other files do. A dry run stamps nothing.
+    else only its other files do. A dry run stamps nothing. Marker files count as
+    stamps of their folders; they are left where they are.
     """
     files.register(spark)
     known = spark.createDataFrame([], STAMPS) if known is None else known
     scan = spark.read.format("files").options(path=root, symlinks=str(symlinks).lower(), content="none").load()
     # patterns are held against the path below the root
     below = scan.withColumn("whole", F.col("path")).withColumn("path", F.substring("path", F.lit(len(root.rstrip("/")) + 2), F.length("path")))
+    # marker files of older runs stamp their folders, those above the root too
+    marked = below.where(~F.regexp_replace("path", r"[^/]*$", "").rlike(ignore)).select(F.col("whole").alias("path"), "mtime")
+    marked = marker_stamps(marked.unionByName(spark.createDataFrame(markers_above(root), "path string, mtime double")))
+    known = upsert(known, marked.select(F.lit(root).alias("root"), "path", "ts"))
     wanted = skip_items(below, ignore, symlinks).select(F.col("whole").alias("item_id"), F.col("whole").alias("path"), "mtime")
     stamps = ancestor_stamp(wanted, known.where(F.col("root") == root)).withColumnRenamed("item_id", "of")
     new = wanted.join(stamps, F.col("item_id") == F.col("of"), "left").where(changed(F.col("mtime"), F.col("stamp"))).select("path")
@@ -76,6 +82,12 @@ def optimize_folder(
     return told, stage(compact(upsert(known, fresh)))
 
 
+def markers_above(root: str) -> list[tuple[str, float]]:
+    """path and mtime of the marker files in the folders above ``root``: one look for each."""
+    found = [parent / MARKER for parent in Path(root).parents]
+    return [(str(p), p.stat().st_mtime) for p in found if p.is_file()]
+
+
 def in_scope(items: DataFrame, layers: DataFrame, pinned: dict[str, str] | None = None) -> DataFrame:
     """``items`` (path, content) whose format is one of those that their folder's setting ``formats`` names, if there is one."""
     each = items.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.paths import final_path, suffix
+from siltworks.functions.paths import base_name, final_path, suffix
 from siltworks.functions.sniff import bytes_column, jxl_lossless, magic_format, webp_lossless
 from siltworks.operators.archives import TARS, ZIPS, pack, unpack
 from siltworks.operators.codecs import CODECS, optimize_leaves, tools
 from siltworks.operators.reports import outcome, replaces
 from siltworks.operators.routing import pick_handlers, ready_handlers, routes
-from siltworks.operators.skip import wanted
+from siltworks.operators.skip import STAMP_MEMBER, changed, wanted
+from siltworks.operators.stamps import member_stamps, newest_member_stamp
 from siltworks.sources.staging import stage
 
 #: Formats of containers by suffix, where the bytes are those of a zip or a tar.
@@ -49,6 +50,8 @@ def optimize(
     codecs: dict[str, Callable[[bytes], bytes]] | None = None,
     convert_to: list[str] = (),
     dry_run: bool = False,
+    fail_fast: bool = False,
+    fail_fast_container: bool = False,
 ) -> DataFrame:
     """item_id, path, target, format, bytes_in, bytes_out, changed, kind, error and data of ``items`` (path, content).
 
@@ -58,6 +61,12 @@ def optimize(
     of routes, if the new bytes pass the gate; a member that does gets the new
     suffix. Lossy files of formats that may be lossless are left alone. A dry run
     works all out and changes nothing.
+
+    Archives may hold stamp files: members that are no newer than their stamp there
+    are carried over, and the stamp files go when the archive is packed anew, which
+    they call for. With ``fail_fast_container`` a failure anywhere in a container
+    leaves the outermost one as it was; with ``fail_fast`` the run raises an error
+    at the first level of which a container has failed.
     """
     codecs = CODECS if codecs is None else codecs
     containers = [*ZIPS, *TARS]
@@ -72,9 +81,11 @@ def optimize(
         if members.isEmpty():
             break
         entries.append(members)
-        child = members.where("kind = 'file'").select(
+        child = members.where("kind = 'file'").where(~stamp_file(F.col("name")))
+        newest = newest_member_stamp(child, member_stamps(members))
+        child = child.join(newest, ["container_id", "archive_index"], "left").select(
             F.concat_ws(":", "container_id", F.format_string("%d", "archive_index")).alias("item_id"), F.col("container_id").alias("parent"),
-            "archive_index", "name", "kind", wanted(F.col("name"), ignore).alias("process"), "content",
+            "archive_index", "name", "kind", (wanted(F.col("name"), ignore) & changed(F.col("mtime"), F.col("stamp"))).alias("process"), "content",
         )
         levels.append(stage(child.withColumn("format", F.when(F.col("process"), detect(F.col("name"), F.col("content"))))))
     below = None
@@ -86,6 +97,8 @@ def optimize(
             new = new.unionByName(_repack(level, entries[depth], below))
         converted = F.col("format") != F.col("out_format")
         gate = replaces(F.length("content"), F.coalesce(F.length("optimized"), F.lit(0)), bigger)
+        if fail_fast_container:
+            gate = gate & F.col("error").isNull()
         below = stage(
             level.join(new, "item_id", "left").select(
                 "item_id", "parent", "archive_index", "format", F.length("content").cast("long").alias("bytes_in"),
@@ -94,6 +107,8 @@ def optimize(
                 F.when(gate & converted, final_path(F.col("name"), F.lower(F.concat(F.lit("."), "out_format")))).otherwise(F.col("name")).alias("new_name"),
             )
         )
+        if fail_fast and (bad := below.where(F.col("error").isNotNull() & F.col("format").isin(*containers)).select("item_id", "error").first()):
+            raise RuntimeError(f"{bad.item_id}: {bad.error}")
     kind = outcome(F.col("bytes_in"), F.col("bytes_out"), F.coalesce("converted", F.lit(False)), F.col("error").isNotNull(), F.lit(dry_run))
     return below.select(
         "item_id", F.col("item_id").alias("path"), F.col("new_name").alias("target"), "format", "bytes_in", "bytes_out",
@@ -101,6 +116,11 @@ def optimize(
     )
 
 
+def stamp_file(name: Column) -> Column:
+    """Whether a member of an archive is a file of stamps."""
+    return base_name(name) == STAMP_MEMBER
+
+
 def _routed(level: DataFrame, containers: list[str], convert_to: list[str]) -> DataFrame:
     """``level`` and out_format: what a container is packed as."""
     if not convert_to:
@@ -127,9 +147,11 @@ def _repack(level: DataFrame, members: DataFrame, below: DataFrame) -> DataFrame
     work = of.groupBy("container_id").agg(F.bool_or("changed").alias("had_work"), F.max("failed").alias("failed"))
     broken = members.where("kind = 'error'").select(F.col("container_id").alias("item_id"), F.lit(None).cast("binary").alias("optimized"), "error")
     work = work.join(level.select(F.col("item_id").alias("container_id"), (F.col("format") != F.col("out_format")).alias("converts")), "container_id")
-    work = work.select("container_id", (F.col("had_work") | F.col("converts")).alias("had_work"), "failed")
+    stamped = members.where((F.col("kind") == "file") & stamp_file(F.col("name"))).select("container_id", F.lit(True).alias("stamped")).distinct()
+    work = work.join(stamped, "container_id", "left")
+    work = work.select("container_id", (F.col("had_work") | F.col("converts") | F.coalesce("stamped", F.lit(False))).alias("had_work"), "failed")
     busy = work.where("had_work").select(F.col("container_id").alias("item_id"))
-    merged = members.join(of.select("container_id", "archive_index", "data", "new_name"), ["container_id", "archive_index"], "left")
+    merged = members.where(~((F.col("kind") == "file") & stamp_file(F.col("name")))).join(of.select("container_id", "archive_index", "data", "new_name"), ["container_id", "archive_index"], "left")
     merged = merged.withColumn("content", F.coalesce("data", "content"))
     merged = merged.withColumn("was", F.col("name")).withColumn("name", F.coalesce("new_name", "name")).drop("data", "new_name")
     done = pack(merged, level.join(busy, "item_id", "left_semi").select("item_id", F.col("out_format").alias("format")))

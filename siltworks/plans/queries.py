@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.functions import formats, frames, paths, sniff
+from siltworks.functions import formats, frames, images, paths, sniff
 from siltworks.operators import archives, reports, routing, settings, skip, stamps
 from siltworks.operators.codecs import tools
 
@@ -467,3 +467,56 @@ def stamp_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamps of an earlier run and of this one, the later winning."""
     of = read(spark, sf_dir, "events").groupBy(F.lit("r").alias("root"), F.col("user_id").cast("string").alias("path"))
     return stamps.upsert(of.agg(F.max("event_id").cast("double").alias("ts")), of.agg((F.min("event_id") + 500).cast("double").alias("ts")))
+
+
+MODES = ("RGB", "P", "CMYK", "1", "I", "LA", "XYZ")
+
+
+@query(
+    """WITH t AS (SELECT page_id, page_id % 17 AS depth, ['RGB', 'P', 'CMYK', '1', 'I', 'LA', 'XYZ'][(page_id % 7 + 1)::INT] AS mode, page_id % 2 = 0 AS transparent FROM (SELECT p_partkey AS page_id FROM part))
+SELECT page_id AS item_id, depth BETWEEN 1 AND 8 AS pngout, 'duration=' || page_id || ',loop=0' AS saved, 'duration=' || page_id || ',exif=,loop=0' AS jxl,
+  CASE mode WHEN 'P' THEN CASE WHEN transparent THEN 'RGBA' ELSE 'RGB' END WHEN '1' THEN 'L' WHEN 'I' THEN 'I;16' WHEN 'LA' THEN 'LA' ELSE 'RGB' END AS jxl_mode FROM t"""
+)
+def image_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What encoders get of an image's information, and in which mode; parts are images."""
+    key = F.col("p_partkey")
+    mode = F.element_at(F.array(*map(F.lit, MODES)), (key % len(MODES) + 1).cast("int"))
+    info = F.create_map(F.lit("loop"), F.lit("0"), F.lit("duration"), key.cast("string"), F.lit("icc_profile"), F.lit("x"), F.lit("exif"), F.lit("y"))
+    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return read(spark, sf_dir, "part").select(
+        key.alias("item_id"), images.pngout_takes(key % 17).alias("pngout"), told(images.saved_info(info)).alias("saved"),
+        told(images.jxl_info(info)).alias("jxl"), images.jxl_mode(mode, key % 2 == 0).alias("jxl_mode"),
+    )
+
+
+@query("SELECT 'pdf_obj_' || l_orderkey || '_' || l_linenumber || '.jpg' AS name, l_orderkey AS number, l_linenumber::BIGINT AS generation, o_custkey AS held FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of PDFs get names that tell their objects, and go back to them by a join; orders are PDFs."""
+    members = read(spark, sf_dir, "lineitem").select(paths.pdf_member(F.col("l_orderkey"), F.col("l_linenumber")).alias("name"))
+    back = members.select("name", paths.pdf_object(F.col("name")).alias("of")).select("name", "of.*")
+    return back.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), F.col("o_custkey").alias("held")), "number")
+
+
+@query(
+    """SELECT '/lib/' || user_id AS path, cast(max(event_id) AS DOUBLE) AS ts FROM events WHERE event_id % 3 = 0 GROUP BY user_id"""
+)
+def marker_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marker files of a scan, in which users are folders and two of three events other files."""
+    name = F.when(F.col("event_id") % 3 == 0, skip.MARKER).otherwise(F.concat(F.lit("a"), F.lit(skip.MARKER)))
+    path = F.concat(F.lit("/lib/"), F.col("user_id").cast("string"), F.lit("/"), name)
+    return stamps.marker_stamps(read(spark, sf_dir, "events").select(path.alias("path"), F.col("event_id").cast("double").alias("mtime")))
+
+
+@query(
+    """WITH t AS (SELECT cast(conv_id AS VARCHAR) AS c, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT c AS container_id, cast(turn AS INT) AS archive_index, cast(max(CASE WHEN turn % 2 = 0 THEN 100 + last ELSE last END) AS DOUBLE) AS stamp FROM t GROUP BY ALL"""
+)
+def member_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamp files in archives, for members and for folders; conversations are archives, and even turns lie in a folder."""
+    turns = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").cast("string").alias("container_id"), "turn").agg(F.lit("file").alias("kind"))
+    name = F.concat(F.when(F.col("turn") % 2 == 0, "even/").otherwise("odd/"), F.col("turn").cast("string"))
+    members = turns.select("container_id", F.col("turn").cast("int").alias("archive_index"), name.alias("name"), "kind")
+    last = turns.groupBy("container_id").agg(F.max("turn").alias("last"))
+    text = F.concat(F.lit("config: {}\n.: "), F.col("last").cast("string"), F.lit("\neven: "), (F.col("last") + 100).cast("string"), F.lit("\n"))
+    told = last.select("container_id", F.lit("file").alias("kind"), F.lit(skip.STAMP_MEMBER).alias("name"), F.encode(text, "UTF-8").alias("content"))
+    return stamps.newest_member_stamp(members, stamps.member_stamps(told))

@@ -281,3 +281,48 @@ def test_what_cannot_be_read_is_told(spark, tmp_path):
     rows = {r.path: r for r in files.with_content(spark.createDataFrame([(str(tmp_path / n),) for n in "ab"], "path string")).collect()}
     assert rows[str(tmp_path / "a")].content == b"x" and rows[str(tmp_path / "a")].error is None
     assert rows[str(tmp_path / "b")].content is None and "No such file" in rows[str(tmp_path / "b")].error
+
+
+def stamped_zip(stamps, members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data, year in (("in/.siltworks_stamps.yaml", stamps, 2000), *members):
+            z.writestr(zipfile.ZipInfo(name, (year, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
+
+
+def test_stamp_files_in_archives(spark):
+    old = stamped_zip(b"config: {x: 1}\na.png: 1200000000\n'./sub/': 1300000000.5\n", [("in/a.png", png(), 2005), ("in/b.png", png(), 2005), ("in/sub/c.png", png(), 2005), ("in/sub/d.png", png(), 2015), ("a.png", png(), 2005)])
+    idle = stamped_zip(b".: 1300000000\n", [("in/a.png", png(), 2005)])
+    df = spark.createDataFrame([("/r/o.zip", bytearray(old)), ("/r/i.zip", bytearray(idle))], "path string, content binary")
+    rows = {r.path: r for r in optimize(df).collect()}
+    held = {m[0]: m[7] for m in archives.zip_members(bytes(rows["/r/o.zip"].data))}
+    assert {n: d == png() for n, d in held.items()} == {"in/a.png": True, "in/b.png": False, "in/sub/c.png": True, "in/sub/d.png": False, "a.png": False}
+    assert [m[0] for m in archives.zip_members(bytes(rows["/r/i.zip"].data))] == ["in/a.png"]
+
+
+def test_failures_end_the_run_or_leave_the_outermost_container(spark):
+    inner = zipped([("bad.png", b"\x89PNG\r\n\x1a\nxx"), ("good.png", png())])
+    items = [("/r/o.zip", zipped([("in.zip", inner), ("p.png", png())])), ("/r/ok.zip", zipped([("p.png", png())])), ("/r/bad.png", b"\x89PNG\r\n\x1a\nxx")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in items], "path string, content binary")
+    told = lambda **k: {r.path: (r.changed, r.kind) for r in optimize(df, **k).collect()}
+    assert told() == {"/r/o.zip": (True, "error"), "/r/ok.zip": (True, "saved"), "/r/bad.png": (False, "error")}
+    assert told(fail_fast_container=True) == {"/r/o.zip": (False, "error"), "/r/ok.zip": (True, "saved"), "/r/bad.png": (False, "error")}
+    with pytest.raises(RuntimeError, match="/r/o.zip"):
+        optimize(df, fail_fast=True)
+    assert optimize(df.where("path != '/r/o.zip'"), fail_fast=True).count() == 2
+
+
+def test_marker_files_stamp_their_folders(spark, tmp_path):
+    root = tmp_path / "in"
+    for folder in ("new", "old", ".hidden"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "a.png").write_bytes(png())
+        os.utime(root / folder / "a.png", (1e9, 1e9))
+    (root / "old" / ".siltworks_timestamp").write_bytes(b"")
+    told, stamps = optimize_folder(spark, str(root))
+    assert [os.path.relpath(r.path, root) for r in told.collect()] == ["new/a.png"]
+    (root / "new" / "a.png").write_bytes(png())
+    os.utime(root / "new" / "a.png", (1e9, 1e9))
+    (tmp_path / ".siltworks_timestamp").write_bytes(b"")
+    assert optimize_folder(spark, str(root))[0].isEmpty()
