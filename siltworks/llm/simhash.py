@@ -163,6 +163,15 @@ def overlaps(tree, prints: np.ndarray, radius: int) -> list[np.ndarray]:
     return out
 
 
+def packed(prints: np.ndarray, shard: np.ndarray, chunk: np.ndarray, home: bool) -> Iterator[tuple[int, int, bool, bytes]]:
+    """A row for each group (shard, chunk), with its fingerprints as bytes."""
+    order = np.lexsort((chunk, shard))
+    prints, shard, chunk = prints[order], shard[order], chunk[order]
+    cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(chunk) != 0)) + 1
+    ends = [0, *cuts.tolist(), len(prints)]
+    return ((int(shard[i]), int(chunk[i]), home, prints[i:j].tobytes()) for i, j in zip(ends, ends[1:]) if i < j)
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links a, b whose components are those of all pairs of ``prints`` (fp, distinct) within ``radius``.
 
@@ -174,24 +183,27 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     top = grow(sample, 8, depth)
     leaves = _leaves(top)
-    blocks, chunks = -(-n // (2 * leaves * SHARD)) or 1, -(-n // VISITORS) or 1
+    blocks = -(-n // (2 * leaves * SHARD)) or 1
+    # only how many groups a leaf's visitors are dealt to is taken from the sample; who visits is not
+    asking = np.array([len(near) for near in overlaps(top, sample, radius)]) / max(1, len(sample))
+    chunks = np.maximum(1, np.ceil(asking * n / VISITORS)).astype(np.int64)
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             p = part["fp"].to_numpy(np.int64).view(np.uint64)
             deal = p * np.uint64(0x9E3779B97F4A7C15)
-            block, chunk = (deal >> np.uint64(40)) % np.uint64(blocks), (deal >> np.uint64(20)) % np.uint64(chunks)
+            block, luck = (deal >> np.uint64(40)) % np.uint64(blocks), ((deal >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64)
             leaf = homes(top, p)
             home = leaf * blocks + block.astype(np.int64)
-            rows = []
-            for k in np.unique(home):
-                mine = p[home == k]
-                rows += [(int(k), c, True, mine.tobytes()) for c in range(chunks)]
+            rows = np.repeat(np.arange(len(p)), chunks[leaf])
+            copy = np.arange(len(rows)) - np.repeat(np.cumsum(chunks[leaf]) - chunks[leaf], chunks[leaf])
+            out = list(packed(p[rows], home[rows], copy, True))
             for at, near in enumerate(overlaps(top, p, radius)):
-                for k in range(at * blocks, (at + 1) * blocks):
-                    guests = near[home[near] < k]
-                    rows += [(k, c, False, p[guests[chunk[guests] == c]].tobytes()) for c in range(chunks)]
-            yield pd.DataFrame([r for r in rows if r[3]], columns=["shard", "chunk", "home", "packed"])
+                rows, shard = np.repeat(near, blocks), np.tile(np.arange(at * blocks, (at + 1) * blocks), len(near))
+                later = home[rows] < shard
+                rows, shard = rows[later], shard[later]
+                out += packed(p[rows], shard, luck[rows] % chunks[at], False)
+            yield pd.DataFrame(out, columns=["shard", "chunk", "home", "packed"])
 
     def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         unpack = lambda x: np.frombuffer(b"".join(x), np.uint64)
