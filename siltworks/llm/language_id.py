@@ -15,6 +15,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -191,11 +192,13 @@ def predict_column(net: Network | None):
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    out = docs.withColumn("_letter", has_letter(F.col("text"))).withColumn("_p", predict_column(net)("text"))
-    pred = F.when(F.col("_letter"), F.col("_p.lang")).otherwise(F.lit(UNKNOWN))
-    score = F.when(F.col("_letter"), F.col("_p.score")).otherwise(F.lit(0.0))
-    return out.withColumn("lang_pred", pred).withColumn("score", score).drop("_letter", "_p")
+    """``docs`` with lang_pred and score; columns that have these names already stay as given_lang_pred and given_score."""
+    letter, told = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    out = docs.withColumnsRenamed({c: f"given_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    out = out.withColumn(letter, has_letter(F.col("text"))).withColumn(told, predict_column(net)("text"))
+    pred = F.when(F.col(letter), F.col(f"{told}.lang")).otherwise(F.lit(UNKNOWN))
+    score = F.when(F.col(letter), F.col(f"{told}.score")).otherwise(F.lit(0.0))
+    return out.withColumn("lang_pred", pred).withColumn("score", score).drop(letter, told)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,12 @@ def test_without_labels_every_language_is_unknown(spark):
     assert language_id.identify(docs.where("false").drop("score"), None).count() == 0
 
 
+def test_columns_of_the_callers_and_repeated_rows_stay(spark):
+    docs = spark.createDataFrame([(1, "text", 7, "x", "y")] * 2, "doc_id long, text string, score int, lang_pred string, _p string")
+    rows = language_id.identify(docs, None).collect()
+    assert [(r.doc_id, r.given_score, r.given_lang_pred, r["_p"], r.lang_pred, r.score) for r in rows] == [(1, 7, "x", "y", "und", 0.0)] * 2
+
+
 def test_the_query_on_held_out_documents(spark):
     rows = language_id.op1_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
