@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: SQL for DuckDB, which has no crc32, of an expression of ASCII text: a list of its bytes and of eight halvings for each is reduced.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length({0}) + 1),
+    lambda i: [ascii(substr({0}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the input folder."""
@@ -39,12 +45,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """The same as a compressed Parquet table, for wide rows of which later steps read a few columns."""
+    """The same as a compressed Parquet table, for wide rows of which later steps read a few columns.
+
+    It lasts as long as the application: what comes of it may be read at any time.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove, df.sparkSession)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables that go when the application ends.
+_made: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    """Remove the tables of an application that ends while its session is there."""
+    if spark.sparkContext._jsc is not None:
+        delete(spark, _made)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders of any file system that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows, each with about ``size`` bytes of text or one longer text."""
     block = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
@@ -80,7 +110,4 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for folder in self.folders:
-            path = hadoop.Path(folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.folders)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, chat, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk
+from siltworks.llm import bpe, chat, language_id, line_dedup, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, structure, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash": simhash.op9_simhash,
     "op10_pii_contexts": pii.op10_pii_contexts,
+    "op11_structure_repair": structure.op11_structure_repair,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
     "op4_topk_segments": topk.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op11_structure_repair": structure.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
