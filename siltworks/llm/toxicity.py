@@ -15,8 +15,9 @@ Words enter without case and without signs around them, whole and by their first
 BEGINNING characters, and only those whose share among positives stands out from
 that among unlabelled texts by more than chance; each weighs in by how far.
 
-Both samples are taken by the hash of the id and bounded (POSITIVES, UNLABELLED);
-the driver gets the hashed words of these texts. All texts are scored whole.
+Both samples are taken by the hash of the id and bounded (POSITIVES, UNLABELLED).
+Their words are counted by Spark, and the driver gets those of each text that
+stand out. All texts are scored whole.
 
 Edge cases: a null or blank text, or one without a telling word, has the score of
 no word; labels that are null, and labels of documents that aren't there, are not
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import read
+from siltworks.llm.common import Scratch, read
 
 #: Confirmed and unlabelled texts to learn from at most.
 POSITIVES, UNLABELLED = 4000, 12_000
@@ -82,15 +83,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-x, -60, 60)))
 
 
-def telling(positive: list, unlabelled: list) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets whose share among positives stands out, and the scale of each."""
-    count = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]), minlength=BUCKETS)
-    n, m = len(positive), len(unlabelled)
-    p, u = count(positive), count(unlabelled)
-    share = (p + u + 1) / (n + m + 2)
-    z = np.abs(p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    own = np.flatnonzero((z > STANDS_OUT) & (p + u > 2))
-    return own, np.minimum(1.0, z[own] / IN_FULL)
+def telling(rows: DataFrame, n: int, m: int) -> DataFrame:
+    """bucket and scale of those whose share among the ``n`` positives stands out from that among the ``m`` unlabelled; ``rows``: kind, own."""
+    each = rows.select("kind", F.explode("own").alias("bucket")).groupBy("bucket").agg(F.sum("kind").alias("p"), F.count("*").alias("both"))
+    share = (F.col("both") + 1) / (n + m + 2)
+    z = F.abs(F.col("p") / n - (F.col("both") - F.col("p")) / m) / F.sqrt(share * (1 - share) * (1 / n + 1 / m))
+    return each.select("bucket", "both", z.alias("z")).where((F.col("z") > STANDS_OUT) & (F.col("both") > 2)).select("bucket", F.least(F.lit(1.0), F.col("z") / IN_FULL).alias("scale"))
 
 
 def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
@@ -99,33 +97,38 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
     return prior * of(-positive), of(unlabelled) - prior * of(positive)
 
 
-def train(positive: list, unlabelled: list, prior: float) -> Linear:
-    """Fit by Adam on the whole samples (lists of buckets); ``prior`` is the share of positives among ``unlabelled``."""
-    if not positive or not unlabelled or not prior:
-        return Linear({}, -np.inf)
-    own, scale = telling(positive, unlabelled)
-    at = np.full(BUCKETS, -1)
-    at[own] = np.arange(len(own))
-    flat = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]) for rows in (positive, unlabelled)]
-    who = [np.repeat(np.arange(len(rows)), [len(r) for r in rows]) for rows in (positive, unlabelled)]
-    told = [at[x] >= 0 for x in flat]
-    (pb, ub), (pw, uw) = [at[x[k]] for x, k in zip(flat, told)], [x[k] for x, k in zip(who, told)]
-    n, m, w = len(positive), len(unlabelled), np.zeros(len(own) + 1)
+@dataclass
+class Sample:
+    """Texts of one kind: how many, and for each entry its text and its bucket (numbers from 0)."""
+
+    n: int
+    who: np.ndarray
+    which: np.ndarray
+
+    def scores(self, values: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.who, values[self.which], self.n) + bias
+
+    def gradient(self, by_score: np.ndarray, n_values: int) -> np.ndarray:
+        return np.bincount(self.which, by_score[self.who], n_values)
+
+
+def train(positive: Sample, unlabelled: Sample, scale: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias, fitted by Adam on the whole samples; ``prior`` is the share of positives among ``unlabelled``."""
+    w = np.zeros(len(scale) + 1)
     w[-1] = np.log(prior / (1 - prior)) if prior < 1 else 1.0
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        v = w[:-1] * scale
-        gp, gu = np.bincount(pw, v[pb], n) + w[-1], np.bincount(uw, v[ub], m) + w[-1]
+        gp, gu = (kind.scores(w[:-1] * scale, w[-1]) for kind in (positive, unlabelled))
         # derivatives of each part by the scores
-        dp, du = -prior * _sigmoid(-gp) / n, np.zeros(m)
+        dp, du = prior * _sigmoid(gp) / positive.n, _sigmoid(gu) / unlabelled.n
         if risk(gp, gu, prior)[1] >= -SLACK:
-            dp, du = dp - prior * _sigmoid(gp) / n, _sigmoid(gu) / m
+            dp = -prior * _sigmoid(-gp) / positive.n - dp
         else:
-            dp, du = BACK * prior * _sigmoid(gp) / n, -BACK * _sigmoid(gu) / m
-        grad = np.r_[(np.bincount(pb, dp[pw], len(own)) + np.bincount(ub, du[uw], len(own))) * scale + DECAY * w[:-1], dp.sum() + du.sum()]
+            dp, du = BACK * dp, -BACK * du
+        grad = np.r_[(positive.gradient(dp, len(scale)) + unlabelled.gradient(du, len(scale))) * scale + DECAY * w[:-1], dp.sum() + du.sum()]
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
-    return Linear(dict(zip(own.tolist(), (w[:-1] * scale).tolist())), float(w[-1]))
+    return w[:-1] * scale, float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Linear:
@@ -138,9 +141,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     by_hash = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = by_hash(marks.where("toxic = 1").select("doc_id"), positives).withColumn("kind", F.lit(1))
     chosen = chosen.unionByName(by_hash(known, unlabelled).withColumn("kind", F.lit(0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the samples
-    got = rows.select("doc_id", "kind", buckets_column()("text").alias("own")).toPandas().sort_values(["kind", "doc_id"], kind="stable")
-    return train(got["own"][got["kind"] == 1].tolist(), got["own"][got["kind"] == 0].tolist(), prior)
+    with Scratch(docs.sparkSession) as scratch:
+        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the samples
+        rows = scratch.table(rows.select("doc_id", "kind", F.monotonically_increasing_id().alias("row"), buckets_column()("text").alias("own")))
+        sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        if len(sizes) < 2 or not prior:
+            return Linear({}, -np.inf)
+        told = scratch.table(telling(rows, sizes[1], sizes[0]))
+        own = told.orderBy("bucket").toArrow()
+        each = rows.select("doc_id", "kind", "row", F.explode("own").alias("bucket")).join(told.select("bucket"), "bucket")
+        got = each.orderBy("kind", "doc_id", "row", "bucket").select("kind", "row", "bucket").toArrow()
+    kinds, row, bucket = (got[c].to_numpy() for c in ("kind", "row", "bucket"))
+    which = np.searchsorted(own["bucket"].to_numpy(), bucket)
+
+    def sample(kind: int) -> Sample:
+        of = kinds == kind
+        return Sample(sizes[kind], np.cumsum(np.diff(row[of], prepend=row[of][:1]) != 0), which[of])
+
+    weights, bias = train(sample(1), sample(0), own["scale"].to_numpy(), prior)
+    return Linear(dict(zip(own["bucket"].to_pylist(), weights.tolist())), bias)
 
 
 class Weights(dict):

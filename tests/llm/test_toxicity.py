@@ -38,13 +38,32 @@ def test_unlabelled_toxic_texts_are_found_from_confirmed_ones(spark):
     assert np.mean(np.array(hidden) >= 0.5) > 0.95 and np.mean(np.array(clean) >= 0.5) < 0.01
 
 
+def entries(rng, n, width):
+    who = np.repeat(np.arange(n), 12)
+    return toxicity.Sample(n, who, rng.integers(0, width, len(who)))
+
+
 def test_the_correction_keeps_the_risk_of_clean_texts_from_falling_below_zero():
     """With as many words as texts the plain estimate could be driven down without end."""
     rng = np.random.default_rng(0)
-    positive, unlabelled = ([np.unique(rng.integers(0, 60, 12)) for _ in range(n)] for n in (30, 60))
-    model = toxicity.train(positive, [*unlabelled, *positive[:10]], 0.4)
-    score = lambda rows: np.array([sum(model.weights.get(int(b), 0) for b in r) + model.bias for r in rows])
-    assert toxicity.risk(score(positive), score([*unlabelled, *positive[:10]]), 0.4)[1] > -0.05
+    positive, unlabelled = entries(rng, 30, 60), entries(rng, 60, 60)
+    weights, bias = toxicity.train(positive, unlabelled, np.ones(60), 0.4)
+    scores = [kind.scores(weights, bias) for kind in (positive, unlabelled)]
+    assert toxicity.risk(*scores, 0.4)[1] > -0.05
+
+
+def test_the_first_step_follows_the_gradient_of_the_risk(monkeypatch):
+    """Adam's first step is the sign of the gradient, here by differences."""
+    rng = np.random.default_rng(1)
+    positive, unlabelled, prior = entries(rng, 20, 8), entries(rng, 50, 8), 0.2
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    weights, bias = toxicity.train(positive, unlabelled, np.ones(8), prior)
+    start = np.r_[np.zeros(8), np.log(prior / (1 - prior))]
+    whole = lambda w: sum(toxicity.risk(*(k.scores(w[:-1], w[-1]) for k in (positive, unlabelled)), prior))
+    steps = np.eye(9) * 1e-5
+    grad = np.array([(whole(start + s) - whole(start - s)) / 2e-5 for s in steps])
+    moved = np.r_[weights, bias] - start
+    assert np.allclose(moved, -toxicity.RATE * np.sign(grad), atol=1e-3)
 
 
 def test_edge_cases(spark):
