@@ -6,8 +6,9 @@ bounded size; a group starts from best-fit-decreasing as the incumbent and, wher
 that isn't provably the least, searches by bin completion: around the largest
 piece left it enumerates undominated fillings of any number of pieces, takes
 those of the least waste first, and gives a branch up once the waste so far makes
-a better packing impossible. The search stops after it has taken back a stated
-number of choices; the incumbent is always a whole packing.
+a better packing impossible. All that the search does counts against a stated
+amount of work, so it ends; the incumbent is always a whole packing, and the
+result tells each group's sequences and the least number that they might be.
 
 Edge cases: a null or empty text is the one id 1; a text of any length is
 tokenised whole; copies and repeated rows are packed each; rows with a null
@@ -41,8 +42,10 @@ SIZE = 4096
 END = 1
 #: Documents for each packing group, on average.
 GROUP = 16384
-#: Choices that a group's search may take back. Where it ends by that, its packing may exceed the least by what :func:`least_bins` leaves open.
-NODES = 4000
+#: Work that a group's search may do (see :class:`Work`), a few seconds. Where it ends by that, its packing may exceed the least by what :func:`least_bins` leaves open.
+WORK = 3_000_000
+#: Depths whose enumeration is kept to go on with; one holds a sum of 512 bytes for each kind.
+ALIVE = 64
 #: Entries of a generation of a worker's tables; what two generations haven't met is forgotten.
 KEPT = 300_000
 #: Bytes of text that are encoded at once, beside the last document that they reach into.
@@ -219,19 +222,38 @@ def dominates(f: tuple[int, ...], g: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(kinds: list[int], count: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+class Spent(Exception):
+    """A search's work is used up."""
+
+
+class Work:
+    """What a search may still do, about a third of a microsecond each: a sum that is made, or a part of a step or of a test of dominance."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def spend(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Spent
+
+
+def fillings(kinds: list[int], count: dict[int, int], room: int, waste: int, work: Work) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of ``room`` by pieces that are left, of any number, least waste first and never above ``waste``.
 
     ``kinds`` has the lengths in order. Sums that can be reached are bits of
     integers, so the search for a sum never enters a branch without one. A filling
     beside which another piece would fit is left out, and so is one whose pieces go
-    into those of an earlier one.
+    into those of an earlier one. After a filling by one piece there is none: all
+    others would go into that piece.
     """
     held = [k for k in kinds if k <= room and count[k]]
     reach, inside = [1], (1 << (room + 1)) - 1
+    work.spend(len(kinds) // 4)
     for k in held:
         now = reach[-1]
         for _ in range(min(count[k], room // k)):
+            work.spend()
             more = now | (now << k & inside)
             if more == now:
                 break
@@ -243,6 +265,7 @@ def fillings(kinds: list[int], count: dict[int, int], room: int, waste: int) ->
             yield chosen
             return
         while i and reach[i] >> left & 1:
+            work.spend(3)
             i -= 1
             k = held[i]
             for n in range(min(count[k], left // k), 0, -1):
@@ -252,59 +275,75 @@ def fillings(kinds: list[int], count: dict[int, int], room: int, waste: int) ->
     seen: list[tuple[int, ...]] = []
     for w in range(min(waste, room) + 1):
         for f in exact(len(held), room - w, ()):
-            if any(k <= w and count[k] > f.count(k) for k in held) or any(dominates(s, f) for s in seen):
+            work.spend(4 + 20 * len(seen))
+            if any(k <= w and count[k] > f.count(k) for k in held[: bisect.bisect_right(held, w)]) or any(dominates(s, f) for s in seen):
                 continue
             seen.append(f)
             yield f
+            if len(f) == 1:
+                return
 
 
-def complete(lengths: list[int], size: int, nodes: int = NODES) -> list[list[int]]:
-    """A packing of ``lengths`` by bin completion, never worse than best-fit-decreasing; the least, unless ``nodes`` choices were taken back."""
+def complete(lengths: list[int], size: int, work: int = WORK) -> list[list[int]]:
+    """A packing of ``lengths`` by bin completion, never worse than best-fit-decreasing; the least, unless ``work`` was used up."""
     lengths = sorted(lengths, reverse=True)
     best = best_fit(lengths, size)
     least = least_bins(lengths, size)
     if len(best) == least:
         return best
     count = Counter(lengths)
-    kinds, total = sorted(count), sum(lengths)
+    kinds, total, left = sorted(count), sum(lengths), Work(work)
     bins: list[list[int]] = []
-    #: by depth: how many fillings were tried. They are enumerated again after going back, so a depth holds nothing else.
-    tried, packed, back, top = [0], 0, 0, len(kinds) - 1
-    while tried:
-        option = None
-        if packed == total:
-            best = [list(b) for b in bins]
-            if len(best) == least:
-                return best
-        else:
-            # what may still be wasted if the packing is to be better than the incumbent
-            waste = (len(best) - 1 - len(bins)) * size - (total - packed)
-            while not count[kinds[top]]:
-                top -= 1
-            first = kinds[top]
-            if waste >= 0:
-                count[first] -= 1
-                option = next(islice(fillings(kinds, count, size - first, waste), tried[-1], None), None)
-                count[first] += 1
-        if option is not None:
-            tried[-1] += 1
-            tried.append(0)
-            bins.append([first, *option])
-            count.subtract(bins[-1])
-            packed += sum(bins[-1])
-            continue
-        tried.pop()
-        if bins:
-            gone = bins.pop()
-            count.update(gone)
-            packed, back, top = packed - sum(gone), back + 1, len(kinds) - 1
-            if back >= nodes:
-                break
+    #: by depth: how many fillings were tried, and the enumeration that stands there; only the last ALIVE of these are kept, others begin again
+    tried, standing, packed, top = [0], [None], 0, len(kinds) - 1
+    try:
+        while tried:
+            option = None
+            if packed == total:
+                best = [list(b) for b in bins]
+                if len(best) == least:
+                    return best
+            else:
+                # what may still be wasted if the packing is to be better than the incumbent
+                waste = (len(best) - 1 - len(bins)) * size - (total - packed)
+                while not count[kinds[top]]:
+                    top -= 1
+                first = kinds[top]
+                if waste >= 0:
+                    count[first] -= 1
+                    if standing[-1] is None:
+                        standing[-1] = islice(fillings(kinds, count, size - first, waste, left), tried[-1], None)
+                    option = next(standing[-1], None)
+                    count[first] += 1
+                    # it was begun when more could be wasted
+                    if option is not None and size - first - sum(option) > waste:
+                        option = None
+            if option is not None:
+                tried[-1] += 1
+                tried.append(0)
+                standing.append(None)
+                if len(standing) > ALIVE:
+                    standing[-ALIVE - 1] = None
+                bins.append([first, *option])
+                count.subtract(bins[-1])
+                packed += sum(bins[-1])
+                continue
+            tried.pop()
+            standing.pop()
+            if bins:
+                gone = bins.pop()
+                count.update(gone)
+                packed, top = packed - sum(gone), len(kinds) - 1
+    except Spent:
+        pass
     return best
 
 
 def pack(pieces: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
-    """``pieces`` with sequence_id and offset. They are dealt evenly to ``groups``, each packed in one task."""
+    """``pieces`` with sequence_id and offset, and their group's group_sequences and group_least.
+
+    They are dealt evenly to ``groups``, each packed in one task.
+    """
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -318,17 +357,19 @@ def pack(pieces: DataFrame, groups: int, size: int = SIZE) -> DataFrame:
             waiting.setdefault(x, []).append(at)
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         base = TaskContext.get().partitionId() << 32
-        for k, held in enumerate(complete(lengths, size)):
+        found = complete(lengths, size)
+        for k, held in enumerate(found):
             place = 0
             for x in held:
                 at = waiting[x].pop()
                 sequence[at], offset[at] = base + k, place
                 place += x
         rows["sequence_id"], rows["offset"] = sequence, offset
+        rows["group_sequences"], rows["group_least"] = len(found), least_bins(lengths, size)
         yield rows
 
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes)
-    return pieces.repartition(groups).mapInPandas(group, f"{kinds}, sequence_id long, offset long")
+    return pieces.repartition(groups).mapInPandas(group, f"{kinds}, sequence_id long, offset long, group_sequences long, group_least long")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:

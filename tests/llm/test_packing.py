@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -82,16 +83,39 @@ def test_the_search_ends_where_it_is_told_to():
     rng = random.Random(1)
     lengths = [rng.randint(1200, 2100) for _ in range(300)]
     first = packing.best_fit(sorted(lengths, reverse=True), 4096)
-    for nodes in (1, 50):
-        found = packing.complete(lengths, 4096, nodes)
+    for work in (0, 1, 500, 50_000):
+        found = packing.complete(lengths, 4096, work)
         assert len(found) <= len(first) and sorted(x for b in found for x in b) == sorted(lengths)
 
 
 def test_fillings_are_maximal_and_undominated():
-    found = list(packing.fillings([2, 3, 5, 6], {2: 2, 3: 1, 5: 1, 6: 1}, 8, 8))
+    found = list(packing.fillings([2, 3, 5, 6], {2: 2, 3: 1, 5: 1, 6: 1}, 8, 8, packing.Work(1000)))
     assert found[0] == (6, 2) and (5, 3) in found and (5, 2) not in found and (2, 2, 3) not in found
 
 
+def test_a_filling_by_one_piece_is_the_last():
+    kinds = [*range(1, 101), 200]
+    assert list(packing.fillings(kinds, dict.fromkeys(kinds, 1), 200, 200, packing.Work(100))) == [(200,)]
+
+
+def hard():
+    """Groups whose best-fit packing doesn't meet the bound, of mixed and of log-normal lengths."""
+    rng = random.Random(7)
+    yield [rng.randint(1366, 1500) for _ in range(30)] + [rng.randint(1, 120) for _ in range(80)]
+    yield [min(4096, max(1, int(rng.lognormvariate(6.5, 1.0)))) for _ in range(8000)]
+    yield [rng.randint(700, 1500) for _ in range(3000)]
+    yield [3 * rng.randint(1, 1300) for _ in range(9000)]
+    yield [rng.randint(1200, 2100) for _ in range(8000)]
+
+
+def test_the_search_ends_in_seconds():
+    for lengths in hard():
+        first, began = packing.best_fit(sorted(lengths, reverse=True), 4096), time.process_time()
+        found = packing.complete(lengths, 4096)
+        assert time.process_time() - began < 30
+        assert len(found) <= len(first) and sorted(x for b in found for x in b) == sorted(lengths) and max(map(sum, found)) <= 4096
+
+
 def test_bin_completion_beats_best_fit():
     better = 0
     for seed in range(30):
