@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: SQL for DuckDB, which has no crc32, of an expression of ASCII text: a list of its bytes and of eight halvings for each is reduced.
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length({0}) + 1),
@@ -75,6 +76,17 @@ def delete(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_new_text(rows: DataFrame, docs: DataFrame, new: Column) -> DataFrame:
+    """The columns of ``docs`` from ``rows``, where they are the struct ``own`` and ``text`` is the text to have.
+
+    n_chars, if there is one, is counted anew where ``new`` is true.
+    """
+    told = F.col("own").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        told = told.withField("n_chars", F.when(new, F.length("text").cast("long")).otherwise(F.col("own.n_chars")))
+    return rows.select(told.alias("own")).select("own.*")
+
+
 def blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows, each with about ``size`` bytes of text or one longer text."""
     block = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size

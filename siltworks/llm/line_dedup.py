@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import Scratch, cut, read, table
+from siltworks.llm.common import Scratch, cut, read, table, with_new_text
 from siltworks.llm.components import components
 
 #: Characters in a shingle; a pair at the threshold is found with a chance of 1 - (1 - 0.8**ROWS)**BANDS = 0.985.
@@ -164,25 +164,25 @@ def links(known: DataFrame, scratch: Scratch) -> DataFrame:
     return cut(star.unionByName(similar(cross, texts)))
 
 
-def linked_lines(docs: DataFrame) -> DataFrame:
+def linked_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """h, g and component (a line's h) of the lines that are not unique."""
-    with Scratch(docs.sparkSession) as scratch:
-        known = scratch.bucketed(distinct_lines(docs), "h")
-        final = components(links(known, scratch)).select(F.col("node").alias("h"), F.col("root").alias("component"))
+    with Scratch(docs.sparkSession) as inner:
+        known = inner.bucketed(distinct_lines(docs), "h")
+        final = components(links(known, inner)).select(F.col("node").alias("h"), F.col("root").alias("component"))
         whole = known.select("h", "g", "n").join(final, "h", "left").where("n > 1 or component is not null")
-        return table(whole.select("h", "g", F.coalesce("component", "h").alias("component")))
+        return scratch.table(whole.select("h", "g", F.coalesce("component", "h").alias("component")))
 
 
-def removed_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash and drop (sorted numbers of the lines to remove), of documents that lose a line.
 
     ``rows`` are the :func:`occurrences` of ``docs``.
     """
-    linked = linked_lines(docs)
+    linked = linked_lines(docs, scratch)
     each = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).where("line is not null")
     each = each.select("doc_id", "text_hash", "line_no", F.col("line.h").alias("h"), F.col("line.g").alias("own_g"))
     # hot lines come many times: the join's large side is one that Spark can split
-    found = table(each.join(linked, "h").where("own_g = g").select("doc_id", "text_hash", "line_no", "component"))
+    found = scratch.table(each.join(linked, "h").where("own_g = g").select("doc_id", "text_hash", "line_no", "component"))
     here = F.struct("doc_id", "text_hash", "line_no")
     stays = found.groupBy(F.col("component").alias("of")).agg(F.min(here).alias("stays"))
     gone = found.join(stays, F.col("component") == F.col("of")).where(~here.eqNullSafe(F.col("stays")))
@@ -190,9 +190,9 @@ def removed_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def without_removed(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` (with _doc_id and _text_hash) and _drop, null where nothing goes."""
-    gone = gone.select(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_hash"), F.col("drop").alias("_drop"))
-    return rows.join(gone, F.col("_doc_id").eqNullSafe(F.col("_of_doc")) & (F.col("_text_hash") == F.col("_of_hash")), "left")
+    """``rows`` (own, doc_id, text_hash) and drop, null where nothing goes."""
+    gone = gone.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "drop")
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")), "left")
 
 
 def drop_duplicate_lines(docs: DataFrame, emptied: bool = True) -> DataFrame:
@@ -202,24 +202,25 @@ def drop_duplicate_lines(docs: DataFrame, emptied: bool = True) -> DataFrame:
     changed. Documents of which no line but blank ones is left go if ``emptied``
     is false and they have lost a line.
     """
-    own = docs.select("doc_id", "text")
-    rows = docs.select("*", F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
-    out = without_removed(rows, table(removed_lines(own, table(occurrences(own)))))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
-    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    with Scratch(docs.sparkSession) as scratch:
+        # read again by the result, so it outlives the others
+        gone = table(removed_lines(docs.select("doc_id", "text"), scratch.table(occurrences(docs.select("doc_id", "text"))), scratch))
+    # the caller's columns are one struct, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("own")).select("own", F.col("own.doc_id").alias("doc_id"), F.xxhash64("own.text").alias("text_hash"))
+    out = without_removed(rows, gone)
+    kept = F.filter(F.split("own.text", "\n", -1), lambda _, i: ~F.array_contains("drop", i))
+    out = out.withColumn("text", F.when(F.col("drop").isNull(), F.col("own.text")).otherwise(F.array_join(kept, "\n")))
     if not emptied:
-        out = out.where(F.col("_drop").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.where(F.col("drop").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    return with_new_text(out, docs, F.col("drop").isNotNull())
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many lines go, and which (numbers from 0)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = table(occurrences(docs))
-    n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    own = rows.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), n_lines.alias("n_lines"))
-    out = without_removed(own, removed_lines(docs, rows))
-    gone = F.coalesce("_drop", F.array().cast("array<int>"))
-    return out.select(F.col("_doc_id").alias("doc_id"), "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    with Scratch(spark) as scratch:
+        rows = scratch.table(occurrences(docs))
+        n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+        out = without_removed(rows.select("doc_id", "text_hash", n_lines.alias("n_lines")), removed_lines(docs, rows, scratch))
+        gone = F.coalesce("drop", F.array().cast("array<int>"))
+        return table(out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed")))

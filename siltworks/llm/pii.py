@@ -1,8 +1,8 @@
 """Personal data: fixed forms, and more by bootstrapped contextual extraction.
 
 Four fixed forms (email, ip, card, phone) are found everywhere. They seed a
-bootstrap: words before a seed make lexical patterns; patterns and the
-identifiers that they precede make a bipartite graph, on which Spark scores
+bootstrap: words before and after a seed make lexical patterns; patterns and the
+identifiers beside which they stand make a bipartite graph, on which Spark scores
 patterns by their instances and instances by their patterns, round by round.
 Patterns of high confidence then mark identifiers of no fixed form (kind
 ``context``). DataFrame functions only.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import cut, read
+from siltworks.llm.common import cut, read, with_new_text
 
 _LOCAL, _WS = r"A-Za-z0-9._%+-", r"\x20\x09-\x0D"
 #: Kinds in the order in which spans are told, and the expressions of the fixed ones.
@@ -35,7 +35,7 @@ KINDS = (*FIXED, "context")
 IDENTIFIER = rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+(?:\x20[()+.-]*+[0-9][0-9()+.-]*+(?![^{_WS}]))*+"
 #: A pattern is trusted from this confidence, if so many distinct instances of that score support it; rounds of scoring.
 CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 4
-#: In the documents where it precedes an identifier, it does so for this share of its occurrences.
+#: In the documents where it stands beside an identifier, it does so for this share of its occurrences.
 SPECIFIC = 0.5
 
 _BLOCK = 256
@@ -64,13 +64,15 @@ def parts(text: Column, pattern: str, guard: Column) -> Column:
 
 
 def located(part: Column) -> Column:
-    """[(text, start, end, before)] of the matches in ``part``; before is the text since the last match."""
+    """[(text, start, end, before, after)] of the matches in ``part``; before and after are the texts up to the next match on either side."""
     steps = F.transform(part["m"], lambda _, i: F.length(F.get(part["p"], i)) + F.when(i > 0, F.length(F.get(part["m"], i - 1))).otherwise(0))
     spans = F.transform(
         F.arrays_zip(part["m"].alias("m"), part["p"].alias("p"), running(steps).alias("s")),
-        lambda x: F.struct(x["m"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["p"].alias("before")),
+        lambda x, i: F.struct(
+            x["m"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["p"].alias("before"), F.get(part["p"], i + 1).alias("after")
+        ),
     )
-    none = F.array().cast("array<struct<text:string,start:int,end:int,before:string>>")
+    none = F.array().cast("array<struct<text:string,start:int,end:int,before:string,after:string>>")
     return F.when(F.size(part["m"]) > 0, F.slice(spans, F.lit(1), F.size(part["m"]))).otherwise(none)
 
 
@@ -127,20 +129,35 @@ def fixed_spans(docs: DataFrame) -> DataFrame:
     ids = F.transform(
         F.col("ids"),
         lambda s: F.struct(
-            F.lower(F.regexp_extract(F.substring(s["before"], -80, 80), rf"((?:[^{_WS}]+[{_WS}]+)?[^{_WS}]+)[{_WS}]+$", 1)).alias("left"),
+            near(s["before"], True).alias("left"),
+            near(s["after"], False).alias("right"),
             F.regexp_replace(s["text"], r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "").alias("text"),
             (s["start"] + F.length(F.regexp_extract(s["text"], r"^[^\p{L}0-9+]+", 0))).alias("start"),
         ),
     )
-    counted = F.transform(ids, lambda i: i.withField("again", F.transform(patterns(i["left"]), lambda p: times(F.col("plain"), p))))
-    none = F.array().cast("array<struct<left:string,text:string,start:int,again:array<int>>>")
+    counted = F.transform(ids, lambda i: i.withField("again", F.transform(patterns(i), lambda p: times(F.col("plain"), F.substring(p, 3, F.length(p))))))
+    none = F.array().cast("array<struct<left:array<string>,right:array<string>,text:string,start:int,again:array<int>>>")
     return rows.select("doc_id", "text_hash", F.concat(*spans).alias("base"), F.coalesce(counted, none).alias("ids"))
 
 
-def patterns(left: Column) -> Column:
-    """The last word of ``left`` and, where there are two, both; parted by one space."""
-    words = F.split(left, rf"[{_WS}]+")
-    return F.array(F.element_at(words, -1), F.when(F.size(words) == 2, F.array_join(words, " ")))
+def near(text: Column, last: bool) -> Column:
+    """The last or first two words of ``text`` (one, if there is one), of whatever length, in lower case."""
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  evaluated once
+    each = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[{_WS}]+", -1), lambda w: w != "")
+    return bound(each, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)) if last else F.lit(1), F.lit(2)))
+
+
+def patterns(i: Column) -> Column:
+    """The patterns of an identifier: the word before it and the two before it, the word after it and the two after it.
+
+    A pattern is its side, < or >, and its words, parted by one space; null where there are too few.
+    """
+
+    def of(side: str, words: Column, one: Column) -> list[Column]:
+        return [F.concat(F.lit(side), one), F.when(F.size(words) == 2, F.concat(F.lit(side), F.array_join(words, " ")))]
+
+    left, right = i["left"], i["right"]
+    return F.array(*of("< ", left, F.get(left, F.size(left) - 1)), *of("> ", right, F.get(right, F.lit(0))))
 
 
 def times(plain: Column, pattern: Column) -> Column:
@@ -151,16 +168,16 @@ def times(plain: Column, pattern: Column) -> Column:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pattern, instance, seed, start, end: every identifier under its one-word and two-word pattern."""
+    """doc_id, text_hash, pattern, instance, seed, start, end: every identifier under each of its patterns."""
     one = rows.where(F.size("ids") > 0).select("doc_id", "text_hash", "base", F.explode("ids").alias("i"))
     end = F.col("i.start") + F.length("i.text")
     seed = F.exists("base", lambda b: (b["start"] < end) & (b["end"] > F.col("i.start")))
-    both = F.arrays_zip(patterns(F.col("i.left")).alias("pattern"), F.col("i.again").alias("again"))
+    both = F.arrays_zip(patterns(F.col("i")).alias("pattern"), F.col("i.again").alias("again"))
     out = one.select(
         "doc_id", "text_hash", F.xxhash64("i.text").alias("instance"), seed.alias("seed"),
         F.col("i.start").alias("start"), end.alias("end"), F.inline(both),
     )
-    return out.where("pattern is not null and pattern != ''")
+    return out.where("pattern is not null")
 
 
 def trusted_patterns(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -210,23 +227,24 @@ def redact(docs: DataFrame, **limits) -> DataFrame:
     All columns stay; n_chars, if there is one, is counted anew where texts changed.
     """
     found = find_pii(docs.select("doc_id", "text"), **limits).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_hash")).agg(F.first("spans").alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (F.xxhash64("text") == F.col("_of_hash"))
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    # the caller's columns are one struct, so none of their names can clash
+    own = docs.select(F.struct("*").alias("own"))
+    text = F.col("own.text")
+    on = F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash"))
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(state: Column, s: Column) -> Column:
-        kept = F.concat(state["done"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        kept = F.concat(state["done"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(s["start"] >= state["at"], kept).otherwise(state["done"]).alias("done"),
         )
 
-    end = F.aggregate(order, start, step, lambda x: F.concat(x["done"], F.substring("text", x["at"] + 1, F.length("text"))))
-    out = docs.join(found, on, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(end))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    end = F.aggregate(order, start, step, lambda x: F.concat(x["done"], F.substring(text, x["at"] + 1, F.length(text))))
+    out = own.join(found, on, "left").withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(end))
+    return with_new_text(out, docs, F.col("spans").isNotNull())
 
 
 def op10_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

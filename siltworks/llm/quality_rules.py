@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import blocks, cut, read
+from siltworks.llm.common import blocks, cut, read, with_new_text
 
 #: A line is removed if more distinct documents of its host hold it than both say.
 MIN_DOCS = 10
@@ -139,17 +139,17 @@ def apply_quality_rules(docs: DataFrame, **limits) -> DataFrame:
     verdict = judge(document_features(docs), **limits).where("kept")
     numbers = F.transform("lines", lambda x, i: F.when(F.array_contains("bad", x["h"]), i))
     drop = F.when(F.col("bad").isNotNull(), F.array_compact(numbers))
-    verdict = verdict.select(*(F.col(k).alias(f"_of_{k}") for k in KEY), drop.alias("_drop")).dropDuplicates([f"_of_{k}" for k in KEY])
+    verdict = verdict.select(*KEY, drop.alias("drop")).dropDuplicates(list(KEY))
+    # the caller's columns are one struct, so none of their names can clash
+    own = docs.select(F.struct("*").alias("own"))
     on = (
-        F.col("doc_id").eqNullSafe(F.col("_of_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_of_host"))
-        & (F.xxhash64("text") == F.col("_of_text_hash"))
+        F.col("own.doc_id").eqNullSafe(F.col("doc_id"))
+        & F.col("own.source").eqNullSafe(F.col("host"))
+        & (F.xxhash64("own.text") == F.col("text_hash"))
     )
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
-    out = docs.join(verdict, on).withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    left = F.filter(F.split("own.text", "\n", -1), lambda _, i: ~F.array_contains("drop", i))
+    out = own.join(verdict, on).withColumn("text", F.when(F.col("drop").isNull(), F.col("own.text")).otherwise(F.array_join(left, "\n")))
+    return with_new_text(out, docs, F.col("drop").isNotNull())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,13 +238,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id, all columns as they are."""
     found = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = cut(found.groupBy(F.col("doc_id").alias("_of"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n")))
-    out = docs.withColumn("_own", F.struct("*")).join(stay, F.col("doc_id").eqNullSafe(F.col("_of")))
-    if stay.where("_n > 1 or _of is null").isEmpty():
-        return out.select("_own.*")
+    stay = cut(found.groupBy("doc_id", "fp").agg(F.count("*").alias("n")))
+    # the caller's columns are one struct, so none of their names can clash
+    out = docs.select(F.struct("*").alias("own")).join(stay, F.col("own.doc_id").eqNullSafe(F.col("doc_id")))
+    if stay.where("n > 1 or doc_id is null").isEmpty():
+        return out.select("own.*")
     # rows that share an id: the fingerprint tells them apart, and one row of each stays
-    out = out.where(fingerprint_column()("text") == F.col("_fp"))
-    return out.groupBy("_of", "_fp").agg(F.first("_own").alias("_own")).select("_own.*")
+    out = out.where(fingerprint_column()("own.text") == F.col("fp"))
+    return out.groupBy("doc_id", "fp").agg(F.first("own").alias("own")).select("own.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
