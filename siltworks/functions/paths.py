@@ -83,3 +83,10 @@ def globs_to_regex(globs: list[str], defaults: bool = True) -> str:
     """One expression that finds any of the globs (``*`` runs match anything) or of the default patterns."""
     told = ["^" + ".*".join(re.escape(x) for x in re.split(r"\*+", g)) + "$" for g in globs]
     return "|".join([*told, *(DEFAULT_IGNORES if defaults else ())]) or "(?!)"
+
+
+def globs_column(globs: Column) -> Column:
+    """The same for a column of globs parted by commas, without the defaults; null stays null."""
+    each = F.transform(F.split(globs, ","), lambda g: F.regexp_replace(F.btrim(g), r"([.^$+?()\[\]{}|\\])", r"\\$1"))
+    told = F.transform(F.filter(each, lambda g: g != ""), lambda g: F.concat(F.lit("^"), F.regexp_replace(g, r"\*+", ".*"), F.lit("$")))
+    return F.when(F.size(told) > 0, F.array_join(told, "|"))

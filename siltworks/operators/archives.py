@@ -1,4 +1,4 @@
-"""Archives as tables of members: unpack by explosion, pack by group."""
+"""Containers as tables of members: unpack by explosion, pack by runs of sorted rows."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,14 +20,18 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.paths import INCOMPRESSIBLE
 from siltworks.functions.sniff import cp437_repair
+from siltworks.operators.animated import apng_members, pack_apng
 
 MEMBER = (
     "container_id string, archive_index int, header string, name string, kind string, linkname string, mtime double, "
-    "mode int, compress_type int, comment binary, content binary, error string"
+    "mode int, compress_type int, comment binary, content binary, error string, settings string"
 )
-#: What packs each format, and the first moment that a zip can tell.
+#: What packs each format.
 TARS = {"TAR": None, "CBT": None, "TGZ": "gz", "TBZ": "bz2", "TXZ": "xz"}
 ZIPS = ("ZIP", "CBZ", "EPUB")
+#: Bytes and rows of a batch that is handed on.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+#: Fixed value: the first moment that a zip can tell.
 FIRST_DAY = datetime(1980, 1, 1, tzinfo=timezone.utc).timestamp()
 #: What a tar's header tells beside the columns of a member.
 HEADER_FIELDS = ("uid", "gid", "uname", "gname", "devmajor", "devminor")
@@ -61,40 +66,55 @@ def tar_entries(raw: bytes) -> Iterator[tuple]:
             yield json.dumps(header), info.name, kind, info.linkname, float(info.mtime), info.mode, None, b"", data
 
 
+def members_of(raw: bytes, kind: str) -> Iterator[tuple]:
+    """The members of a container of a format, each after its header."""
+    if kind == "APNG":
+        return apng_members(raw)
+    return ((None, *m) for m in zip_members(raw)) if kind in ZIPS else tar_entries(raw)
+
+
 def unpack(containers: DataFrame) -> DataFrame:
-    """A row per member of ``containers`` (item_id, format, content); one row with the error if it can't be read."""
+    """A row per member of ``containers`` (item_id, format, content, and settings if there are any); one row with the error if it can't be read."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in MEMBER.split(", ")]
+        names, out, size = [c.split()[0] for c in MEMBER.split(", ")], [], 0
+
+        def batch() -> pd.DataFrame:
+            got = pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("archive_index", "mode", "compress_type")})
+            out.clear()
+            return got
+
         for part in batches:
             for row in part.itertuples():
                 try:
-                    raw = bytes(row.content)
-                    members = ((None, *m) for m in zip_members(raw)) if row.format in ZIPS else tar_entries(raw)
-                    rows = [(row.item_id, i, *m, None) for i, m in enumerate(members)]
+                    rows = [(row.item_id, i, *m, None, row.settings) for i, m in enumerate(members_of(bytes(row.content), row.format))]
                 except Exception as error:  # noqa: BLE001  a broken archive is a row, not the end of the job
-                    rows = [(row.item_id, None, None, None, "error", None, None, None, None, None, None, str(error) or type(error).__name__)]
-                out = pd.DataFrame(rows, columns=names)
-                for c in ("archive_index", "mode", "compress_type"):
-                    out[c] = out[c].astype("Int32")
-                yield out
+                    rows = [(row.item_id, None, None, None, "error", None, None, None, None, None, None, str(error) or type(error).__name__, row.settings)]
+                out += rows
+                size += sum(len(r[10] or b"") for r in rows)
+                if size > BATCH_BYTES or len(out) > BATCH_ROWS:
+                    yield batch()
+                    size = 0
+            yield batch()
+            size = 0
 
-    return containers.select("item_id", "format", "content").mapInPandas(explode, MEMBER)
+    settings = "settings" if "settings" in containers.columns else F.lit(None).cast("string").alias("settings")
+    return containers.select("item_id", "format", "content", settings).mapInPandas(explode, MEMBER)
 
 
-def renamed(members: pd.DataFrame) -> dict[str, str]:
-    """The names that members have now by those that they had (``was``, if there is such a column)."""
-    return dict(zip(members["was"], members["name"])) if "was" in members else {}
+def renamed(members: list[SimpleNamespace]) -> dict[str, str]:
+    """The names that members have now by those that they had."""
+    return {m.was: m.name for m in members}
 
 
-def pack_zip(members: pd.DataFrame) -> bytes:
+def pack_zip(members: list[SimpleNamespace]) -> bytes:
     """A zip of the members in their order; a hard link gets the bytes that it stands for.
 
     What a zip can't hold, a device or a link to nothing, is an error.
     """
     out, whole, now = io.BytesIO(), {}, renamed(members)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as archive:
-        for m in members.itertuples():
+        for m in members:
             when = datetime.fromtimestamp(max(m.mtime if pd.notna(m.mtime) else 0, FIRST_DAY), timezone.utc)
             info = zipfile.ZipInfo(m.name, when.timetuple()[:6])
             info.external_attr = (int(m.mode) if pd.notna(m.mode) else 0o644) << 16
@@ -113,16 +133,16 @@ def pack_zip(members: pd.DataFrame) -> bytes:
                 raise ValueError(f"a zip can't hold {m.name}")
             whole[m.name] = data
             archive.writestr(info, data)
-        if len(members) and isinstance(members["comment"].iloc[0], (bytes, bytearray)):
-            archive.comment = bytes(members["comment"].iloc[0])
+        if members and isinstance(members[0].comment, (bytes, bytearray)):
+            archive.comment = bytes(members[0].comment)
     return out.getvalue()
 
 
-def pack_tar(members: pd.DataFrame, compression: str | None) -> bytes:
+def pack_tar(members: list[SimpleNamespace], compression: str | None) -> bytes:
     out, now = io.BytesIO(), renamed(members)
     kinds = {"dir": tarfile.DIRTYPE, "symlink": tarfile.SYMTYPE, "hardlink": tarfile.LNKTYPE}
     with tarfile.open(fileobj=out, mode="w") as archive:
-        for m in members.itertuples():
+        for m in members:
             info = tarfile.TarInfo(m.name)
             info.mtime = int(m.mtime) if pd.notna(m.mtime) else 0
             info.mode = int(m.mode) if pd.notna(m.mode) else 0o644
@@ -141,21 +161,67 @@ def pack_tar(members: pd.DataFrame, compression: str | None) -> bytes:
     return squeeze[compression](raw)
 
 
-def pack(members: DataFrame, formats: DataFrame) -> DataFrame:
+def packed(members: list[SimpleNamespace], kind: str) -> bytes:
+    """A container of a format from its members in their order."""
+    if kind == "APNG":
+        return pack_apng(members)
+    return pack_zip(members) if kind in ZIPS else pack_tar(members, TARS[kind])
+
+
+def pack(members: DataFrame, formats: DataFrame, patches: DataFrame | None = None) -> DataFrame:
     """item_id, packed and error of the containers in ``formats`` (item_id, format), from their members in order.
 
-    A group is one archive, which is one value of the result. An archive turned
-    into a zip from another format gets its compression by content.
+    ``patches`` (container_id, archive_index, content, name) have new bytes (null:
+    the old ones) and names of members. Formats, members and patches of a container
+    meet in one exchange, a container's rows one after another, and one call packs
+    many containers. A container is one value of the result, so it is what memory
+    holds. An archive turned into a zip from another format gets its compression by
+    content. A container that can't be packed has the error.
     """
+    fields = [c.split()[0] for c in MEMBER.split(", ") if c.split()[0] not in ("container_id", "error", "settings")]
 
-    def of_group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        try:
-            rows = part.sort_values("archive_index", na_position="last", kind="stable")
-            kind = part["format"].iloc[0]
-            data, error = (pack_zip(rows) if kind in ZIPS else pack_tar(rows, TARS[kind])), None
-        except Exception as failed:  # noqa: BLE001  the old bytes stay
-            data, error = None, str(failed) or type(failed).__name__
-        return pd.DataFrame([(key[0], data, error)], columns=["item_id", "packed", "error"])
-
-    held = members.join(formats.select(F.col("item_id").alias("container_id"), "format"), "container_id")
-    return held.groupBy("container_id").applyInPandas(of_group, "item_id string, packed binary, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, kind, rows, out, size = None, None, [], [], 0
+
+        def close() -> None:
+            try:
+                done = (own, packed(rows, kind), None)
+            except Exception as failed:  # noqa: BLE001  the old bytes stay
+                done = (own, None, str(failed) or type(failed).__name__)
+            out.append(done)
+
+        def batch() -> pd.DataFrame:
+            got = pd.DataFrame(out, columns=["item_id", "packed", "error"])
+            out.clear()
+            return got
+
+        for part in batches:
+            for r in part.itertuples(index=False):
+                if r.container_id != own:
+                    if kind is not None:
+                        close()
+                        size += len(out[-1][1] or b"")
+                    own, kind, rows = r.container_id, None, []
+                    if size > BATCH_BYTES or len(out) > BATCH_ROWS:
+                        yield batch()
+                        size = 0
+                if r.part == 0:
+                    kind = r.format
+                elif kind is not None and r.part == 1:
+                    rows.append(SimpleNamespace(**{f: getattr(r, f) for f in fields}, was=r.name))
+                elif kind is not None and rows:
+                    rows[-1].name = r.name
+                    rows[-1].content = rows[-1].content if r.content is None else r.content
+        if kind is not None:
+            close()
+        yield batch()
+
+    last = F.lit((1 << 31) - 1)
+    heads = formats.select(F.col("item_id").alias("container_id"), "format", F.lit(0).alias("part"), F.lit(-1).alias("place"))
+    both = members.select("container_id", *fields, F.lit(1).alias("part"), F.coalesce(F.col("archive_index").cast("int"), last).alias("place"))
+    both = heads.unionByName(both, allowMissingColumns=True)
+    if patches is not None:
+        new = patches.select("container_id", "content", "name", F.lit(2).alias("part"), F.col("archive_index").cast("int").alias("place"))
+        both = both.unionByName(new, allowMissingColumns=True)
+    rows = both.repartition("container_id").sortWithinPartitions("container_id", "place", "part")
+    return rows.select("container_id", "part", "format", *fields).mapInPandas(run, "item_id string, packed binary, error string")

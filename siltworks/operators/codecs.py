@@ -6,11 +6,10 @@ import importlib.util
 import shutil
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Tools by handler: handler, tier, alternative, tool, library or program, required.
 TOOLS = (
@@ -18,6 +17,8 @@ TOOLS = (
     ("Png", 0, 1, "redeflate", "builtin", True),
     ("Png", 1, 0, "pngout", "program", False),
     ("Jpeg", 0, 0, "mozjpeg_lossless_optimization", "library", True),
+    ("ToJPEG", 0, 0, "mpo_extract", "builtin", True),
+    ("ToJPEG", 1, 0, "mozjpeg_lossless_optimization", "library", False),
     ("Gif", 0, 0, "gifsicle", "program", False),
     ("Gif", 0, 1, "PIL", "library", True),
     ("WebPLossless", 0, 0, "cwebp", "program", False),
@@ -42,8 +43,21 @@ def probe(tool: str, kind: str) -> bool:
     return kind == "builtin" or shutil.which(tool) is not None
 
 
+#: What was found, by application.
+_found: dict[str, list[tuple]] = {}
+
+
 def tools(spark: SparkSession) -> DataFrame:
-    """handler, tier, alt, tool, kind, required and available, probed where tasks run."""
+    """handler, tier, alt, tool, kind, required and available, probed where tasks run, once an application: some twenty rows."""
+    schema = "handler string, tier int, alt int, tool string, kind string, required boolean, available boolean"
+    own = spark.sparkContext.applicationId
+    if own not in _found:
+        _found[own] = [tuple(r) for r in probed(spark).collect()]
+    return spark.createDataFrame(_found[own], schema)
+
+
+def probed(spark: SparkSession) -> DataFrame:
+    """The same, asked anew."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -86,27 +100,3 @@ def redeflate_png(raw: bytes, keep_metadata: bool = True) -> bytes:
 def distinct_lines(raw: bytes) -> bytes:
     """A text without lines that repeat an earlier one."""
     return b"\n".join(dict.fromkeys(raw.split(b"\n")))
-
-
-CODECS: dict[str, Callable[[bytes], bytes]] = {"PNG": redeflate_png}
-
-
-def optimize_leaves(items: DataFrame, codecs: dict[str, Callable[[bytes], bytes]] | None = None) -> DataFrame:
-    """item_id, optimized and error for ``items`` (item_id, format, content) whose format has a codec.
-
-    An item that fails keeps its old bytes: optimized is null and the error told.
-    """
-    codecs = CODECS if codecs is None else codecs
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for r in part.itertuples():
-                try:
-                    rows.append((r.item_id, codecs[r.format](bytes(r.content)), None))
-                except Exception as error:  # noqa: BLE001  any failure of a codec is the item's
-                    rows.append((r.item_id, None, str(error) or type(error).__name__))
-            yield pd.DataFrame(rows, columns=["item_id", "optimized", "error"])
-
-    held = items.where(F.col("format").isin(*codecs)).select("item_id", "format", "content")
-    return held.mapInPandas(run, "item_id string, optimized binary, error string")

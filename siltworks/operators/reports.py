@@ -32,6 +32,11 @@ def report_text(name: Column, bytes_in: Column, bytes_out: Column, dry_run: bool
     return F.concat(name, F.lit(": "), F.format_string("%.2f", percent_saved(bytes_in, bytes_out)), F.lit("% ("), saved.cast("string"), F.lit(" bytes)"), words)
 
 
+def error_text(name: Column, error: Column) -> Column:
+    """The lines about an item that failed; a program's error tells its return code, command and words."""
+    return F.concat(name, F.lit("\n\n\t"), error)
+
+
 def summary(reports: DataFrame, bigger: bool = False) -> DataFrame:
     """A row per kind: items, bytes in and out. What didn't shrink counts with its old size."""
     smaller = (F.col("bytes_out") < F.col("bytes_in")) & F.lit(not bigger)

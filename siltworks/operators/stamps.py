@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +39,32 @@ def compact(stamps: DataFrame) -> DataFrame:
     return kept.where("not gone").select(*own)
 
 
-def fingerprint(configs: DataFrame, by: list[str]) -> DataFrame:
-    """The digest of all configuration texts (path, text) below a root, whatever their order.
+#: What stands for settings where no folder below a root has any.
+NO_CONFIG = hashlib.sha256(b"").hexdigest()
+#: Characters of a path's digest that tell its part; the digests of a part are gathered in order, then those of the parts.
+PART = 3
+
+
+def fingerprint(configs: DataFrame, by: list[str], roots: DataFrame | None = None) -> DataFrame:
+    """``by`` and fingerprint: the digest of all configuration texts strictly below a root, in the order of their paths.
 
-    Every file is digested by itself. Digests are summed as four numbers of 64 bits
-    each, so that a root is one row of sums in every task, however many files it has.
+    ``configs`` has path (below the root) and text. A root's own file, whose path
+    has no slash, is left out, as its options are recorded by value; a null text
+    counts as empty. ``roots`` (``by``) that have no such file get NO_CONFIG.
+    Texts are digested where they are; 16**PART parts keep what is gathered small.
     """
-    own = F.sha2(F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)
-    each = configs.select(*by, own.alias("own"))
-    parts = [F.conv(F.substring("own", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
-    sums = each.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)))
-    return sums.select(*by, F.sha2(F.concat_ws(",", "n", *(f"s{k}" for k in range(4))), 256).alias("fingerprint"))
+    path, text = F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))
+    each = configs.where(F.contains(path, F.lit("/"))).select(
+        *by, F.substring(F.sha2(path, 256), 1, PART).alias("part"), F.concat(path, F.lit(":"), F.sha2(text, 256)).alias("own")
+    )
+    gathered = lambda of: F.sha2(F.array_join(F.sort_array(F.collect_list(of)), "\n"), 256)
+    parts = each.groupBy(*by, "part").agg(gathered("own").alias("digest"))
+    out = parts.groupBy(*by).agg(gathered(F.concat("part", F.lit(":"), "digest")).alias("fingerprint"))
+    if roots is None:
+        return out
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by]
+    held = out.select(*(F.col(c).alias(f"_{c}") for c in by), "fingerprint")
+    return roots.select(*by).distinct().join(held, same, "left").select(*by, F.coalesce("fingerprint", F.lit(NO_CONFIG)).alias("fingerprint"))
 
 
 def marker_stamps(scan: DataFrame, name: str = MARKER) -> DataFrame:
@@ -59,13 +76,14 @@ def marker_stamps(scan: DataFrame, name: str = MARKER) -> DataFrame:
 def member_stamps(members: DataFrame, name: str = STAMP_MEMBER) -> DataFrame:
     """container_id, path (below /) and ts, as told by the files called ``name`` among ``members`` of archives.
 
-    Their lines are ``path: seconds``; paths are relative to the file's folder,
-    which ``.`` stands for. Lines of another form tell nothing.
+    Their lines are ``path: seconds``, in the map or in its journal (a list, each
+    line with a dash); paths are relative to the file's folder, which ``.`` stands
+    for. Lines of another form tell nothing.
     """
     held = members.where((F.col("kind") == "file") & (base_name(F.col("name")) == name))
     folder = F.regexp_extract(F.concat(F.lit("/"), F.col("name")), r"^(.*)/[^/]*$", 1)
     each = held.select("container_id", folder.alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    form = r"""^\s*["']?(?:\./)?(.+?)/?["']?\s*:\s*(\d+(?:\.\d+)?)\s*$"""
+    form = r"""^\s*(?:-\s+)?\{?["']?(?:\./)?(.+?)/?["']?\s*:\s*(\d+(?:\.\d+)?)\}?\s*$"""
     each = each.where(F.col("line").rlike(form)).select("container_id", "folder", F.regexp_extract("line", form, 1).alias("own"), F.regexp_extract("line", form, 2).cast("double").alias("ts"))
     path = F.when(F.col("own") == ".", F.col("folder")).otherwise(F.concat_ws("/", "folder", "own"))
     return each.select("container_id", F.when(path == "", "/").otherwise(path).alias("path"), "ts").groupBy("container_id", "path").agg(F.max("ts").alias("ts"))

@@ -7,6 +7,7 @@ and ``lineitem`` are archives some of which are empty, ``pages`` are web assets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from siltworks.functions import formats, frames, images, paths, sniff
 from siltworks.operators import archives, reports, routing, settings, skip, stamps
 from siltworks.operators.codecs import tools
+from siltworks.sources.staging import shared_folder
+from siltworks.sources.stamp_store import StampStore, configuration
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,16 +160,42 @@ def poison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT source, sha256('/lib/' || coalesce(source, '') || '/' || doc_id || chr(10) || coalesce(text, '')) AS h FROM documents)
-SELECT source, sha256(concat_ws(',', count(*), """
-    + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT)" for k in range(4))
-    + ")) AS fingerprint FROM d GROUP BY source"
+    """WITH d AS (SELECT source, CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(lang, '') || '/' END || doc_id AS path, coalesce(text, '') AS text FROM documents)
+, p AS (SELECT source, substr(sha256(path), 1, 3) AS part, sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path || ':' || sha256(text))) AS h
+  FROM d WHERE contains(path, '/') GROUP BY ALL)
+, f AS (SELECT source, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part)) AS fingerprint FROM p GROUP BY source)
+SELECT r.source, coalesce(fingerprint, sha256('')) AS fingerprint
+FROM (SELECT DISTINCT source FROM documents UNION SELECT 'none') r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source"""
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of all files below a root."""
+    """One digest of all settings below a root, without the root's own file; documents are settings, and a root has none."""
     docs = read(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
-    return stamps.fingerprint(docs.select("source", path.alias("path"), "text"), ["source"])
+    folder = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.concat(F.coalesce("lang", F.lit("")), F.lit("/")))
+    path = F.concat(folder, F.col("doc_id").cast("string"))
+    roots = docs.select("source").unionByName(spark.sql("SELECT 'none' AS source"))
+    return stamps.fingerprint(docs.select("source", path.alias("path"), "text"), ["source"], roots)
+
+
+@query(
+    """SELECT CASE WHEN event_type = 'purchase' THEN 'changed' ELSE 'same' END AS config, '/lib/' || event_type || '/' || user_id AS path, cast(max(event_id) AS DOUBLE) AS ts
+FROM events WHERE event_type <> 'purchase' GROUP BY ALL"""
+)
+def stamp_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps in versions for each root (event types), committed twice, of which a changed configuration voids one."""
+    store = StampStore(spark, f"{shared_folder(spark)}/stamps-{uuid.uuid4().hex}")
+    events = read(spark, sf_dir, "events")
+    path = F.concat(F.lit("/lib/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
+    config, out = configuration({"formats": ["PNG"]}), None
+    for kind in (r.event_type for r in events.select("event_type").distinct().collect()):
+        own = events.where(F.col("event_type") == kind).groupBy(path.alias("path"), (F.col("event_id") % 2).alias("run"))
+        own = own.agg(F.max("event_id").cast("double").alias("ts"))
+        for run in (1, 0):
+            store.commit(f"/lib/{kind}", own.where(F.col("run") == run), config)
+        told = "changed" if kind == "purchase" else "same"
+        held = store.load(f"/lib/{kind}", configuration({"formats": ["GIF" if told == "changed" else "PNG"]}))
+        held = held.select(F.lit(told).alias("config"), "path", "ts")
+        out = held if out is None else out.unionByName(held)
+    return out
 
 
 LAYERS = (

@@ -114,17 +114,18 @@ def top_paths(paths: list[str], symlinks: bool = True) -> list[str]:
     return out
 
 
-def with_content(items: DataFrame) -> DataFrame:
-    """path, content and error of ``items`` (path), read where the rows are; a file that can't be read has the error."""
+def with_content(items: DataFrame, more: list[str] = ()) -> DataFrame:
+    """path, content and error of ``items`` (path), and the columns ``more``, read where the rows are; a file that can't be read has the error."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for path in part["path"]:
+            for row in part.itertuples(index=False):
                 try:
-                    with open(path, "rb") as file:
-                        row = (path, file.read(), None)
+                    with open(row.path, "rb") as file:
+                        got = (row.path, file.read(), None)
                 except OSError as error:
-                    row = (path, None, str(error))
-                yield pd.DataFrame([row], columns=["path", "content", "error"])
+                    got = (row.path, None, str(error))
+                yield pd.DataFrame([(*got, *row[1:])], columns=["path", "content", "error", *more])
 
-    return items.select("path").mapInPandas(load, "path string, content binary, error string")
+    kinds = dict(items.dtypes)
+    return items.select("path", *more).mapInPandas(load, ", ".join(["path string", "content binary", "error string", *(f"{c} {kinds[c]}" for c in more)]))

@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset, in local mode only)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (a temporary one where that is unset, in local mode only)."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp("-stages"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
