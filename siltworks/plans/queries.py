@@ -7,16 +7,24 @@ and ``lineitem`` are archives some of which are empty, ``pages`` are web assets.
 
 from __future__ import annotations
 
+import struct
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import formats, frames, images, paths, sniff
-from siltworks.operators import archives, reports, routing, settings, skip, stamps
+from siltworks.operators import animated, archives, reports, routing, settings, skip, stamps, tiers
+from siltworks.operators.codecs import distinct_lines as distinct_line_bytes
 from siltworks.operators.codecs import tools
-from siltworks.sources.staging import shared_folder
+from siltworks.plans.optimize import optimize
+from siltworks.sources.files import write_files
+from siltworks.sources.folders import Folder
+from siltworks.sources.scan import scan
+from siltworks.sources.staging import shared_folder, stage
 from siltworks.sources.stamp_store import StampStore, configuration
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +67,10 @@ FILES = """WITH files AS (SELECT doc_id AS item_id, source, lang, text, strlen(t
 SUFFIX = r"CASE WHEN regexp_matches({0}, '[^/]\.tar\.[^./]+$') THEN regexp_extract({0}, '(\.tar\.[^./]+)$', 1) ELSE regexp_extract({0}, '[^/](\.[^./]+)$', 1) END"
 
 
+#: The pipeline of the text corpus.
+TEXT = tiers.of_codecs({"TXT": distinct_line_bytes})
+
+
 def distinct_lines(text: Column) -> Column:
     """The leaf codec of the text corpus: lines that repeat an earlier one go."""
     return F.array_join(F.array_distinct(F.split(text, "\n", -1)), "\n")
@@ -90,10 +102,19 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(FILES + "SELECT source, lang, count(*) AS n, cast(sum(bytes_in) AS BIGINT) AS bytes, max(bytes_in) AS largest FROM files GROUP BY ALL")
+@query(FILES + "SELECT source, lang, count(*) AS n, cast(sum(bytes_in) AS BIGINT) AS bytes, max(bytes_in) AS largest FROM files WHERE source <> 'src3' GROUP BY ALL")
 def scan_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a scan holds, by folder, without reading what isn't asked for."""
-    return files(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("bytes_in").alias("bytes"), F.max("bytes_in").alias("largest"))
+    """A scan of documents that were written as files, by folder; one folder's settings keep it shut."""
+    at = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    root = at.removeprefix("file:").replace("//", "/")
+    written = write_files(files(spark, sf_dir).select(F.concat(F.lit(root), "path").alias("path"), F.col("text").cast("binary").alias("content")))
+    written.write.format("noop").mode("overwrite").save()
+    layers = spark.createDataFrame([(f"{root}/lib/src3", "recurse", "false"), (f"{root}/lib", "recurse", "true")], "path string, option string, value string")
+    # all rounds are staged, so the files may go
+    found = scan(spark, [root], layers)
+    Folder(spark, at).remove("")
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    return found.groupBy(part(-3).alias("source"), part(-2).alias("lang")).agg(F.count("*").alias("n"), F.sum("bytes_in").alias("bytes"), F.max("bytes_in").alias("largest"))
 
 
 @query(FILES + r"SELECT source, count(*) AS n FROM files WHERE NOT regexp_matches(path, '^.*/src1/.*$|^.*\.cbz$|^\.|/\.|\.sparsebundle$') GROUP BY source")
@@ -289,8 +310,11 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doctor_here(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the real tools, probed where tasks run."""
-    return routing.ready_handlers(tools(spark))
+    """Documents by the kind that they stand for, and whether its handler has its tools here, probed where tasks run."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    of = F.create_map(*(F.lit(x) for pair in tiers.HANDLERS.items() for x in pair))
+    docs = read(spark, sf_dir, "documents").select(kind.alias("format"), of[kind].alias("handler")).groupBy("format", "handler").agg(F.count("*").alias("n"))
+    return docs.join(routing.ready_handlers(tools(spark)), "handler", "left")
 
 
 @query(
@@ -326,6 +350,130 @@ def archived(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return archives.pack(members, formats).select("item_id", F.lit(kind).alias("format"), F.col("packed").alias("content"))
 
 
+#: Pictures are as wide as a text that is told so often, so that every one shrinks.
+TIMES = 20
+
+
+def gray_png(text: bytes, broken: bool = False) -> bytes:
+    """A picture of one row, a point for each byte, not compressed; a broken one is cut off."""
+    row = text * TIMES
+    body = animated.chunk(b"IHDR", struct.pack(">IIBBBBB", len(row), 1, 8, 0, 0, 0, 0)) + animated.chunk(b"IDAT", zlib.compress(b"\0" + row, 0))
+    return animated.MAGIC + body + (b"" if broken else animated.chunk(b"IEND", b""))
+
+
+def picture(text: str, broken: Column) -> Column:
+    """The picture of a column of texts."""
+
+    @F.pandas_udf("binary")
+    def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, flags in parts:
+            yield pd.Series([gray_png((t or "").encode() + b"x", f) for t, f in zip(texts, flags)], dtype=object)
+
+    return of(text, broken)
+
+
+def head_of(width: str) -> Column:
+    """The head of pictures of one row of a column's widths."""
+
+    @F.pandas_udf("binary")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for widths in parts:
+            yield pd.Series([animated.chunk(b"IHDR", struct.pack(">IIBBBBB", n, 1, 8, 0, 0, 0, 0)) for n in widths], dtype=object)
+
+    return of(width)
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as zips (path, content) of pictures: the system's are hidden, those after turn 6 are broken."""
+    rows, none = read(spark, sf_dir, "conversations"), lambda t: F.lit(None).cast(t)
+    name = F.concat(F.when(F.col("role") == "system", ".").otherwise(""), F.col("turn").cast("string"), F.lit(".png"))
+    members = rows.select(
+        F.col("conv_id").cast("string").alias("container_id"), F.col("turn").alias("archive_index"), none("string").alias("header"), name.alias("name"),
+        F.lit("file").alias("kind"), F.lit("").alias("linkname"), F.lit(0.0).alias("mtime"), none("int").alias("mode"), none("int").alias("compress_type"),
+        none("binary").alias("comment"), picture("text", F.col("turn") > 6).alias("content"),
+    )
+    zips = archives.pack(members, members.select(F.col("container_id").alias("item_id"), F.lit("ZIP").alias("format")).distinct())
+    return zips.select(F.col("item_id").alias("path"), F.col("packed").alias("content"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS frame, turn, strlen(coalesce(text, '')) + 1 AS n FROM conversations)
+SELECT conv_id, frame::INT AS frame, (10 * turn + 1)::BIGINT AS ms, {TIMES} * n AS width FROM t"""
+)
+def animated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Animated pictures packed from frames and opened again, with their durations; conversations are animations."""
+    rows, order = read(spark, sf_dir, "conversations"), Window.partitionBy("conv_id").orderBy("turn")
+    wide = (F.octet_length(F.coalesce("text", F.lit(""))) + 1) * TIMES
+    frame = rows.select(
+        F.col("conv_id").cast("string").alias("container_id"), F.row_number().over(order).alias("archive_index"), "turn", wide.alias("width"), picture("text", F.lit(False)).alias("content")
+    )
+    told = F.to_json(F.struct(
+        F.col("archive_index").alias("frame"), "width", F.lit(1).alias("height"), F.lit(0).alias("x"), F.lit(0).alias("y"),
+        (10 * F.col("turn") + 1).alias("num"), F.lit(1000).alias("den"), F.lit(0).alias("dispose"), F.lit(0).alias("blend"),
+    ))
+    none = lambda t: F.lit(None).cast(t)
+    rest = [F.lit("").alias("linkname"), none("double").alias("mtime"), none("int").alias("mode"), none("int").alias("compress_type"), none("binary").alias("comment")]
+    frames_ = frame.select("container_id", "archive_index", told.alias("header"), F.format_string("frame_#%03d.img", "archive_index").alias("name"), F.lit("file").alias("kind"), *rest, "content")
+    size = frame.groupBy("container_id").agg(F.max("width").alias("width"))
+    heads = size.select("container_id", F.lit(0).alias("archive_index"), F.lit('{"plays": 0}').alias("header"), F.lit(animated.HEAD).alias("name"), F.lit("meta").alias("kind"), *rest, head_of("width").alias("content"))
+    packed = archives.pack(frames_.unionByName(heads), size.select(F.col("container_id").alias("item_id"), F.lit("APNG").alias("format")))
+    members = stage(archives.unpack(packed.select("item_id", F.lit("APNG").alias("format"), F.col("packed").alias("content"))))
+    told = animated.frames(members).withColumn("width", F.conv(F.hex(F.substring("content", 17, 4)), 16, 10).cast("long"))
+    ms = animated.frame_durations(told.select("container_id", "frame", "duration"))
+    return told.select("container_id", "frame", "width").join(ms, ["container_id", "frame"]).select(F.col("container_id").cast("long").alias("conv_id"), "frame", "ms", "width")
+
+
+@query(
+    """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+d AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS frame FROM e WHERE v IS NOT NULL),
+m AS (SELECT user_id, avg(v) AS mean FROM d GROUP BY user_id)
+SELECT e.user_id, e.frame::INT AS frame, cast(greatest(1, floor(round(coalesce(d.v, mean), 6))) AS BIGINT) AS ms FROM e JOIN m USING (user_id) LEFT JOIN d USING (user_id, frame)"""
+)
+def frame_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations go to frames by position, and frames that are left over get the mean; events are frames of their users."""
+    events = read(spark, sf_dir, "events")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    told = events.select(F.col("user_id").alias("container_id"), F.row_number().over(order).alias("frame"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("duration"))
+    return animated.frame_durations(told).where("ms is not null").select(F.col("container_id").alias("user_id"), "frame", "ms")
+
+
+def contributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as contributions of plugins (suppliers): flag and status are a format, a line a route."""
+    first = F.col("l_linenumber") == 1
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("plugin"), F.col("l_suppkey").cast("int").alias("place"), F.concat("l_returnflag", "l_linestatus").alias("format"), F.lit(True).alias("lossless"),
+        F.lit(False).alias("animated"), F.lit(False).alias("archive"), F.concat(F.lit("H"), (F.col("l_partkey") % 9).cast("string")).alias("handler"),
+        F.when(first, "native").otherwise("convert").alias("role"), F.col("l_orderkey").cast("int").alias("pos"), F.concat(F.lit("F"), (F.col("l_partkey") % 9 % 4).cast("string")).alias("out_format"),
+        F.lit(False).alias("can_pack"), F.when(F.col("l_partkey") % 5 == 0, "opt_in").alias("enabled_key"),
+    )
+
+
+MERGED = """WITH c AS (SELECT l_suppkey AS place, l_orderkey AS pos, l_returnflag || l_linestatus AS format, 'H' || (l_partkey % 9) AS handler, 'F' || (l_partkey % 9 % 4) AS out_format, l_linenumber = 1 AS native
+  FROM lineitem WHERE l_partkey % 5 <> 0),
+n AS (SELECT format, arg_max({'h': handler, 'o': out_format}, {'a': place, 'b': pos, 'c': handler}) AS x FROM c WHERE native GROUP BY format),
+f AS (SELECT format, handler, min({'a': place, 'b': pos, 'c': handler}) AS first, any_value(out_format) AS out_format FROM c WHERE NOT native GROUP BY ALL),
+r AS (SELECT format, x.h AS handler, 'native' AS role, 0 AS pos, x.o AS out_format FROM n
+  UNION ALL SELECT format, handler, 'convert', row_number() OVER (PARTITION BY format ORDER BY first) - 1, out_format FROM f)
+"""
+
+
+@query(MERGED + "SELECT format, handler, role, pos::INT AS pos, out_format FROM r")
+def merged_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of many plugins in one table, the last native handler and the first place of each conversion winning."""
+    return routing.merge_routes(contributed(spark, sf_dir)).select("format", "handler", "role", "pos", "out_format")
+
+
+@query(
+    MERGED
+    + """SELECT out_format, array_to_string(list_sort(list(DISTINCT format)), ',') AS sources
+FROM (SELECT format, arg_min(out_format, pos) AS out_format FROM r WHERE role = 'convert' AND out_format IN ('F1', 'F3') GROUP BY format) GROUP BY out_format"""
+)
+def convert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target the formats that a run turns into it, over the merged routes."""
+    table = routing.merge_routes(contributed(spark, sf_dir))
+    return routing.convert_sources(table, ["F1", "F3"]).select("out_format", F.array_join("sources", ",").alias("sources"))
+
+
 @query(
     """SELECT conv_id AS container_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS archive_index, role || '_' || turn AS name, length(text) AS size FROM conversations"""
 )
@@ -345,14 +493,16 @@ def pack_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT conv_id, turn, strlen(text) AS old, strlen(array_to_string(list_distinct(string_split(text, chr(10))), chr(10))) AS new FROM conversations)
-SELECT conv_id AS container_id, bool_or(new < old) AS had_work, bool_or(turn > 6) AS had_error, bool_or(new < old) OR conv_id % 10 = 0 AS do_repack FROM m GROUP BY conv_id"""
+    """SELECT conv_id AS container_id, bool_or(role <> 'system' AND turn <= 6) AS had_work, bool_or(role <> 'system' AND turn > 6) AS had_error,
+  bool_or(role <> 'system' AND turn <= 6) AS changed, CASE WHEN bool_or(role <> 'system' AND turn > 6) THEN 'error' WHEN bool_or(role <> 'system') THEN 'saved' ELSE 'lost' END AS kind
+FROM conversations GROUP BY conv_id"""
 )
 def repack_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers that are packed anew: a member shrank, or they are converted."""
-    m = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.octet_length(distinct_lines(F.col("text"))) < F.octet_length("text")).alias("work"))
-    out = m.groupBy(F.col("conv_id").alias("container_id")).agg(F.bool_or("work").alias("had_work"), F.bool_or(F.col("turn") > 6).alias("had_error"))
-    return out.withColumn("do_repack", F.col("had_work") | (F.col("container_id") % 10 == 0))
+    """A run over archives of pictures; those with a picture that shrank are packed anew, those with a broken one tell the error."""
+    rows = optimize(pictures(spark, sf_dir))
+    return rows.select(
+        F.col("path").cast("long").alias("container_id"), F.col("changed").alias("had_work"), F.col("error").isNotNull().alias("had_error"), "changed", "kind"
+    )
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'system' OR regexp_matches(text, '^[A-E]') THEN 'copy' ELSE 'process' END AS action FROM conversations")
@@ -363,32 +513,56 @@ def member_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", action.alias("action"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query(
+    """SELECT o_orderkey, count(l_orderkey) AS n_members FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber > 3 GROUP BY o_orderkey"""
+)
 def empty_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers without members."""
-    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    """Tars with and without members, packed and read again; orders are archives of their later lines."""
+    lines, none = read(spark, sf_dir, "lineitem").where("l_linenumber > 3"), lambda t: F.lit(None).cast(t)
+    members = lines.select(
+        F.col("l_orderkey").cast("string").alias("container_id"), F.col("l_linenumber").alias("archive_index"), none("string").alias("header"),
+        F.col("l_linenumber").cast("string").alias("name"), F.lit("file").alias("kind"), F.lit("").alias("linkname"), F.lit(0.0).alias("mtime"),
+        none("int").alias("mode"), none("int").alias("compress_type"), none("binary").alias("comment"), F.lit(b"").alias("content"),
+    )
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.lit("ZIP").alias("format"))
+    packed = stage(archives.pack(members, orders))
+    each = archives.unpack(packed.select("item_id", F.lit("ZIP").alias("format"), F.col("packed").alias("content"))).groupBy("container_id").agg(F.count("*").alias("n"))
+    held = packed.join(each, F.col("item_id") == F.col("container_id"), "left")
+    return held.select(F.col("item_id").cast("long").alias("o_orderkey"), F.coalesce("n", F.lit(0)).cast("long").alias("n_members"))
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey, bool_or(l_quantity > 49) AS bad FROM lineitem GROUP BY l_orderkey)
-SELECT bad AS rolled_back, count(*) AS n, cast(sum(CASE WHEN bad THEN l_linenumber ELSE l_linenumber * 2 END) AS BIGINT) AS kept FROM lineitem JOIN b USING (l_orderkey) GROUP BY bad"""
+    """WITH c AS (SELECT conv_id, bool_or(role <> 'system' AND turn > 6) AS bad, bool_or(role <> 'system') AS work FROM conversations GROUP BY conv_id)
+SELECT bad AS rolled_back, work AND NOT bad AS changed, count(*) AS n FROM c GROUP BY ALL"""
 )
 def rollback_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A failure anywhere below a top-level container gives all its rows their old values back."""
-    lines = read(spark, sf_dir, "lineitem")
-    bad = lines.groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") > 49).alias("rolled_back"))
-    kept = F.when(F.col("rolled_back"), F.col("l_linenumber")).otherwise(F.col("l_linenumber") * 2)
-    return lines.join(bad, "l_orderkey").groupBy("rolled_back").agg(F.count("*").alias("n"), F.sum(kept).cast("long").alias("kept"))
+    """With failing fast by container, a failure anywhere in one leaves it as it was."""
+    rows = optimize(pictures(spark, sf_dir), fail_fast_container=True)
+    return rows.groupBy(F.col("error").isNotNull().alias("rolled_back"), "changed").agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT o_orderkey AS id, 0 AS depth, o_orderkey % 4 AS deep FROM orders UNION ALL SELECT id, depth + 1, deep FROM t WHERE depth < deep)
+    """WITH RECURSIVE t AS (SELECT conv_id AS id, 0 AS depth, conv_id % 3 AS deep FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT id, depth + 1, deep FROM t WHERE depth < deep)
 SELECT depth, count(*) AS n FROM t GROUP BY depth"""
 )
 def nested_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many containers each round of unpacking opens."""
-    deep = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("deep"))
-    return deep.select(F.explode(F.sequence(F.lit(0), F.col("deep"))).alias("depth")).groupBy("depth").agg(F.count("*").alias("n"))
+    """How many archives each round opens, where archives are packed into archives; every round is a real one."""
+    level = archived(spark, sf_dir, "ZIP").withColumn("left", F.col("item_id").cast("long") % 3)
+    for _ in range(2):
+        inner = level.where("left > 0").select(
+            F.col("item_id").alias("container_id"), F.lit(0).alias("archive_index"), F.lit(None).cast("string").alias("header"), F.lit("in.zip").alias("name"), F.lit("file").alias("kind"),
+            F.lit("").alias("linkname"), F.lit(0.0).alias("mtime"), F.lit(None).cast("int").alias("mode"), F.lit(None).cast("int").alias("compress_type"), F.lit(None).cast("binary").alias("comment"), "content",
+        )
+        packed = archives.pack(inner, inner.select(F.col("container_id").alias("item_id"), F.lit("ZIP").alias("format")))
+        packed = packed.join(level.select("item_id", (F.col("left") - 1).alias("left")), "item_id").select("item_id", F.lit("ZIP").alias("format"), F.col("packed").alias("content"), "left")
+        level = stage(level.where("left = 0").unionByName(packed))
+    out = None
+    for depth in range(3):
+        n = level.agg(F.lit(depth).alias("depth"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+        each = archives.unpack(level).where("name = 'in.zip'")
+        level = stage(each.select(F.col("container_id").alias("item_id"), F.lit("ZIP").alias("format"), "content"))
+    return out
 
 
 @query(
@@ -412,10 +586,19 @@ def frame_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("user_id", F.array_join("f.ms", ",").alias("frames"))
 
 
-@query("SELECT event_id, greatest(ts, TIMESTAMP '2024-01-05') AS member_time FROM events")
+@query("SELECT event_id, greatest(epoch_ms(date_trunc('second', ts - INTERVAL 44 YEAR)) // 2000 * 2, 315532800)::DOUBLE AS member_time FROM events")
 def epoch_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Member times are never before the first one that the format can tell."""
-    return read(spark, sf_dir, "events").select("event_id", F.greatest("ts", F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")).cast(dict(read(spark, sf_dir, "events").dtypes)["ts"])).alias("member_time"))
+    """Member times as a zip tells them: in steps of two seconds, never before 1980; events are members, moved there by 44 years."""
+    events, none = read(spark, sf_dir, "events"), lambda t: F.lit(None).cast(t)
+    when = F.unix_timestamp((F.col("ts") - F.expr("INTERVAL 44 YEARS")).cast("timestamp")).cast("double")
+    members = events.select(
+        F.col("user_id").cast("string").alias("container_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("archive_index"),
+        none("string").alias("header"), F.col("event_id").cast("string").alias("name"), F.lit("file").alias("kind"), F.lit("").alias("linkname"), when.alias("mtime"),
+        none("int").alias("mode"), none("int").alias("compress_type"), none("binary").alias("comment"), F.lit(b"").alias("content"),
+    )
+    zips = archives.pack(members, members.select(F.col("container_id").alias("item_id"), F.lit("ZIP").alias("format")).distinct())
+    each = archives.unpack(zips.select("item_id", F.lit("ZIP").alias("format"), F.col("packed").alias("content")))
+    return each.select(F.col("name").cast("long").alias("event_id"), F.col("mtime").alias("member_time"))
 
 
 DEDUP = """, g AS (SELECT item_id, path, source, bytes_in,
@@ -425,8 +608,10 @@ DEDUP = """, g AS (SELECT item_id, path, source, bytes_in,
 
 @query(FILES + DEDUP + "SELECT item_id, bytes_in, bytes_out FROM g")
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes before and after the text corpus's leaf codec."""
-    return files(spark, sf_dir).select("item_id", "bytes_in", F.octet_length(distinct_lines(F.col("text"))).cast("long").alias("bytes_out"))
+    """Sizes before and after the text corpus's leaf codec, as the tiers run it and tell it."""
+    items = files(spark, sf_dir).select("item_id", "bytes_in", F.col("text").cast("binary").alias("content"))
+    told = tiers.run_tiers(items.select(F.col("item_id").cast("string").alias("item_id"), F.lit("TXT").alias("format"), "content", F.lit(None).cast("string").alias("settings")), TEXT)
+    return told.select(F.col("item_id").cast("long").alias("item_id"), F.get("stages", F.lit(0))["bytes_in"].alias("bytes_in"), F.get("stages", F.lit(0))["bytes_out"].alias("bytes_out"))
 
 
 @query(

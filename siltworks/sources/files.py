@@ -129,3 +129,17 @@ def with_content(items: DataFrame, more: list[str] = ()) -> DataFrame:
 
     kinds = dict(items.dtypes)
     return items.select("path", *more).mapInPandas(load, ", ".join(["path string", "content binary", "error string", *(f"{c} {kinds[c]}" for c in more)]))
+
+
+def write_files(rows: DataFrame) -> DataFrame:
+    """path and bytes of the files that ``rows`` (path, content) become, written where the rows are; folders are made as needed."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for path, content in zip(part["path"], part["content"]):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(bytes(content or b""))
+            yield pd.DataFrame({"path": part["path"], "bytes": [len(c or b"") for c in part["content"]]})
+
+    return rows.select("path", "content").mapInPandas(put, "path string, bytes long")
