@@ -87,7 +87,7 @@ class Bits:
     """Reads bits, the lowest of each byte first."""
 
     def __init__(self, raw: bytes):
-        self.value, self.left = int.from_bytes(raw[:256], "little"), 8 * min(256, len(raw))
+        self.value, self.left = int.from_bytes(raw[:JXL_HEAD], "little"), 8 * min(JXL_HEAD, len(raw))
 
     def take(self, n: int) -> int:
         if n > self.left:
@@ -102,40 +102,81 @@ class Bits:
         return base + self.take(n)
 
 
+#: Fixed values of the format, each (base, bits) by a selector of two bits: sizes, previews by eights or not, ticks, loops,
+#: depths of samples, numbers, shifts and names of extra channels, kinds, and filter arrays.
+SIZE = ((1, 9), (1, 13), (1, 18), (1, 30))
+PREVIEW = {1: ((16, 0), (32, 0), (1, 5), (33, 9)), 0: ((1, 6), (65, 8), (321, 10), (1345, 12))}
+TICKS, PER, LOOPS = ((100, 0), (1000, 0), (1, 10), (1, 30)), ((1, 0), (1001, 0), (1, 8), (1, 10)), ((0, 0), (0, 3), (0, 16), (0, 32))
+FLOAT_DEPTH, DEPTH = ((32, 0), (16, 0), (24, 0), (1, 6)), ((8, 0), (10, 0), (12, 0), (1, 6))
+CHANNELS, KIND, SHIFT = ((0, 0), (1, 0), (2, 4), (1, 12)), ((0, 0), (1, 0), (2, 4), (18, 6)), ((0, 0), (3, 0), (4, 0), (1, 3))
+NAME, FILTER = ((0, 0), (0, 4), (16, 5), (48, 10)), ((1, 0), (0, 2), (3, 4), (19, 8))
+#: Kinds of extra channels with fields of their own, and the most that a picture has.
+ALPHA, SPOT, FILTER_ARRAY, MOST_CHANNELS = 0, 2, 5, 256
+#: Bytes of a codestream that are read; a header is some dozens.
+JXL_HEAD = 1024
+
+
+def _size(bits: Bits) -> None:
+    small = bits.take(1)
+    bits.take(5) if small else bits.u32(*SIZE)
+    if not bits.take(3):  # no ratio that tells the width
+        bits.take(5) if small else bits.u32(*SIZE)
+
+
+def _preview(bits: Bits) -> None:
+    told = PREVIEW[bits.take(1)]
+    bits.u32(*told)
+    if not bits.take(3):
+        bits.u32(*told)
+
+
+def _depth(bits: Bits) -> None:
+    if bits.take(1):  # floating point samples
+        bits.u32(*FLOAT_DEPTH)
+        bits.take(4)
+    else:
+        bits.u32(*DEPTH)
+
+
+def _channel(bits: Bits) -> None:
+    if bits.take(1):  # a default alpha channel
+        return
+    kind = bits.u32(*KIND)
+    _depth(bits)
+    bits.u32(*SHIFT)
+    bits.take(8 * bits.u32(*NAME))
+    if kind == ALPHA:
+        bits.take(1)
+    elif kind == SPOT:
+        bits.take(4 * 16)
+    elif kind == FILTER_ARRAY:
+        bits.u32(*FILTER)
+
+
 def _codestream_lossless(raw: bytes) -> bool:
     """False if the header says that colours are in the perceptual space, which only lossy coding uses."""
     bits = Bits(raw[2:])
-    size = ((1, 9), (1, 13), (1, 18), (1, 30))
-    small = bits.take(1)
-    bits.take(5) if small else bits.u32(*size)
-    if not bits.take(3):
-        bits.take(5) if small else bits.u32(*size)
+    _size(bits)
     if bits.take(1):  # all defaults: perceptual
         return False
     if bits.take(1):  # extra fields
         bits.take(3)
         if bits.take(1):  # intrinsic size
-            small = bits.take(1)
-            bits.take(5) if small else bits.u32(*size)
-            if not bits.take(3):
-                bits.take(5) if small else bits.u32(*size)
-        if bits.take(1):  # preview: not told apart here
-            return False
+            _size(bits)
+        if bits.take(1):
+            _preview(bits)
         if bits.take(1):  # animation
-            bits.u32((100, 0), (1000, 0), (1, 10), (1, 30))
-            bits.u32((1, 0), (1001, 0), (1, 8), (1, 10))
-            bits.u32((0, 0), (0, 3), (0, 16), (0, 32))
+            bits.u32(*TICKS)
+            bits.u32(*PER)
+            bits.u32(*LOOPS)
             bits.take(1)
-    if bits.take(1):  # floating point samples
-        bits.u32((32, 0), (16, 0), (24, 0), (1, 6))
-        bits.take(4)
-    else:
-        bits.u32((8, 0), (10, 0), (12, 0), (1, 6))
+    _depth(bits)
     bits.take(1)  # 16 bit buffers are enough
-    for _ in range(bits.u32((0, 0), (1, 0), (2, 4), (1, 12))):
-        if bits.take(1):  # a default alpha channel
-            continue
+    n = bits.u32(*CHANNELS)
+    if n > MOST_CHANNELS:
         return False
+    for _ in range(n):
+        _channel(bits)
     return not bits.take(1)
 
 
@@ -159,8 +200,8 @@ def jxl_lossless(raw: bytes | None) -> bool | None:
             body = raw[at + head : at + size]
             if kind == b"jbrd" or kind == b"brob" and body[:4] == b"jbrd":
                 return False
-            if not stream and kind in (b"jxlc", b"jxlp"):
-                stream = body[4:] if kind == b"jxlp" else body
+            if kind in (b"jxlc", b"jxlp") and len(stream) < JXL_HEAD:  # a codestream may be split
+                stream += (body[4:] if kind == b"jxlp" else body)[:JXL_HEAD]
             at += size
     else:
         return None

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.jpeg import tiff_is_lossless
 from siltworks.functions.paths import base_name, final_path, globs_column, suffix
+from siltworks.functions.pdf import may_be_rewritten
 from siltworks.functions.sniff import bytes_column, jxl_lossless, magic_format, webp_lossless
 from siltworks.operators.archives import TARS, ZIPS, pack, unpack
 from siltworks.operators.codecs import tools
@@ -32,8 +33,8 @@ BY_SUFFIX = {
 }
 BYTES = {"ZIP": ("ZIP", "CBZ", "EPUB"), "RAR": ("RAR", "CBR"), "7Z": ("7Z", "CB7"), "GZ": ("TGZ",), "BZ2": ("TBZ",), "XZ": ("TXZ",), "TAR": ("TAR", "CBT")}
 
-#: Formats of which only lossless files may be written anew, and what tells them.
-LOSSLESS = {"WEBP": webp_lossless, "JXL": jxl_lossless, "TIFF": tiff_is_lossless}
+#: Formats of which only some files may be written anew, lossless ones or those that aren't signed, and what tells them.
+LOSSLESS = {"WEBP": webp_lossless, "JXL": jxl_lossless, "TIFF": tiff_is_lossless, "PDF": may_be_rewritten}
 CONTAINERS = (*ZIPS, *TARS, "APNG")
 #: Leaves that may become another format here: format, lossless, animated, and the format that they become.
 LEAF_TARGETS = (("MPO", False, True, "JPEG"),)

@@ -1,9 +1,12 @@
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltworks.functions import sniff
+from siltworks.functions.pdf import is_encrypted, may_be_rewritten
+from siltworks.plans.optimize import optimize
 
 
 def riff(*chunks):
@@ -52,6 +55,66 @@ def test_jxl(raw, want):
     assert sniff.jxl_lossless(raw) is want
 
 
+#: extra fields: no orientation, no size, then a preview or none, no animation
+DEEP = [(1, 0), (2, 0)]
+PREVIEWED = bits(*HEAD, (1, 0), (1, 1), (3, 0), (1, 0), (1, 1), (1, 0), (2, 1), (8, 9), (3, 0), (2, 0), (6, 3), (1, 0), *DEEP, (1, 1), (2, 0), (1, 0))
+EIGHTHS = bits(*HEAD, (1, 0), (1, 1), (3, 0), (1, 1), *HEAD, (1, 1), (1, 1), (2, 2), (5, 7), (3, 1), (1, 1), (2, 0), (2, 1), (2, 1), (3, 5), (1, 0), *DEEP, (1, 1), (2, 0), (1, 0))
+
+
+def channelled(*channel, n=((2, 1),), lossy=0):
+    return bits(*HEAD, (1, 0), (1, 0), *DEEP, (1, 1), *n, *channel, (1, lossy))
+
+
+DEPTH_CHANNEL = [(1, 0), (2, 1), *DEEP, (2, 0), (2, 0)]
+NAMED = [(1, 0), (2, 0), (1, 1), (2, 3), (6, 4), (4, 5), (2, 3), (3, 1), (2, 1), (4, 3), (24, 0x616263), (1, 1)]
+SPOT = [(1, 0), (2, 2), (4, 0), *DEEP, (2, 0), (2, 0), (64, 77)]
+ARRAY = [(1, 0), (2, 2), (4, 3), *DEEP, (2, 1), (2, 0), (2, 2), (4, 1)]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (PREVIEWED, True), (EIGHTHS, True), *((channelled(*c), True) for c in ([(1, 1)], DEPTH_CHANNEL, NAMED, SPOT, ARRAY)), *((channelled(*c, lossy=1), False) for c in (DEPTH_CHANNEL, NAMED, SPOT, ARRAY)),
+        (channelled(*DEPTH_CHANNEL, *NAMED, *SPOT, n=((2, 2), (4, 1))), True), (channelled(n=((2, 3), (12, 300))), False), (channelled(*NAMED)[:8], False),
+        (SIGNATURE + box(b"jxlp", bytes(4) + PREVIEWED[:5]) + box(b"Exif", b"x") + box(b"jxlp", b"\x80\0\0\1" + PREVIEWED[5:]), True),
+        (SIGNATURE + box(b"jxlp", bytes(4) + PREVIEWED[:5]), False),
+        *((junk, False) for junk in (b"\xff\x0a", b"\xff\x0a\x01", SIGNATURE, SIGNATURE + b"\0\0", SIGNATURE + b"\0\0\0\2jxlc")), *((other, None) for other in (b"", b"\x89PNG\r\n\x1a\n" + bytes(40), bytes(64))),
+    ],
+)
+def test_the_whole_header_of_a_jxl(raw, want):
+    assert sniff.jxl_lossless(raw) is want
+
+
+def pdf(*objects, stream=b"", trailer=b"<< /Root 1 0 R >>"):
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + stream + b"trailer\n" + trailer + b"\n%%EOF"
+
+
+def object_stream(text, flate=True, kind=b"ObjStm"):
+    body = zlib.compress(text) if flate else text
+    return b"9 0 obj\n<< /Type /%s /N 1%s /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (kind, b" /Filter /FlateDecode" * flate, len(body), body)
+
+
+def test_signed_documents_are_told_apart():
+    plain = [
+        pdf(b"<< /Type /Catalog >>"), pdf(b"<< /AcroForm << /SigFlags 0 >> >>"), pdf(b"<< /SigFlags 2 >>"), pdf(b"<< /Type /SigFieldLock >>"), pdf(b"(/Type /Sig)"),
+        pdf(b"<<>>", stream=object_stream(b"<< /Type /Font >>")), pdf(b"<<>>", stream=object_stream(b"/Type /Sig", kind=b"XObject")), pdf(b"<< /SigFlags 2 0 R >>", b"2"),
+    ]
+    signed = [
+        pdf(b"<< /AcroForm << /SigFlags 3 >> >>"), pdf(b"<< /Type/Sig /Filter /X >>"), pdf(b"<< /Type  /Sig>>"), pdf(b"<<>>", stream=object_stream(b"1 0 << /Type /Sig >>")),
+        pdf(b"<<>>", stream=object_stream(b"1 0 << /SigFlags 1 >>", flate=False)), pdf(b"<< /SigFlags 2 0 R >>", b"3"), pdf(b"<< /SigFlags 7 0 R >>"),
+    ]
+    assert [may_be_rewritten(p) for p in plain] == [True] * len(plain) and [may_be_rewritten(p) for p in signed] == [False] * len(signed)
+    broken = pdf(b"<<>>", stream=object_stream(b"x" * 99).replace(b"x\x9c", b"zz"))
+    assert may_be_rewritten(broken) is False and may_be_rewritten(b"text") is False and may_be_rewritten(None) is None
+    assert is_encrypted(pdf(b"<<>>", trailer=b"<< /Encrypt 5 0 R >>")) and not is_encrypted(pdf(b"<<>>"))
+
+
+def test_signed_documents_are_left_alone(spark):
+    items = [("/r/a.pdf", bytearray(pdf(b"<< /Type /Catalog >>"))), ("/r/b.pdf", bytearray(pdf(b"<< /Type /Sig >>")))]
+    rows = optimize(spark.createDataFrame(items, "path string, content binary"), codecs={"PDF": lambda raw: raw[:-1]}).collect()
+    assert {r.path: r.kind for r in rows} == {"/r/a.pdf": "saved", "/r/b.pdf": "lost"}
+
+
 def test_magic_depth_and_columns(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0" * 16 + b"\x10" + b"rest"
     raws = [png, png[:20], b"GIF89a..", b"\xff\xd8\xff\xe0", riff((b"VP8L", b"x")), b"x" * 100 + b"%PDF-1.7", b"x" * 2000 + b"%PDF-1.7", b"PK\x03\x04", b"\0" * 257 + b"ustar", b"", None, b"text"]
