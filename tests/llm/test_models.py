@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from siltworks.llm import language_id, quality_classifier
 from tests.llm.helpers import documents
 
@@ -69,6 +72,19 @@ def test_grades_on_held_out_texts(spark):
     assert all(abs(s.expected_grade - s.p_ge_1 - s.p_ge_2) < 1e-9 and s.p_ge_1 >= s.p_ge_2 for s in rows.values())
 
 
+def test_grades_of_labelled_documents_held_out(spark):
+    """Fitted without a third of the labels, asked for those."""
+    sf = "/root/testdata/sf0.1"
+    graded = quality_classifier.grades(spark.read.parquet(f"{sf}/labels.parquet")).where("grade is not null")
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fit(docs, graded.where(~out))
+    rows = docs.join(graded.where(out), "doc_id").select("grade", quality_classifier.score_column(model)("text").alias("s")).select("grade", "s.*").toPandas()
+    told = (rows["p_ge_1"] >= 0.5).astype(int) + (rows["p_ge_2"] >= 0.5)
+    p = np.select([rows["grade"] == 0, rows["grade"] == 1], [1 - rows["p_ge_1"], rows["p_ge_1"] - rows["p_ge_2"]], rows["p_ge_2"])
+    assert (told == rows["grade"]).mean() > 0.9 and -np.log(np.clip(p, 1e-9, 1)).mean() < 0.35
+
+
 def test_grading_without_labels_and_edge_texts(spark):
     docs = documents(spark, [None, "", " ", "word " * 50000])
     model = quality_classifier.fit(docs, spark.createDataFrame([], "doc_id long, grade int"))
