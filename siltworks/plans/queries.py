@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import formats, frames, images, paths, sniff
+from siltworks.functions.verify import fault_column
 from siltworks.operators import animated, archives, reports, routing, settings, skip, stamps, tiers
 from siltworks.operators.codecs import distinct_lines as distinct_line_bytes
 from siltworks.operators.codecs import tools
-from siltworks.plans.optimize import optimize
+from siltworks.plans.optimize import described, optimize
 from siltworks.sources.files import write_files
 from siltworks.sources.folders import Folder
 from siltworks.sources.scan import scan
@@ -396,6 +397,13 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zips.select(F.col("item_id").alias("path"), F.col("packed").alias("content"))
 
 
+@query("SELECT conv_id, turn, 'PNG' AS format, CASE WHEN turn > 6 THEN 'PNG: no end' END AS fault FROM conversations")
+def verified_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formats of turns' pictures by the rules of a run, and what is wrong with them."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("p.png").alias("path"), picture("text", F.col("turn") > 6).alias("content"))
+    return described(rows).select("conv_id", "turn", "format", fault_column()("format", "content").alias("fault"))
+
+
 @query(
     f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS frame, turn, strlen(coalesce(text, '')) + 1 AS n FROM conversations)
 SELECT conv_id, frame::INT AS frame, (10 * turn + 1)::BIGINT AS ms, {TIMES} * n AS width FROM t"""
