@@ -16,7 +16,7 @@ from siltworks.operators.settings import folder_settings
 from siltworks.operators.skip import MARKER, changed, skip_items
 from siltworks.operators.stamps import NO_CONFIG, ancestor_stamp, compact, fingerprint, folder_status, marker_stamps, upsert
 from siltworks.plans.optimize import described, optimize
-from siltworks.sources.files import with_content
+from siltworks.sources.files import case_sensitive, with_content
 from siltworks.sources.replace import replace_files
 from siltworks.sources.scan import below_root, remove_stale, scan
 from siltworks.sources.staging import stage
@@ -63,6 +63,8 @@ def optimize_folder(
     whose settings switch ``timestamps`` off has no stamps there.
     """
     pinned = pinned or {}
+    # as the file system does, patterns tell cases apart or not
+    ignore = ignore if case_sensitive(root) else f"(?i){ignore}"
     own = root_settings(spark, root, layers, pinned)
     store = None if own.get("timestamps", "true") == "false" else store
     config = run_configuration(root, layers, own, ignore, symlinks, options)

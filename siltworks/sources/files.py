@@ -143,3 +143,12 @@ def write_files(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": part["path"], "bytes": [len(c or b"") for c in part["content"]]})
 
     return rows.select("path", "content").mapInPandas(put, "path string, bytes long")
+
+
+def case_sensitive(folder: str) -> bool:
+    """Whether names that differ in case are different files in ``folder``: told by its own path, nothing is written."""
+    other = folder.rstrip("/")
+    other = other[: other.rfind("/") + 1] + other[other.rfind("/") + 1 :].swapcase()
+    if other == folder.rstrip("/"):  # no letter to tell it by
+        return os.path.normcase("A") == "A"
+    return not (os.path.exists(other) and os.path.samefile(folder, other))

@@ -15,6 +15,7 @@ from siltworks.operators import animated
 from siltworks.operators.codecs import redeflate_png
 from siltworks.operators.programs import ProgramError, run_program
 from siltworks.operators.tiers import STAGES, Stage, fold, pipelines, program
+from siltworks.sources.files import case_sensitive
 from tests.test_files import pixels, png
 
 EXIF, XMP = b"Exif\0\0II*\0data", b"http://ns.adobe.com/xap/1.0/\0<x/>"
@@ -234,3 +235,14 @@ def test_frames_that_do_not_fit_are_errors():
         list(animated.apng_members(png()))
     with pytest.raises(ValueError, match="cut off"):
         list(animated.apng_members(apng()[:90]))
+
+
+def test_case_is_told_by_the_folder_itself(tmp_path, monkeypatch):
+    folder = tmp_path / "Folder"
+    folder.mkdir()
+    assert case_sensitive(str(folder)) and case_sensitive(f"{folder}/") and case_sensitive("/")
+    (tmp_path / "fOLDER").mkdir()
+    assert case_sensitive(str(folder))
+    # a file system on which both names lead to one folder
+    monkeypatch.setattr(os.path, "samefile", lambda a, b: True)
+    assert not case_sensitive(str(folder)) and os.listdir(folder) == []
