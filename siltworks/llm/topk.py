@@ -34,8 +34,8 @@ QUERIES, CANDIDATES = 1024, 4096
 LENGTHS = (32, 8, 2)
 #: Products of a share of more than one in so many pairs are taken from the product of the whole blocks.
 DENSE = 16
-#: Tasks that the meetings of one block of queries are dealt to.
-SPREAD = 16
+#: Tasks that the meetings of one block of queries are dealt to at least; more where candidates come in more than so many partitions for each.
+SPREAD, PARTITIONS = 16, 4
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -171,6 +171,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     blocks = max(1, -(-n // QUERIES))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    # partitions follow the size of the input, so tasks do too; a task gets the block of queries once
+    spread = max(SPREAD, -(-candidates.rdd.getNumPartitions() // PARTITIONS))
     parts = "ids binary, grid binary, width int"
 
     def block_of_queries(part: pd.DataFrame) -> pd.DataFrame:
@@ -184,10 +186,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame([pack(some["vec_id"].tolist(), some["v"].tolist())])
 
     asked = asked.groupBy("block").applyInPandas(block_of_queries, f"block long, {parts}")
-    asked = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), F.struct("ids", "grid", "width").alias("q"))
+    asked = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), F.struct("ids", "grid", "width").alias("q"))
     held = candidates.mapInPandas(block_of_candidates, parts).select(F.struct("ids", "grid", "width").alias("c"))
     held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    held = held.withColumn("salt", F.pmod(F.hash("c.ids", "block"), F.lit(SPREAD)))
+    held = held.withColumn("salt", F.pmod(F.hash("c.ids", "block"), F.lit(spread)))
     pairs = held.join(asked, ["block", "salt"]).select("block", "q", "c")
 
     def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -70,3 +70,13 @@ def test_meetings_hand_on_what_queries_have_reached():
         whole = sorted(((-int(s), int(j)) for j, s in enumerate(c @ q[row])))[:5]
         assert sorted((-s, j) for n, s, j in got if n == name)[:5] == whole
         assert sorted(before[row].tolist(), reverse=True) == [-s for s, _ in whole]
+
+
+def test_tasks_follow_the_candidates(spark):
+    """Many partitions make more groups, and the result is the same."""
+    rows = [(i, [((i * 7 + k * 13) % 29) / 29 - 0.5 for k in range(8)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few, many = (topk.quantised(df.repartition(n)) for n in (2, 100))
+    asked = lambda v: v.where("vec_id % 50 = 0")
+    told = [sorted(map(tuple, topk.top_k(asked(v), v, 5).collect())) for v in (few, many)]
+    assert told[0] == told[1] and len(told[0]) == 40 and -(-100 // topk.PARTITIONS) > topk.SPREAD
