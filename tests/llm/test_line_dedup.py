@@ -1,6 +1,7 @@
 import random
 
 from siltworks.llm import line_dedup as ld
+from siltworks.llm.common import Scratch
 from tests.llm.helpers import Groups, documents, words
 
 
@@ -34,7 +35,8 @@ def plain(docs):
 
 def removed(docs):
     own = docs.select("doc_id", "text")
-    return {r.doc_id: list(r.drop) for r in ld.removed_lines(own, ld.occurrences(own)).collect()}
+    with Scratch(docs.sparkSession) as scratch:
+        return {r.doc_id: list(r.drop) for r in ld.removed_lines(own, ld.occurrences(own), scratch).collect()}
 
 
 def edited(line, seed):
