@@ -95,7 +95,7 @@ def test_fillings_are_maximal_and_undominated():
 
 def test_a_filling_by_one_piece_is_the_last():
     kinds = [*range(1, 101), 200]
-    assert list(packing.fillings(kinds, dict.fromkeys(kinds, 1), 200, 200, packing.Work(100))) == [(200,)]
+    assert list(packing.fillings(kinds, dict.fromkeys(kinds, 1), 200, 200, packing.Work(200))) == [(200,)]
 
 
 def hard():
