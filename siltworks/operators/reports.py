@@ -21,6 +21,11 @@ def percent_saved(bytes_in: Column, bytes_out: Column) -> Column:
     return F.when(bytes_in <= 0, F.lit(0.0)).otherwise(100.0 * (bytes_in - bytes_out) / bytes_in)
 
 
+def two_places(number: Column) -> Column:
+    """A number with two decimal places, rounded by its exact binary value and half to even, as Python and C print it (printf of Java rounds the shortest decimal form half up)."""
+    return F.call_function("format_number", number, F.lit("0.00"))
+
+
 def report_text(name: Column, bytes_in: Column, bytes_out: Column, dry_run: bool = False, bigger: bool = False) -> Column:
     """One line about an item that didn't fail."""
     saved = bytes_in - bytes_out
@@ -29,7 +34,7 @@ def report_text(name: Column, bytes_in: Column, bytes_out: Column, dry_run: bool
         F.when(saved > 0, " saved").when(saved < 0, " lost").otherwise(""),
         F.when((saved <= 0) & F.lit(not bigger), ", kept original").otherwise(""),
     )
-    return F.concat(name, F.lit(": "), F.format_string("%.2f", percent_saved(bytes_in, bytes_out)), F.lit("% ("), saved.cast("string"), F.lit(" bytes)"), words)
+    return F.concat(name, F.lit(": "), two_places(percent_saved(bytes_in, bytes_out)), F.lit("% ("), saved.cast("string"), F.lit(" bytes)"), words)
 
 
 def error_text(name: Column, error: Column) -> Column:
@@ -52,6 +57,6 @@ def total_text(totals: DataFrame, dry_run: bool = False) -> DataFrame:
     sums = totals.agg(F.coalesce(F.sum("bytes_in"), F.lit(0)).alias("i"), F.coalesce(F.sum("bytes_out"), F.lit(0)).alias("o"))
     saved = F.col("i") - F.col("o")
     verb = F.when(saved > 0, verbs[0]).when(saved == 0, verbs[1]).otherwise(verbs[2])
-    share = F.format_string("%.2f", F.abs(percent_saved(F.col("i"), F.col("o"))))
+    share = two_places(F.abs(percent_saved(F.col("i"), F.col("o"))))
     said = F.concat(verb, F.lit(" a total of "), F.abs(saved).cast("string"), F.lit(" bytes or "), share, F.lit("%"))
     return sums.select(F.when(F.col("i") == 0, "Didn't optimize any files.").otherwise(said).alias("text"))

@@ -85,3 +85,14 @@ def test_handlers_without_their_tools_are_passed_over(spark):
     ready = spark.createDataFrame([("Jpeg", False), ("ToWEBP", False), ("Png", True)], "handler string, ready boolean")
     got = {r.item_id: r.handler for r in routing.pick_handlers(df, routing.routes(spark), ["WEBP"], ready=ready).collect()}
     assert got == {"b": "Png"}
+
+
+def test_percentages_round_by_their_exact_value(spark):
+    # the double of 12.475 lies below it, and eighths are ties
+    rows = [(i, o) for i in (4000, 800, 1000, 200, 3) for o in range(0, i + 40, 1 + i // 200)]
+    df = spark.createDataFrame(rows, "bytes_in long, bytes_out long")
+    told = df.select("bytes_in", "bytes_out", reports.report_text(F.lit("a"), F.col("bytes_in"), F.col("bytes_out")).alias("text")).collect()
+    wrong = [r for r in told if r.text.split()[1] != f"{0.0 if r.bytes_in <= 0 else 100.0 * (r.bytes_in - r.bytes_out) / r.bytes_in:.2f}%"]
+    assert not wrong
+    total = reports.total_text(spark.createDataFrame([(4000, 3501)], "bytes_in long, bytes_out long"))
+    assert total.first().text == "Saved a total of 499 bytes or 12.47%"
