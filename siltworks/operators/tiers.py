@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from siltworks.functions.batches import BATCH_BYTES
 from siltworks.functions.jpeg import is_mpo, primary_picture
 from siltworks.functions.images import PNGOUT_DEPTH
 from siltworks.functions.verify import verify
@@ -140,18 +141,27 @@ def run_tiers(items: DataFrame, by_format: Mapping[str, tuple[tuple[str, Stage],
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["item_id", "optimized", "stages", "error"]
+
+        def batch(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=names)
+            out["stages"] = [[{"tool": t, "bytes_in": i, "bytes_out": o} for t, i, o in told] for told in out["stages"]]
+            return out[["item_id", "optimized", "error", "stages"]]
+
         for part in batches:
-            rows = []
-            for r in part.itertuples():
+            rows, size = [], 0
+            for item, kind, raw, settings in zip(part["item_id"], part["format"], part["content"], part["settings"]):
                 try:
-                    raw = bytes(r.content)
-                    verify(raw, r.format)
-                    rows.append((r.item_id, *fold(raw, by_format[r.format], json.loads(r.settings) if r.settings else {}), None))
+                    raw = bytes(raw)
+                    verify(raw, kind)
+                    rows.append((item, *fold(raw, by_format[kind], json.loads(settings) if settings else {}), None))
+                    size += len(rows[-1][1])
                 except Exception as error:  # noqa: BLE001  any failure of a tool is the item's
-                    rows.append((r.item_id, None, [], str(error) or type(error).__name__))
-            out = pd.DataFrame(rows, columns=["item_id", "optimized", "stages", "error"])
-            out["stages"] = [[{"tool": t, "bytes_in": i, "bytes_out": o} for t, i, o in told] for told in out["stages"]]
-            yield out[["item_id", "optimized", "error", "stages"]]
+                    rows.append((item, None, [], str(error) or type(error).__name__))
+                if size >= BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
+            yield batch(rows)
 
     held = items.where(F.col("format").isin(*by_format)).select("item_id", "format", "content", "settings")
     return held.mapInPandas(run, LEAF)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import formats, frames, images, paths, sniff
+from siltworks.functions.batches import by_bytes
 from siltworks.functions.verify import fault_column
 from siltworks.operators import animated, archives, reports, routing, settings, skip, stamps, tiers
 from siltworks.operators.codecs import distinct_lines as distinct_line_bytes
@@ -368,7 +369,7 @@ def picture(text: str, broken: Column) -> Column:
     @F.pandas_udf("binary")
     def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, flags in parts:
-            yield pd.Series([gray_png((t or "").encode() + b"x", f) for t, f in zip(texts, flags)], dtype=object)
+            yield from by_bytes(gray_png((t or "").encode() + b"x", f) for t, f in zip(texts, flags))
 
     return of(text, broken)
 

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import os
+import random
 import struct
 import tarfile
 import zipfile
@@ -9,10 +10,12 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators import archives
+from siltworks.functions.batches import BATCH_BYTES, by_bytes
+from siltworks.operators import archives, tiers
 from siltworks.operators.codecs import distinct_lines, redeflate_png, tools
 from siltworks.plans.folder import optimize_folder
 from siltworks.plans.optimize import optimize
+from siltworks.plans.queries import gray_png, picture
 from siltworks.sources import files
 from siltworks.sources.replace import replace_files
 from siltworks.streaming.incremental import optimize_stream
@@ -326,3 +329,33 @@ def test_marker_files_stamp_their_folders(spark, tmp_path):
     os.utime(root / "new" / "a.png", (1e9, 1e9))
     (tmp_path / ".siltworks_timestamp").write_bytes(b"")
     assert optimize_folder(spark, str(root))[0].isEmpty()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    assert [list(s) for s in by_bytes([b"ab", None, b"c", b"def", b""], 3)] == [[b"ab", None, b"c"], [b"def"], [b""]]
+    # a picture of a text is twenty times as large: 40 MB in one batch of Spark's
+    rows = spark.range(400).select("id", F.repeat(F.lit("x"), 5000).alias("text")).coalesce(1)
+    got = rows.select("id", picture("text", F.col("id") % 2 == 1).alias("content")).orderBy("id").collect()
+    assert [bytes(r.content) for r in got[:2]] == [gray_png(b"x" * 5001), gray_png(b"x" * 5001, True)] and len(got) == 400
+    assert {bytes(r.content) for r in got[::2]} == {bytes(got[0].content)} and {bytes(r.content) for r in got[1::2]} == {bytes(got[1].content)}
+
+
+def test_results_of_tiers_come_in_bounded_batches(spark):
+    of = tiers.of_codecs({"TXT": lambda raw: raw})
+    sizes = []
+    rows = spark.range(60).select(F.col("id").cast("string").alias("item_id"), F.lit("TXT").alias("format"), F.repeat(F.lit("x"), 500_000).cast("binary").alias("content"), F.lit(None).cast("string").alias("settings"))
+
+    # what one function hands on is cut anew by Spark, so its own batches are looked at
+    class Items:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInPandas(self, run, _):
+            part = rows.toPandas()
+            sizes.extend(sum(map(len, b["optimized"])) for b in run(iter([part])))
+            assert sum(sizes) == 60 * 500_000
+
+    tiers.run_tiers(Items(), of)
+    assert len(sizes) > 2 and max(sizes) <= BATCH_BYTES + 500_000
