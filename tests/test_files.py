@@ -331,6 +331,44 @@ def test_marker_files_stamp_their_folders(spark, tmp_path):
     assert optimize_folder(spark, str(root))[0].isEmpty()
 
 
+def test_plain_zips_are_those_of_zipfile(monkeypatch):
+    rng = random.Random(3)
+    for n in (*range(6), 40):
+        members = [
+            archives.Member(k, None, rng.choice(["a", "é", "x/y.png"]) + str(k), "file", "", rng.choice([None, 0.0, 1e9 + 7 * k]), rng.choice([None, 0, 0o755]), rng.choice([None, 0, 8]), None, rng.choice([None, b"", b"abc" * 99, rng.randbytes(50)]), "")
+            for k in range(n)
+        ]
+        made = archives.pack_zip(members)
+        assert archives.plain_zip_members(made) == list(archives.zip_members(made))
+        with zipfile.ZipFile(io.BytesIO(made)) as held:
+            assert [held.read(i) for i in held.infolist()] == [m.content or b"" for m in members]
+        with monkeypatch.context() as m:
+            m.setattr(archives, "plain", lambda member: False)
+            assert not members or archives.pack_zip(members) == made
+            m.setattr(archives, "plain_zip_members", lambda raw: None)
+            slow = list(archives.zip_members(made))
+        assert archives.plain_zip_members(made) == slow
+        for _ in range(200):  # broken ones are zipfile's, or mean the same to both
+            raw = bytearray(made)
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+            got = archives.plain_zip_members(bytes(raw))
+            if got is not None:
+                with monkeypatch.context() as m:
+                    m.setattr(archives, "plain_zip_members", lambda raw: None)
+                    assert got == list(archives.zip_members(bytes(raw)))
+
+
+def test_many_small_archives_take_little_time_each():
+    members = [archives.Member(k, None, str(k), "file", "", 0.0, None, None, None, b"", "") for k in range(100)]
+    opened = []
+    plain, zipfile.ZipFile.__init__ = zipfile.ZipFile.__init__, lambda *a, **k: opened.append(a)
+    try:
+        assert [m[0] for m in archives.zip_members(archives.pack_zip(members))] == [str(k) for k in range(100)]
+    finally:
+        zipfile.ZipFile.__init__ = plain
+    assert not opened
+
+
 def test_batches_are_bounded_by_bytes(spark):
     assert [list(s) for s in by_bytes([b"ab", None, b"c", b"def", b""], 3)] == [[b"ab", None, b"c"], [b"def"], [b""]]
     # a picture of a text is twenty times as large: 40 MB in one batch of Spark's
