@@ -23,7 +23,7 @@ from siltworks.operators import animated, archives, reports, routing, settings,
 from siltworks.operators.codecs import distinct_lines as distinct_line_bytes
 from siltworks.operators.codecs import tools
 from siltworks.plans.optimize import described, optimize
-from siltworks.sources.files import write_files
+from siltworks.sources.files import remove_files, write_files
 from siltworks.sources.folders import Folder
 from siltworks.sources.scan import scan
 from siltworks.sources.staging import shared_folder, stage
@@ -112,8 +112,9 @@ def scan_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_files(files(spark, sf_dir).select(F.concat(F.lit(root), "path").alias("path"), F.col("text").cast("binary").alias("content")))
     written.write.format("noop").mode("overwrite").save()
     layers = spark.createDataFrame([(f"{root}/lib/src3", "recurse", "false"), (f"{root}/lib", "recurse", "true")], "path string, option string, value string")
-    # all rounds are staged, so the files may go
+    # all rounds are staged, so the files may go, many at a time and then the folders
     found = scan(spark, [root], layers)
+    remove_files(files(spark, sf_dir).select(F.concat(F.lit(root), "path").alias("path"))).write.format("noop").mode("overwrite").save()
     Folder(spark, at).remove("")
     part = lambda k: F.element_at(F.split("path", "/"), k)
     return found.groupBy(part(-3).alias("source"), part(-2).alias("lang")).agg(F.count("*").alias("n"), F.sum("bytes_in").alias("bytes"), F.max("bytes_in").alias("largest"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -135,9 +136,13 @@ def write_files(rows: DataFrame) -> DataFrame:
     """path and bytes of the files that ``rows`` (path, content) become, written where the rows are; folders are made as needed."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set[str] = set()
         for part in batches:
             for path, content in zip(part["path"], part["content"]):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                folder = os.path.dirname(path)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(path, "wb") as file:
                     file.write(bytes(content or b""))
             yield pd.DataFrame({"path": part["path"], "bytes": [len(c or b"") for c in part["content"]]})
@@ -145,6 +150,19 @@ def write_files(rows: DataFrame) -> DataFrame:
     return rows.select("path", "content").mapInPandas(put, "path string, bytes long")
 
 
+def remove_files(rows: DataFrame) -> DataFrame:
+    """path of the files that ``rows`` (path) tell, removed where the rows are; one that isn't there is none to remove."""
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for path in part["path"]:
+                with suppress(FileNotFoundError):
+                    os.unlink(path)
+            yield part
+
+    return rows.select("path").mapInPandas(drop, "path string")
+
+
 def case_sensitive(folder: str) -> bool:
     """Whether names that differ in case are different files in ``folder``: told by its own path, nothing is written."""
     other = folder.rstrip("/")

@@ -26,7 +26,7 @@ from siltworks.sources.staging import stage
 ENTRY = "root string, path string, name string, kind string, is_symlink boolean, bytes_in long, mtime double, dev long, ino long, error string"
 #: Rows of a batch that a folder's listing is handed on in.
 BATCH = 10_000
-#: Folders that one task lists, about.
+#: Folders that one task lists at most, about; fewer where cores would have none.
 FOLDERS = 64
 
 
@@ -128,7 +128,7 @@ def scan(
             break
         seen = folders.select("dev", "ino")
         entered = seen if entered is None else entered.unionByName(seen)
-        listed = folders.select("root", "path", "symlinks").repartition(max(1, -(-n // FOLDERS)), "path").mapInPandas(_list, ENTRY)
+        listed = folders.select("root", "path", "symlinks").repartition(max(min(n, spark.sparkContext.defaultParallelism), -(-n // FOLDERS)), "path").mapInPandas(_list, ENTRY)
         rounds.append(stage(listed))
     out = rounds[0]
     for more in rounds[1:]:

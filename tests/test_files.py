@@ -18,6 +18,7 @@ from siltworks.plans.optimize import optimize
 from siltworks.plans.queries import gray_png, picture
 from siltworks.sources import files
 from siltworks.sources.replace import replace_files
+from siltworks.sources.scan import scan
 from siltworks.streaming.incremental import optimize_stream
 
 
@@ -397,3 +398,14 @@ def test_results_of_tiers_come_in_bounded_batches(spark):
 
     tiers.run_tiers(Items(), of)
     assert len(sizes) > 2 and max(sizes) <= BATCH_BYTES + 500_000
+
+
+def test_few_folders_are_listed_by_several_tasks_and_files_are_removed_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{tmp_path}/r/f{k}/a", bytearray(b"x")) for k in range(8)], "path string, content binary")
+    assert files.write_files(rows).count() == 8
+    found = scan(spark, [f"{tmp_path}/r"])
+    assert found.count() == 8
+    # the root's round and that of its listing are a file each
+    assert len(found.inputFiles()) > 3
+    assert files.remove_files(rows).count() == 8 and files.remove_files(rows).count() == 8
+    assert not [f for _, _, f in os.walk(tmp_path / "r") if f]
