@@ -7,12 +7,15 @@ another exclusive-or, so that a minimum is the hash nearest to the mask. Lines
 that agree on all minima of a band share a bucket and are candidates.
 
 Each bucket's lines are held against its most central line first. The links that
-exact Jaccard similarity confirms are merged by distributed union-find, and only
-lines that are still apart from their bucket's central line are held against the
-bucket's others. So groups of copies never expand to pairs, and no candidate pair
-of different components goes unverified. Before shingle sets are compared, an odd
-sketch rules pairs out for certain: of two sketches no more bits can differ than
-shingles of the two lines.
+exact Jaccard similarity confirms are merged by distributed union-find. In buckets
+that still hold several components further lines lead, by rounds: LEADS of each
+bucket at first, LEADS times as many in each later round, chosen by a hash, until
+all have led. A leading line is held against those lines of other components that
+have not led before, and links are merged between rounds. So groups of copies
+never expand to pairs, each candidate pair meets once at most, and no candidate
+pair of different components goes unverified. Before shingle sets are compared, an
+odd sketch rules pairs out for certain: of two sketches no more bits can differ
+than shingles of the two lines.
 
 Of each component the first occurrence (by doc_id, text, line number) stays.
 
@@ -38,6 +41,8 @@ from siltworks.llm.components import components
 SHINGLE, ROWS, BANDS, THRESHOLD = 8, 4, 8, 0.8
 #: 64-bit words of an odd sketch.
 WORDS = 32
+#: Lines of a bucket that lead in the first round, and the growth of their number from round to round.
+LEADS = 32
 #: Bytes of a character in UTF-32, where each has a place that is known.
 _WIDE = 4
 
@@ -120,17 +125,50 @@ def may_be_similar(a: str, b: str, threshold: float = THRESHOLD) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The distinct ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``."""
+    """The distinct ``pairs`` (a, b and further columns) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``."""
     held = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     held = held.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    held = held.select("a", "b", *(shingles(F.col(f"line_{x}")).alias(f"set_{x}") for x in "ab"))
+    held = held.select(*pairs.columns, *(shingles(F.col(f"line_{x}")).alias(f"set_{x}") for x in "ab"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    held = held.select("a", "b", both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("all"))
-    return held.where(F.col("n") >= threshold * (F.col("all") - F.col("n"))).select("a", "b")
+    held = held.select(*pairs.columns, both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("all"))
+    return held.where(F.col("n") >= threshold * (F.col("all") - F.col("n"))).select(*pairs.columns)
 
 
-def links(known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links a, b of similar lines: their components are those of all candidates that are similar."""
+def turn(h: Column, in_bucket: Column) -> Column:
+    """The round in which a line of a bucket leads: about LEADS ** k of its lines do so up to round k."""
+    share = (F.pmod(F.xxhash64(F.lit(2), h), F.lit(1 << 30)) + 1) / F.lit(1 << 30)
+    return F.greatest(F.lit(1), F.ceil(F.log(share * in_bucket) / F.log(F.lit(float(LEADS)))).cast("int"))
+
+
+def meetings(members: DataFrame, sketches: DataFrame, now: int) -> DataFrame:
+    """Distinct candidates a, b, root_a, root_b of round ``now``: lines of a bucket, of different components, of which one leads now and none did before.
+
+    ``members`` are key, h, turn, root and lead_root. Of the component that the
+    bucket's central line is in, no two lines meet: those that lead ask for the
+    bucket's other lines only.
+    """
+    rest = members.where(F.col("turn") >= now).withColumn("apart", F.col("root") != F.col("lead_root"))
+    # buckets of which no line is apart are done
+    rest = rest.join(rest.where("apart").select("key").distinct(), "key", "left_semi").join(sketches, "h")
+    asked = F.explode(F.when(F.col("apart"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("asked")
+    lead = rest.where(F.col("turn") == now).select("key", F.col("h").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"), F.col("apart").alias("a_apart"), asked)
+    rest = rest.select("key", F.col("h").alias("b"), F.col("root").alias("root_b"), F.col("own").alias("own_b"), F.col("apart").alias("asked"), (F.col("turn") > now).alias("later"))
+    # where both lead, one order of the pair is enough
+    once = F.col("later") | (F.col("asked") & (~F.col("a_apart") | (F.col("a") < F.col("b"))))
+    met = lead.join(rest, ["key", "asked"]).where((F.col("root_a") != F.col("root_b")) & once & may_be_similar("own_a", "own_b"))
+    turned = F.col("a") > F.col("b")
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    return met.select(swap("a", "b"), swap("b", "a"), swap("root_a", "root_b"), swap("root_b", "root_a")).distinct()
+
+
+def merged(of: DataFrame, more: DataFrame, name: str = "root") -> DataFrame:
+    """``of`` with the components ``name`` renamed by ``more`` (node, root), of which each node is a component."""
+    more = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return of.join(more, F.col(name) == F.col("old"), "left").withColumn(name, F.coalesce("new", name)).drop("old", "new")
+
+
+def alike(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and root (a line of its component) of the lines that are similar to another: components of all candidates that are."""
     keys = scratch.table(signed(known.select("h", "line")))
     rows = keys.select("h", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
@@ -141,34 +179,30 @@ def links(known: DataFrame, scratch: Scratch) -> DataFrame:
     # a line that shares many large buckets is near the middle of its group
     central = members.groupBy("h").agg(F.sum("in_bucket").alias("score"))
     lead = members.join(central, "h").groupBy("key").agg(F.min(F.struct(-F.col("score"), "h")).alias("least"))
-    members = scratch.table(members.select("key", "h").join(lead.select("key", F.col("least.h").alias("lead")), "key"))
+    members = members.join(lead.select("key", F.col("least.h").alias("lead")), "key")
+    members = scratch.table(members.select("key", "h", "lead", F.when(F.col("h") == F.col("lead"), 0).otherwise(turn(F.col("h"), F.col("in_bucket"))).alias("turn")))
     near = members.where("h != lead").select(F.least("lead", "h").alias("a"), F.greatest("lead", "h").alias("b")).distinct()
     near = near.join(sketches.select(F.col("h").alias("a"), F.col("own").alias("own_a")), "a")
     near = near.join(sketches.select(F.col("h").alias("b"), F.col("own").alias("own_b")), "b")
-    star = cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b"), texts))
-    of = components(star)
-    named = members.join(of, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node")
-    led = of.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
-    named = named.join(led, F.col("lead") == F.col("lead_node"), "left").withColumn("lead_root", F.coalesce("lead_root", "lead"))
-    named = scratch.table(named.select("key", "h", "lead", "root", (F.col("root") != F.col("lead_root")).alias("apart")))
-    # buckets of which no line is apart are done
-    left = named.where("apart").select("key").distinct()
-    named = named.join(left, "key", "left_semi").join(sketches, "h")
-    apart = named.where("apart").select("key", F.col("h").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"))
-    others = named.where("h != lead").select(
-        "key", F.col("h").alias("b"), F.col("root").alias("root_b"), F.col("own").alias("own_b"), F.col("apart").alias("b_apart")
-    )
-    # where both are apart, one order of the pair is enough
-    cross = apart.join(others, "key").where((F.col("root_a") != F.col("root_b")) & (~F.col("b_apart") | (F.col("a") < F.col("b"))) & may_be_similar("own_a", "own_b"))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return cut(star.unionByName(similar(cross, texts)))
+    of = components(cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b"), texts)))
+    named = merged(merged(members.where("turn > 0").withColumns({"root": F.col("h"), "lead_root": F.col("lead")}).drop("lead"), of), of, "lead_root")
+    # what is left of the buckets that no round is needed for goes here
+    named = scratch.table(named.join(named.where("root != lead_root").select("key").distinct(), "key", "left_semi"))
+    last = named.agg(F.max("turn")).first()[0] or 0
+    for now in range(1, last + 1):
+        found = cut(similar(meetings(named, sketches, now), texts).select("root_a", "root_b").distinct())
+        more = components(found, "root_a", "root_b")
+        of = merged(of, more).unionByName(more).distinct()
+        if now < last:
+            named = scratch.table(merged(merged(named.where(F.col("turn") > now), more), more, "lead_root"))
+    return of
 
 
 def linked_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """h, g and component (a line's h) of the lines that are not unique."""
     with Scratch(docs.sparkSession) as inner:
         known = inner.bucketed(distinct_lines(docs), "h")
-        final = components(links(known, inner)).select(F.col("node").alias("h"), F.col("root").alias("component"))
+        final = alike(known, inner).select(F.col("node").alias("h"), F.col("root").alias("component"))
         whole = known.select("h", "g", "n").join(final, "h", "left").where("n > 1 or component is not null")
         return scratch.table(whole.select("h", "g", F.coalesce("component", "h").alias("component")))
 

@@ -89,6 +89,30 @@ def test_a_large_group_without_its_middle(spark):
     assert not set(got) - set(want) and len(got) >= 0.97 * len(want) > 100
 
 
+def bucket(spark, roots, lead_root):
+    """members of a bucket (h, of a component each), and sketches that rule nothing out."""
+    from pyspark.sql import functions as F
+
+    members = spark.createDataFrame([(1, h, root) for h, root in enumerate(roots)], "key long, h long, root long")
+    members = members.withColumn("turn", ld.turn(F.col("h"), F.lit(len(roots)))).withColumn("lead_root", F.lit(lead_root).cast("long"))
+    own = F.struct(F.lit(1).alias("size"), *(F.lit(0).cast("long").alias(f"w{k}") for k in range(ld.WORDS)))
+    return members, members.select("h", own.alias("own"))
+
+
+def test_a_group_apart_from_its_buckets_centre_is_not_expanded_to_pairs(spark):
+    # two components of one bucket: any link joins them, so the 360,000 pairs must not all be made for it
+    met = ld.meetings(*bucket(spark, [h % 2 for h in range(1200)], 0), 1)
+    assert 600 < met.count() < 4 * ld.LEADS * 600 < 600 * 600 / 4
+
+
+def test_every_candidate_of_other_components_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(ld, "LEADS", 8)
+    roots = [2 if h < 20 else h % 3 + 7 for h in range(60)]
+    members, sketches = bucket(spark, roots, 2)
+    met = [(r.a, r.b, r.root_a, r.root_b) for now in (1, 2, 3) for r in ld.meetings(members, sketches, now).collect()]
+    assert sorted(met) == sorted((a, b, roots[a], roots[b]) for a in range(60) for b in range(a + 1, 60) if roots[a] != roots[b])
+
+
 def test_short_lines_and_ends_in_several_scripts(spark):
     letters = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "han": "".join(map(chr, range(0x4E00, 0x4E40)))}
     rng, texts = random.Random(4), []
