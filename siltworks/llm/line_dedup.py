@@ -31,6 +31,8 @@ documents are returned, left as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ SHINGLE, ROWS, BANDS, THRESHOLD = 8, 4, 8, 0.8
 WORDS = 32
 #: Lines of a bucket that lead in the first round, and the growth of their number from round to round.
 LEADS = 32
+#: Shingles that come as one row, so that an aggregate's buffers are written once for all of them.
+AT_ONCE = 4
 #: Bytes of a character in UTF-32, where each has a place that is known.
 _WIDE = 4
 
@@ -79,13 +83,16 @@ def masks() -> list[int]:
 def signed(distinct: DataFrame) -> DataFrame:
     """h and bands (array of keys) of lines (h, line) of at least a shingle.
 
-    Shingles are exploded and reduced to minima by one aggregation on h, on which
-    ``distinct`` is partitioned already.
+    Shingles are exploded, AT_ONCE to a row (the last one stands for those beyond
+    the end), and reduced to minima by one aggregation on h, on which ``distinct``
+    is partitioned already.
     """
-    each = distinct.where(F.length("line") >= SHINGLE).select("h", F.encode("line", "UTF-32").alias("raw"), F.length("line").alias("n"))
-    each = each.select("h", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
-    each = each.select("h", F.xxhash64(F.substring("raw", F.col("i") * _WIDE + 1, F.lit(SHINGLE * _WIDE))).alias("s"))
-    least = each.groupBy("h").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks())))
+    each = distinct.where(F.length("line") >= SHINGLE).select("h", F.encode("line", "UTF-32").alias("raw"), (F.length("line") - SHINGLE).alias("last"))
+    each = each.select("h", "raw", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(AT_ONCE))).alias("i"))
+    each = each.select("h", *(F.xxhash64(F.substring("raw", F.least(F.col("i") + j, "last") * _WIDE + 1, F.lit(SHINGLE * _WIDE))).alias(f"s{j}") for j in range(AT_ONCE)))
+    least = each.groupBy("h").agg(
+        *(F.min(F.least(*(F.col(f"s{j}").bitwiseXOR(F.lit(m)) for j in range(AT_ONCE)))).alias(f"m{k}") for k, m in enumerate(masks()))
+    )
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return least.select("h", F.array(*keys).alias("bands"))
 
@@ -104,11 +111,17 @@ def shingles(line: Column) -> Column:
 
 def sketched(texts: DataFrame) -> DataFrame:
     """h, size (distinct shingles) and w0, w1 ...: the odd sketch, in which each shingle turns one bit."""
-    each = texts.select("h", shingles(F.col("line")).alias("all")).select("h", F.size("all").alias("size"), F.explode("all").alias("s"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))
-    each = each.select("h", "size", bit.alias("bit"), F.shiftright("s", 6).bitwiseAND(WORDS - 1).alias("word"))
-    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
-    return each.groupBy("h").agg(F.first("size").alias("size"), *words)
+    each = texts.select("h", shingles(F.col("line")).alias("all")).select("h", F.size("all").alias("size"), "all")
+    each = each.select("h", "size", "all", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(AT_ONCE))).alias("i"))
+    each = each.select("h", "size", *(F.get("all", F.col("i") + j).alias(f"s{j}") for j in range(AT_ONCE)))
+    none = F.lit(0).cast("long")  # the bit of what is beyond the end
+    bits = [F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"s{j}").bitwiseAND(63).cast("int")), none).alias(f"bit{j}") for j in range(AT_ONCE)]
+    each = each.select("h", "size", *bits, *(F.coalesce(F.shiftright(f"s{j}", 6).bitwiseAND(WORDS - 1), none).alias(f"word{j}") for j in range(AT_ONCE)))
+
+    def turned(k: int) -> Column:
+        return reduce(Column.bitwiseXOR, (F.when(F.col(f"word{j}") == k, F.col(f"bit{j}")).otherwise(none) for j in range(AT_ONCE)))
+
+    return each.groupBy("h").agg(F.first("size").alias("size"), *(F.bit_xor(turned(k)).alias(f"w{k}") for k in range(WORDS)))
 
 
 def may_be_similar(a: str, b: str, threshold: float = THRESHOLD) -> Column:
