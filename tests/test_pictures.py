@@ -246,3 +246,18 @@ def test_case_is_told_by_the_folder_itself(tmp_path, monkeypatch):
     # a file system on which both names lead to one folder
     monkeypatch.setattr(os.path, "samefile", lambda a, b: True)
     assert not case_sensitive(str(folder)) and os.listdir(folder) == []
+
+
+def test_wide_rows_are_staged_in_batches_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from siltworks.sources.staging import MOST, stage
+
+    def sizes(batches):
+        for part in batches:
+            yield pa.record_batch([[part.num_rows]], names=["n"])
+
+    before = spark.conf.get(MOST)
+    rows = [r.n for r in stage(spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS x").mapInArrow(sizes, "n long")).collect()]
+    assert sum(rows) == 3000 and max(rows) <= 900
+    assert spark.conf.get(MOST) == before
