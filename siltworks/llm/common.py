@@ -94,6 +94,15 @@ def blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     return ((i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect what the plans of a finished round left.
+
+    Spark drops shuffles and broadcasts only when the driver's JVM finds their
+    plans unreachable; many small rounds would fill its heap before that.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables that live as long as the block: ``with Scratch(spark) as scratch``."""
 

@@ -36,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import Scratch, cut, read, table, with_new_text
+from siltworks.llm.common import Scratch, cut, read, release, table, with_new_text
 from siltworks.llm.components import components
 
 #: Characters in a shingle; a pair at the threshold is found with a chance of 1 - (1 - 0.8**ROWS)**BANDS = 0.985.
@@ -161,8 +161,7 @@ def meetings(members: DataFrame, sketches: DataFrame, now: int) -> DataFrame:
     bucket's other lines only.
     """
     rest = members.where(F.col("turn") >= now).withColumn("apart", F.col("root") != F.col("lead_root"))
-    # buckets of which no line is apart are done
-    rest = rest.join(rest.where("apart").select("key").distinct(), "key", "left_semi").join(sketches, "h")
+    rest = rest.join(sketches, "h")
     asked = F.explode(F.when(F.col("apart"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("asked")
     lead = rest.where(F.col("turn") == now).select("key", F.col("h").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("own_a"), F.col("apart").alias("a_apart"), asked)
     rest = rest.select("key", F.col("h").alias("b"), F.col("root").alias("root_b"), F.col("own").alias("own_b"), F.col("apart").alias("asked"), (F.col("turn") > now).alias("later"))
@@ -174,6 +173,11 @@ def meetings(members: DataFrame, sketches: DataFrame, now: int) -> DataFrame:
     return met.select(swap("a", "b"), swap("b", "a"), swap("root_a", "root_b"), swap("root_b", "root_a")).distinct()
 
 
+def open_buckets(members: DataFrame) -> DataFrame:
+    """``members`` of the buckets of which a line is apart; the others are done."""
+    return members.join(members.where("root != lead_root").select("key").distinct(), "key", "left_semi")
+
+
 def merged(of: DataFrame, more: DataFrame, name: str = "root") -> DataFrame:
     """``of`` with the components ``name`` renamed by ``more`` (node, root), of which each node is a component."""
     more = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
@@ -189,6 +193,7 @@ def alike(known: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.table(known.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))
     words = [f"w{k}" for k in range(WORDS)]
     sketches = scratch.table(sketched(texts)).select("h", F.struct("size", *words).alias("own"))
+    release(known.sparkSession)
     # a line that shares many large buckets is near the middle of its group
     central = members.groupBy("h").agg(F.sum("in_bucket").alias("score"))
     lead = members.join(central, "h").groupBy("key").agg(F.min(F.struct(-F.col("score"), "h")).alias("least"))
@@ -200,14 +205,16 @@ def alike(known: DataFrame, scratch: Scratch) -> DataFrame:
     of = components(cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b"), texts)))
     named = merged(merged(members.where("turn > 0").withColumns({"root": F.col("h"), "lead_root": F.col("lead")}).drop("lead"), of), of, "lead_root")
     # what is left of the buckets that no round is needed for goes here
-    named = scratch.table(named.join(named.where("root != lead_root").select("key").distinct(), "key", "left_semi"))
+    named = scratch.table(open_buckets(named))
+    release(known.sparkSession)
     last = named.agg(F.max("turn")).first()[0] or 0
     for now in range(1, last + 1):
         found = cut(similar(meetings(named, sketches, now), texts).select("root_a", "root_b").distinct())
         more = components(found, "root_a", "root_b")
         of = merged(of, more).unionByName(more).distinct()
+        release(of.sparkSession)
         if now < last:
-            named = scratch.table(merged(merged(named.where(F.col("turn") > now), more), more, "lead_root"))
+            named = scratch.table(open_buckets(merged(merged(named.where(F.col("turn") > now), more), more, "lead_root")))
     return of
 
 
@@ -216,6 +223,7 @@ def linked_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     with Scratch(docs.sparkSession) as inner:
         known = inner.bucketed(distinct_lines(docs), "h")
         final = alike(known, inner).select(F.col("node").alias("h"), F.col("root").alias("component"))
+        release(docs.sparkSession)
         whole = known.select("h", "g", "n").join(final, "h", "left").where("n > 1 or component is not null")
         return scratch.table(whole.select("h", "g", F.coalesce("component", "h").alias("component")))
 

@@ -1,5 +1,6 @@
 import random
 
+from siltworks.llm import components as cc
 from siltworks.llm import line_dedup as ld
 from siltworks.llm.common import Scratch
 from tests.llm.helpers import Groups, documents, words
@@ -154,3 +155,28 @@ def test_the_main_path_runs_no_python_and_leaves_no_table(spark):
     docs = documents(spark, TEXTS)
     assert "Python" not in ld.drop_duplicate_lines(docs)._jdf.queryExecution().toString()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_components_take_no_round_that_changes_nothing(spark, monkeypatch):
+    rounds, star = [], cc._small_star
+    monkeypatch.setattr(cc, "_small_star", lambda edges: rounds.append(1) or star(edges))
+
+    def told(links):
+        rounds.clear()
+        return {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()}, len(rounds)
+
+    assert told([(1, 5), (6, 1), (7, 1), (9, 8), (8, 9), (3, 3), (None, 4)]) == ({1: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8}, 0)
+    assert told([(3, 3), (None, 2)]) == ({}, 0)
+    assert told([(k, k + 1) for k in range(40)])[0] == dict.fromkeys(range(41), 0)
+    rng = random.Random(5)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
+    groups = Groups(range(90))
+    for a, b in links:
+        groups.join(a, b)
+    assert told(links)[0] == {x: groups.find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_a_round_of_components_reads_its_links_four_times(spark):
+    # every reading is another branch of the plan, which the driver holds
+    edges = spark.range(9).selectExpr("id + 1 as u", "id as v")
+    assert cc._small_star(cc._large_star(edges))._jdf.queryExecution().optimizedPlan().toString().count("Range") == 4
