@@ -59,7 +59,12 @@ def line_hashes(text: Column) -> Column:
 
 def normal(line: Column) -> Column:
     """A line as it is compared."""
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+    return F.lower(trimmed(line))
+
+
+def trimmed(line: Column) -> Column:
+    """A line without the blanks, tabs and \\r at its ends."""
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -69,7 +74,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """h, g, line and n (how often it stands in ``docs``) of every distinct line that isn't blank."""
-    each = docs.select(F.explode(F.split("text", "\n", -1)).alias("raw")).select(normal(F.col("raw")).alias("line")).where("line != ''")
+    each = docs.select(F.explode(F.split("text", "\n", -1)).alias("raw")).select(trimmed(F.col("raw")).alias("raw")).where("raw != ''")
+    each = each.select(F.lower("raw").alias("line"))  # after the filter, which would lower-case once more
     each = each.select(F.xxhash64("line").alias("h"), F.struct(F.xxhash64(F.lit(1), "line").alias("g"), "line").alias("own"))
     return each.groupBy("h").agg(F.min("own").alias("own"), F.count("*").alias("n")).select("h", "own.*", "n")
 
@@ -98,11 +104,10 @@ def signed(distinct: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    """The distinct hashes of a line's shingles."""
+    """The hashes of a line's shingles, repeats included."""
 
     def of(x: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), x["n"] - SHINGLE), lambda i: F.xxhash64(F.substring(x["raw"], i * _WIDE + 1, F.lit(SHINGLE * _WIDE))))
-        return F.array_distinct(each)
+        return F.transform(F.sequence(F.lit(0), x["n"] - SHINGLE), lambda i: F.xxhash64(F.substring(x["raw"], i * _WIDE + 1, F.lit(SHINGLE * _WIDE))))
 
     # as an array's element the line is encoded once, not for every shingle
     own = F.array(F.struct(F.encode(line, "UTF-32").alias("raw"), F.length(line).alias("n")))
@@ -111,7 +116,7 @@ def shingles(line: Column) -> Column:
 
 def sketched(texts: DataFrame) -> DataFrame:
     """h, size (distinct shingles) and w0, w1 ...: the odd sketch, in which each shingle turns one bit."""
-    each = texts.select("h", shingles(F.col("line")).alias("all")).select("h", F.size("all").alias("size"), "all")
+    each = texts.select("h", F.array_distinct(shingles(F.col("line"))).alias("all")).select("h", F.size("all").alias("size"), "all")
     each = each.select("h", "size", "all", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(AT_ONCE))).alias("i"))
     each = each.select("h", "size", *(F.get("all", F.col("i") + j).alias(f"s{j}") for j in range(AT_ONCE)))
     none = F.lit(0).cast("long")  # the bit of what is beyond the end
@@ -138,15 +143,22 @@ def may_be_similar(a: str, b: str, threshold: float = THRESHOLD) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The distinct ``pairs`` (a, b and further columns) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``."""
+    """The distinct ``pairs`` (a, b, size_a, size_b and further columns) whose lines' shingle sets have a Jaccard similarity of at least ``threshold``.
+
+    The sets' sizes are known from the sketches, so only what both sets share is counted.
+    """
     held = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     held = held.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    held = held.select(*pairs.columns, *(shingles(F.col(f"line_{x}")).alias(f"set_{x}") for x in "ab"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    held = held.select(*pairs.columns, both.alias("n"), (F.size("set_a") + F.size("set_b")).alias("all"))
+    both = F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b"))))
+    held = held.select(*pairs.columns, both.alias("n"), (F.col("size_a") + F.col("size_b")).alias("all"))
     return held.where(F.col("n") >= threshold * (F.col("all") - F.col("n"))).select(*pairs.columns)
 
 
+def sizes() -> list[Column]:
+    """size_a and size_b of pairs with their sketches."""
+    return [F.col(f"own_{x}.size").alias(f"size_{x}") for x in "ab"]
+
+
 def turn(h: Column, in_bucket: Column) -> Column:
     """The round in which a line of a bucket leads: about LEADS ** k of its lines do so up to round k."""
     share = (F.pmod(F.xxhash64(F.lit(2), h), F.lit(1 << 30)) + 1) / F.lit(1 << 30)
@@ -154,7 +166,7 @@ def turn(h: Column, in_bucket: Column) -> Column:
 
 
 def meetings(members: DataFrame, sketches: DataFrame, now: int) -> DataFrame:
-    """Distinct candidates a, b, root_a, root_b of round ``now``: lines of a bucket, of different components, of which one leads now and none did before.
+    """Distinct candidates a, b, root_a, root_b, size_a, size_b of round ``now``: lines of a bucket, of different components, of which one leads now and none did before.
 
     ``members`` are key, h, turn, root and lead_root. Of the component that the
     bucket's central line is in, no two lines meet: those that lead ask for the
@@ -168,9 +180,10 @@ def meetings(members: DataFrame, sketches: DataFrame, now: int) -> DataFrame:
     # where both lead, one order of the pair is enough
     once = F.col("later") | (F.col("asked") & (~F.col("a_apart") | (F.col("a") < F.col("b"))))
     met = lead.join(rest, ["key", "asked"]).where((F.col("root_a") != F.col("root_b")) & once & may_be_similar("own_a", "own_b"))
+    met = met.select("a", "b", "root_a", "root_b", *sizes())
     turned = F.col("a") > F.col("b")
     swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
-    return met.select(swap("a", "b"), swap("b", "a"), swap("root_a", "root_b"), swap("root_b", "root_a")).distinct()
+    return met.select(swap("a", "b"), swap("b", "a"), swap("root_a", "root_b"), swap("root_b", "root_a"), swap("size_a", "size_b"), swap("size_b", "size_a")).distinct()
 
 
 def open_buckets(members: DataFrame) -> DataFrame:
@@ -202,7 +215,7 @@ def alike(known: DataFrame, scratch: Scratch) -> DataFrame:
     near = members.where("h != lead").select(F.least("lead", "h").alias("a"), F.greatest("lead", "h").alias("b")).distinct()
     near = near.join(sketches.select(F.col("h").alias("a"), F.col("own").alias("own_a")), "a")
     near = near.join(sketches.select(F.col("h").alias("b"), F.col("own").alias("own_b")), "b")
-    of = components(cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b"), texts)))
+    of = components(cut(similar(near.where(may_be_similar("own_a", "own_b")).select("a", "b", *sizes()), texts).select("a", "b")))
     named = merged(merged(members.where("turn > 0").withColumns({"root": F.col("h"), "lead_root": F.col("lead")}).drop("lead"), of), of, "lead_root")
     # what is left of the buckets that no round is needed for goes here
     named = scratch.table(open_buckets(named))

@@ -114,6 +114,22 @@ def test_every_candidate_of_other_components_meets_once(spark, monkeypatch):
     assert sorted(met) == sorted((a, b, roots[a], roots[b]) for a in range(60) for b in range(a + 1, 60) if roots[a] != roots[b])
 
 
+def test_pairs_are_tested_by_the_sizes_of_their_sketches(spark):
+    from pyspark.sql import functions as F
+
+    same, repeated = words(1, 25), "one phrase after another, " * 9
+    texts = [same, edited(same, 1), repeated, repeated + repeated, edited(edited(edited(same, 2), 3), 4), same + " é" * 9]
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    sketches = ld.sketched(lines).select("h", F.col("size"))
+    pairs = sketches.select(F.col("h").alias("a"), F.col("size").alias("size_a")).join(sketches.select(F.col("h").alias("b"), F.col("size").alias("size_b")), F.col("a") < F.col("b"))
+    told = ld.similar(pairs, lines)
+    sets = [shingles(t) for t in texts]
+    assert sorted((r.a, r.b) for r in told.collect()) == [(a, b) for a in range(6) for b in range(a + 1, 6) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    # one shared set for each pair; distinct sets of both lines are made for sketches only
+    own = lines.select(F.col("h").alias("a"), (F.col("h") + 1).alias("b"), F.lit(1).alias("size_a"), F.lit(1).alias("size_b"))
+    assert "array_distinct" not in ld.similar(own, lines)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_short_lines_and_ends_in_several_scripts(spark):
     letters = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "han": "".join(map(chr, range(0x4E00, 0x4E40)))}
     rng, texts = random.Random(4), []
