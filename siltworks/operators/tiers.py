@@ -115,17 +115,25 @@ def of_codecs(codecs: Mapping[str, Codec]) -> dict[str, tuple[tuple[str, Stage],
     return each | ({"PNGFRAME": (("redeflate", STAGES["redeflate"]),)} if "PNG" in codecs else {})
 
 
+class MadeNothing(ValueError):
+    """A tool that made nothing of something; ``told`` is what the tiers were given and made, down to that one."""
+
+    def __init__(self, tool: str, told: list[tuple[str, int, int]]):
+        super().__init__(f"{tool} made nothing")
+        self.told = told
+
+
 def fold(raw: bytes, tiers: Iterable[tuple[str, Stage]], options: Options) -> tuple[bytes, list[tuple[str, int, int]]]:
-    """What ``raw`` has become after all tiers, and what each was given and made."""
+    """What ``raw`` has become after all tiers, and what each was given and made. Nothing may stay nothing."""
     told, first = [], True
     for tool, stage in tiers:
         if not stage.takes(raw):
             told.append((tool, len(raw), len(raw)))
             continue
-        new = stage.run(raw, options)
-        if not new:
-            raise ValueError(f"{tool} made nothing")
+        new = stage.run(raw, options) or b""
         told.append((tool, len(raw), len(new)))
+        if raw and not new:
+            raise MadeNothing(tool, told)
         # of another format's bytes the first result counts, whatever its size
         raw = new if len(new) < len(raw) or (first and stage.takes is is_mpo) else raw
         first = False
@@ -137,7 +145,7 @@ def run_tiers(items: DataFrame, by_format: Mapping[str, tuple[tuple[str, Stage],
 
     Contents are verified before any tool runs. An item that fails keeps its old
     bytes: optimized is null and the error told. stages has the bytes that each
-    tool was given and made.
+    tool was given and made, also where the last of them made nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +165,7 @@ def run_tiers(items: DataFrame, by_format: Mapping[str, tuple[tuple[str, Stage],
                     rows.append((item, *fold(raw, by_format[kind], json.loads(settings) if settings else {}), None))
                     size += len(rows[-1][1])
                 except Exception as error:  # noqa: BLE001  any failure of a tool is the item's
-                    rows.append((item, None, [], str(error) or type(error).__name__))
+                    rows.append((item, None, error.told if isinstance(error, MadeNothing) else [], str(error) or type(error).__name__))
                 if size >= BATCH_BYTES:
                     yield batch(rows)
                     rows, size = [], 0

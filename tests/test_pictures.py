@@ -14,7 +14,7 @@ from siltworks.functions.verify import UnreadableImage, verify
 from siltworks.operators import animated
 from siltworks.operators.codecs import redeflate_png
 from siltworks.operators.programs import ProgramError, run_program
-from siltworks.operators.tiers import STAGES, Stage, fold, pipelines, program
+from siltworks.operators.tiers import STAGES, MadeNothing, Stage, fold, pipelines, program
 from siltworks.sources.files import case_sensitive
 from tests.test_files import pixels, png
 
@@ -171,6 +171,14 @@ def test_a_fold_passes_the_smaller_on():
         fold(b"x", [("none", Stage(lambda raw, o: b""))], {})
 
 
+def test_nothing_stays_nothing_and_what_became_nothing_is_told():
+    half, none = Stage(lambda raw, o: raw[: len(raw) // 2]), Stage(lambda raw, o: b"")
+    assert fold(b"", [("half", half), ("none", none)], {}) == (b"", [("half", 0, 0), ("none", 0, 0)])
+    with pytest.raises(MadeNothing) as told:
+        fold(b"xxxx", [("half", half), ("none", none), ("half", half)], {})
+    assert told.value.told == [("half", 4, 2), ("none", 2, 0)]
+
+
 def test_programs_get_the_arguments_of_their_settings(tmp_path, monkeypatch):
     stub(tmp_path, "echo_args", "sys.stdout.write(' '.join(sys.argv[1:]))")
     monkeypatch.setenv("PATH", f"{tmp_path}{os.pathsep}{os.environ['PATH']}")
