@@ -169,7 +169,9 @@ def run_tiers(items: DataFrame, by_format: Mapping[str, tuple[tuple[str, Stage],
                 if size >= BATCH_BYTES:
                     yield batch(rows)
                     rows, size = [], 0
-            yield batch(rows)
+            # a table without rows has no type that Arrow takes for stages
+            if rows:
+                yield batch(rows)
 
     held = items.where(F.col("format").isin(*by_format)).select("item_id", "format", "content", "settings")
     return held.mapInPandas(run, LEAF)

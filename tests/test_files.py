@@ -400,6 +400,12 @@ def test_results_of_tiers_come_in_bounded_batches(spark):
     assert len(sizes) > 2 and max(sizes) <= BATCH_BYTES + 500_000
 
 
+def test_a_batch_of_tiers_may_end_with_the_rows(spark):
+    rows = spark.range(2).coalesce(1).select(F.col("id").cast("string").alias("item_id"), F.lit("TXT").alias("format"), F.repeat(F.lit("x"), BATCH_BYTES // 2).cast("binary").alias("content"), F.lit(None).cast("string").alias("settings"))
+    got = tiers.run_tiers(rows, tiers.of_codecs({"TXT": lambda raw: raw})).select("item_id", "stages").collect()
+    assert sorted((r.item_id, r.stages[0].bytes_out) for r in got) == [("0", BATCH_BYTES // 2), ("1", BATCH_BYTES // 2)]
+
+
 def test_few_folders_are_listed_by_several_tasks_and_files_are_removed_by_tasks(spark, tmp_path):
     rows = spark.createDataFrame([(f"{tmp_path}/r/f{k}/a", bytearray(b"x")) for k in range(8)], "path string, content binary")
     assert files.write_files(rows).count() == 8

@@ -55,3 +55,8 @@ def odd_rows(spark, name, sf_dir):
 def test_the_gate_counts_texts_of_which_nothing_is_left(spark, tmp_path):
     got, want = odd_rows(spark, "dedup_gate", tmp_path)
     assert got == want and len(got) == 3
+
+
+def test_the_codec_of_lines_tells_the_sizes_of_every_text(spark, tmp_path):
+    got, want = odd_rows(spark, "dedup_lines", tmp_path)
+    assert got == want and len(got) == 2 * len(ODD)
